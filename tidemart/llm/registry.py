@@ -6,14 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemart.llm import chat, decontaminate, order_minhash
+from tidemart.llm import chat, decontaminate, langid, order_minhash, packing, pii, token_files
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_token_files": token_files.op2_token_files,
+        "op4_pack": packing.op4_pack,
+        "op5_pii": pii.op5_pii,
         "op6_decontaminate": decontaminate.op6_decontaminate,
         "op8_order_minhash": order_minhash.op8_order_minhash,
         "op9_chat_snapshots": chat.op9_chat_snapshots,
+        "op10_language_id": langid.op10_language_id,
     }
 
 
