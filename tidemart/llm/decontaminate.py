@@ -76,12 +76,13 @@ def hits(docs: DataFrame, items: DataFrame, width: int = 13, broadcast_bytes: in
 
     # Candidates: where a probe word stands in which document. One row per document that has any.
     met = exploded.join(small(by_word.select("word")), "word").groupBy("key").agg(F.collect_list(F.struct("at", "word")).alias("met"))
-    texts = d.join(met, "key").select("key", words(folded(F.col("text"))).alias("all"), F.explode("met").alias("m"))
-    near = texts.select(
-        "key", F.col("m.word").alias("word"), F.col("m.at").alias("at"),
-        F.greatest(F.col("m.at") - (width - 1), F.lit(0)).alias("from"),
-        F.slice("all", F.greatest(F.col("m.at") - (width - 1), F.lit(0)) + 1, 2 * width - 1).alias("part"),
-    )
+    begin = lambda m: F.greatest(m["at"] - (width - 1), F.lit(0))
+    around = lambda every, m: F.transform(F.slice(every, begin(m) + 1, 2 * width - 1), folded)
+    parts = let(
+        words(F.col("text")),
+        lambda every: F.transform("met", lambda m: F.struct(m["word"].alias("word"), m["at"].alias("at"), begin(m).alias("from"), around(every, m).alias("part"))),
+    )
+    near = d.join(met, "key").select("key", F.explode(parts).alias("m")).select("key", "m.*")
     fits = lambda p: (F.col("at") >= p["offset"]) & (
         F.slice(F.col("part"), F.greatest(F.col("at") - p["offset"] - F.col("from"), F.lit(0)) + 1, F.size(p["w"])) == p["w"]
     )
