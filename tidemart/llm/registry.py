@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemart.llm import chat, decontaminate, langid, ngram_join, order_minhash, packing, pii, token_files
+from tidemart.llm import chat, decontaminate, langid, lm, ngram_join, order_minhash, packing, pii, token_files
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ngram_join": ngram_join.op1_ngram_join,
         "op2_token_files": token_files.op2_token_files,
+        "op3_lm_score": lm.op3_lm_score,
         "op4_pack": packing.op4_pack,
         "op5_pii": pii.op5_pii,
         "op6_decontaminate": decontaminate.op6_decontaminate,
