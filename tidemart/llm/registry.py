@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemart.llm import chat, decontaminate, langid, lm, ngram_join, order_minhash, packing, pii, token_files
+from tidemart.llm import chat, decontaminate, langid, lm, ngram_join, order_minhash, packing, pii, repeats, token_files
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_pack": packing.op4_pack,
         "op5_pii": pii.op5_pii,
         "op6_decontaminate": decontaminate.op6_decontaminate,
+        "op7_repeats": repeats.op7_repeats,
         "op8_order_minhash": order_minhash.op8_order_minhash,
         "op9_chat_snapshots": chat.op9_chat_snapshots,
         "op10_language_id": langid.op10_language_id,
