@@ -49,16 +49,21 @@ def _windows(items: DataFrame, width: int) -> DataFrame:
     return split.select("item_id", F.explode(F.transform(starts, lambda i: F.slice(F.col("all"), i + 1, width))).alias("w")).distinct()
 
 
+def row_key() -> Column:
+    """Names a row of documents by its id and text."""
+    return F.xxhash64("doc_id", "text")
+
+
 def hits(docs: DataFrame, items: DataFrame, width: int = 13, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """docs: doc_id, text; items: item_id, text. For each row of docs: doc_id, n_words, n_hit, n_items, items (sorted
-    array<string> of the item ids with a window in the text).
+    array<string> of the item ids with a window in the text), key (row_key() of the row).
 
     Null texts have no words and no hits; items without words match nothing; a null item_id is listed as the string
     'null'. Rows with the same doc_id (or none) are documents of their own. Other columns are ignored.
     """
     size = items.agg(F.sum(F.octet_length("text"))).head()[0] or 0
     small = F.broadcast if size * width <= broadcast_bytes else (lambda df: df)  # all windows together
-    d = docs.select(F.xxhash64("doc_id", "text").alias("key"), "doc_id", "text")
+    d = docs.select(row_key().alias("key"), "doc_id", "text")
     windows = _windows(items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item_id"), "text"), width)
     windows = windows.withColumn("wid", F.xxhash64("item_id", F.array_join("w", " ")))
 
@@ -110,6 +115,7 @@ def hits(docs: DataFrame, items: DataFrame, width: int = 13, broadcast_bytes: in
         F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
         F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"),
         F.coalesce("items", F.array().cast("array<string>")).alias("items"),
+        "key",
     )
 
 

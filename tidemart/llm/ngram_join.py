@@ -5,7 +5,8 @@ n - ceil(t n) + 1 shingles in any order that is the same for all. Rare shingles
 is counted, over all documents, in a fixed table of counters addressed by the shingle's hash, which any two documents read
 alike. Then
 
-1. equal sets become one class, and classes with the same prefix and the same size become one group;
+1. equal sets become one class, and classes with the same prefix and the same size become one group; groups whose prefix (and a few
+   shingles after it) meets too few others' to be similar to any are done;
 2. groups that share a prefix shingle are candidates if size and position allow the overlap that t asks for;
 3. group pairs are expanded to classes, whose whole sets are compared.
 
@@ -18,11 +19,12 @@ link is compared or already connected.
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemart.llm import scratch
@@ -35,6 +37,8 @@ PERCENT, WORDS = 90, 3
 #: The table of counters has 2**COUNTER_BITS entries of 4 bytes: what the driver and each task hold, whatever the input.
 COUNTER_BITS = 20
 PIVOT_ROUNDS = 2
+#: A third as many shingles again as the prefix has are listed.
+SPARE = 3
 _CHUNK = 1 << 14
 
 
@@ -64,28 +68,40 @@ def counters(docs: DataFrame, bits: int = COUNTER_BITS, k: int = WORDS) -> np.nd
             for s in shingles(b.column(0), hasher, k):  # a document's shingles are distinct, but their counters need not be
                 np.add.at(total, (s >> np.uint64(64 - bits)).astype(np.int64), 1)
         for c in range(0, len(total), _CHUNK):
-            if total[c : c + _CHUNK].any():
-                values = total[c : c + _CHUNK].tolist()
-                yield pa.RecordBatch.from_arrays([pa.array([c], pa.int64()), pa.array([values], pa.list_(pa.int64()))], names=["chunk", "n"])
+            yield chunk(c, total[c : c + _CHUNK])
+
+    def chunk(c: int, n: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([c], pa.int64()), pa.array([zlib.compress(n.astype("<i8").tobytes(), 1)], pa.binary())], names=["chunk", "n"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for b in batches:
-            for c, n in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                sums[c] = sums.get(c, 0) + n.values.to_numpy()
+            for c, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                sums[c] = sums.get(c, 0) + np.frombuffer(zlib.decompress(n), "<i8")
         for c, n in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array([c], pa.int64()), pa.array([n], pa.list_(pa.int64()))], names=["chunk", "n"])
+            yield chunk(c, n)
 
-    schema = "chunk long, n array<bigint>"
+    schema = "chunk long, n binary"
     parts = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(count, schema)
     out = np.zeros(1 << bits, np.int64)
-    for r in parts.repartition(8, "chunk").mapInArrow(add, schema).toLocalIterator():  # 2**bits numbers, whatever the input
-        out[r[0] : r[0] + len(r[1])] = r[1]
+    for c, n in parts.repartition(8, "chunk").mapInArrow(add, schema).toLocalIterator():  # 2**bits numbers, whatever the input
+        out[c : c + _CHUNK] = np.frombuffer(zlib.decompress(bytes(n)), "<i8")
     return out
 
 
+def first_needed(n: int, percent: int) -> int:
+    """Of the first so many shingles of a set of n, a similar set has one at least."""
+    return n - (percent * n + 99) // 100 + 1
+
+
+def spare(n: int, percent: int) -> int:
+    """How many more shingles are listed than the prefix has; it grows with n."""
+    return (first_needed(n, percent) - 1) // SPARE
+
+
 def signatures(docs: DataFrame, counts: np.ndarray, percent: int = PERCENT, k: int = WORDS) -> DataFrame:
-    """doc_id, n (size of the set), set1, set2 (128 bits that name it), prefix (array<bigint>, rarest first)."""
+    """doc_id, n (size of the set), set1, set2 (128 bits that name it), list (array<bigint>: its rarest shingles, rarest
+    first: the prefix and some spare ones), list1, list2 (128 bits that name the list)."""
     # A shingle's place in the order: its counter's rank, then bits of its hash.
     rank = np.empty(len(counts), np.uint64)
     order = np.lexsort((np.arange(len(counts)), counts))
@@ -97,22 +113,23 @@ def signatures(docs: DataFrame, counts: np.ndarray, percent: int = PERCENT, k: i
         hasher, place = WordHasher(), shared.value
         low = np.uint64((1 << (64 - bits)) - 1)
         for b in batches:
-            sizes, names, prefixes = [], [], []
+            sizes, names, lists = [], [], []
             for s in shingles(b.column(1), hasher, k):
                 n = len(s)
                 keys = (place[(s >> np.uint64(64 - bits)).astype(np.int64)].astype(np.uint64) << np.uint64(64 - bits)) | (s & low)
                 keys.sort()
+                keys = keys[: min(n, first_needed(n, percent) + spare(n, percent)) if n else 0]
                 sizes.append(n)
-                names.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
-                prefixes.append((keys[: n - (percent * n + 99) // 100 + 1] if n else keys).view(np.int64))
-            halves = np.frombuffer(b"".join(names), "<i8").reshape(-1, 2)
+                names += [hashlib.blake2b(x.tobytes(), digest_size=16).digest() for x in (s, keys)]
+                lists.append(keys.view(np.int64))
+            named = np.frombuffer(b"".join(names), "<i8").reshape(-1, 4)
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(sizes, pa.int64()), pa.array(halves[:, 0].copy()), pa.array(halves[:, 1].copy()), pa.array(prefixes, pa.list_(pa.int64()))],
-                names=["doc_id", "n", "set1", "set2", "prefix"],
+                [b.column(0), pa.array(sizes, pa.int64()), *[pa.array(named[:, c].copy()) for c in range(4)], pa.array(lists, pa.list_(pa.int64()))],
+                names=["doc_id", "n", "set1", "set2", "list1", "list2", "list"],
             )
 
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(
-        sign, "doc_id long, n long, set1 long, set2 long, prefix array<bigint>"
+        sign, "doc_id long, n long, set1 long, set2 long, list1 long, list2 long, list array<bigint>"
     )
 
 
@@ -158,29 +175,30 @@ def linked(docs: DataFrame, percent: int = PERCENT, k: int = WORDS) -> DataFrame
     signed = scratch.written(signatures(docs, counters(docs, k=k), percent, k), "signatures")
     usable = signed.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
 
-    name = ["n", "set1", "set2"]
-    classes = usable.groupBy(*name).agg(F.min("doc_id").alias("class_id"))
+    name, shape = ["n", "set1", "set2"], ["n", "list1", "list2"]
+    classes = usable.groupBy(*name).agg(F.min("doc_id").alias("class_id"), F.min("list1").alias("list1"), F.min("list2").alias("list2"))
     classes = scratch.written(classes, "classes")
-    # A class's prefix is that of its first document; ids that stand more than once may bring others of it, which distinct drops.
-    firsts = usable.join(classes.select("class_id", *name), [F.col("doc_id") == F.col("class_id"), *[usable[c].eqNullSafe(classes[c]) for c in name]])
-    firsts = firsts.select("class_id", usable["n"], "prefix").dropDuplicates(["class_id", "n"])
-    grouped = firsts.withColumn("p1", F.xxhash64("prefix")).withColumn("p2", F.xxhash64(F.lit(1), "prefix"))
-    grouped = scratch.written(grouped, "prefixes")
-    groups = grouped.groupBy("n", "p1", "p2").agg(F.min("class_id").alias("g"))
-    members = grouped.select("class_id", "n", "p1", "p2").join(groups, ["n", "p1", "p2"]).select("g", F.col("class_id").alias("c"), "n")
-    members = scratch.written(members, "members")
-    leaders = members.where("g = c").select("g")
-    postings = grouped.join(leaders, F.col("class_id") == F.col("g")).select("g", "n", F.posexplode("prefix").alias("i", "token"))
+    groups = classes.groupBy(*shape).agg(F.min("class_id").alias("g"), F.count(F.lit(1)).alias("classes"))
+    members = scratch.written(classes.join(groups, shape).select("g", F.col("class_id").alias("c"), "n", "classes"), "members")
+    leaders = members.where("g = c").select("g", F.col("n").alias("size"))
+    # A group's list is that of its first document. Rows of the same id may differ in text: the size tells the right one, or one as good.
+    listed = usable.select("doc_id", "n", "list").join(leaders, [F.col("doc_id") == F.col("g"), F.col("n") == F.col("size")]).select("g", "n", "list")
+
+    # Similar sets share more of their lists than one shingle: all spare ones count. A group with fewer listed shingles that any other
+    # group lists is similar to none; what passes is a small part of the corpus, unless that is full of near copies.
+    tokens = listed.select("g", "n", F.explode("list").alias("token"))
+    met = tokens.select("g", "n", (F.count(F.lit(1)).over(Window.partitionBy("token")) > 1).alias("met")).where("met").groupBy("g", "n").count()
+    least = F.ceil(F.lit(percent) * F.col("n") / 100).cast("long")  # a similar set's least size
+    enough = 1 + F.floor((least - F.ceil(F.lit(percent) * least / 100)) / SPARE)
+    active = met.where(F.col("count") >= enough).select("g")
+    crowded = members.where("classes > 1").select("g")
+    active = scratch.written(active.union(crowded).distinct(), "active")
+    prefix = F.slice("list", F.lit(1), (F.col("n") - F.ceil(F.lit(percent) * F.col("n") / 100) + 1).cast("int"))
+    postings = listed.join(active, "g").select("g", "n", F.posexplode(prefix).alias("i", "token"))
     postings = scratch.written(postings, "postings")
-    # Only shingles that two groups or more have in their prefixes matter from here on.
-    shared = postings.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("token")
-    postings = scratch.written(postings.join(shared, "token"), "shared")
-    crowded = members.groupBy("g").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("g")
-    active = postings.select("g").union(crowded).distinct()
-    needed = members.join(active, "g").select(F.col("c").alias("id")).distinct()
-    texts = docs.join(needed, F.col("doc_id") == F.col("id")).select("id", "text")
-    sets = whole_sets(texts, k).dropDuplicates(["id"])
-    sets = scratch.written(sets, "sets")
+    members = scratch.written(members.join(active, "g").select("g", "c", "n"), "near")
+    texts = docs.join(members.select(F.col("c").alias("id")), F.col("doc_id") == F.col("id")).select("id", "text")
+    sets = scratch.written(whole_sets(texts, k).dropDuplicates(["id"]), "sets")
 
     label = scratch.written(members.select("c", F.col("c").alias("component")), "components")
     tried = None
