@@ -1,10 +1,69 @@
-"""Five stages that turn the raw documents into packed training sequences."""
+"""From raw documents to packed training sequences, in five stages.
+
+1. language      documents without an identifiable language go
+2. near_copies   of documents that are near copies of each other, the one with the smallest id stays
+3. benchmarks    documents contaminated by benchmark passages go
+4. personal      personal data in the texts is replaced by its kind
+5. packing       the rest becomes pieces in sequences of at most 4096 ids
+
+Each stage takes (spark, docs, sf_dir) and works on all rows of docs; run() writes each result as Parquet and rereads it.
+"""
 
 from __future__ import annotations
 
-STAGES = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidemart.llm import decontaminate, langid, ngram_join, packing, pii, scratch, tokens
+from tidemart.llm.tables import table
+
+#: Below this score no language is a fit.
+LEAST_SCORE = 0.1
+#: Near copies share 80 of 100 five-word shingles.
+PERCENT, WORDS = 80, 5
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Fits on the labelled rows of docs and scores all: those named 'und' or with a score below LEAST_SCORE go."""
+    scored = langid.predicted(docs, langid.fit(docs))
+    return scored.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("lang_score") >= LEAST_SCORE)).select(*docs.columns)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component stays. Rows with a null id are in no component and stay; of rows with the same id one does."""
+    linked = ngram_join.linked(docs, PERCENT, WORDS)
+    ids = linked.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("component_id").alias("component_id"), F.count(F.lit(1)).alias("rows"))
+    ids = scratch.written(ids, "components")
+    go = ids.where("component_id <> doc_id").select("doc_id")
+    kept = docs.join(go, "doc_id", "left_anti").select(*docs.columns)
+    if not ids.where("rows > 1").isEmpty():
+        kept = kept.where(F.col("doc_id").isNull()).union(kept.where(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"]))
+    return kept
+
+
+def benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of whose words a twentieth or more lies in benchmark windows go."""
+    found = decontaminate.hits(docs, table(spark, sf_dir, "benchmark"))
+    bad = found.where(decontaminate.contaminated()).select(F.col("key").alias("_key")).distinct()
+    return docs.withColumn("_key", decontaminate.row_key()).join(bad, "_key", "left_anti").select(*docs.columns)
+
+
+def personal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pii.masked(docs)
+
+
+def packing_(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.packed(packing.pieces(docs, tokens.word_bpe(), end_id=2))
+
+
+STAGES = [("language", language), ("near_copies", near_copies), ("benchmarks", benchmarks), ("personal", personal), ("packing", packing_)]
+
+#: Kernel regression has no SQL form; tests/llm holds the pipeline against a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = scratch.written(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
