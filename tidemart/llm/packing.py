@@ -66,11 +66,11 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, by_word: bool = True, l
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, end = tokens.encoder(tokenizer, by_word), np.array([end_id], "<u4").tobytes()
+        enc, end = tokens.encoder(tokenizer, by_word), np.array([end_id], "<u4")
         for batch in batches:
             rows: list[list] = [[], [], [], [], [], []]
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = enc.encode(text.as_py() or "") + end
+            for doc_id, found in zip(batch.column(0).to_pylist(), enc.encode_all(batch.column(1)), strict=True):
+                ids = np.concatenate([found, end]).astype("<u4").tobytes()
                 n = len(ids) // 4
                 for at in range(0, n, length):
                     part = ids[4 * at : 4 * (at + length)]

@@ -71,28 +71,28 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, by_wor
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = tokens.encoder(tokenizer, by_word)
         part, bits = TaskContext.get().partitionId(), width(max(enc.vocabulary, end_id + 1))
-        end = np.array([end_id], "<u4").tobytes()
+        end = np.array([end_id], "<u4")
         block = first = 0
         ids, lengths, held, total = [], [], [], 0
 
         def closed() -> pa.RecordBatch:
-            payload = pack(np.frombuffer(b"".join(held), "<u4"), bits)
+            payload = pack(np.concatenate(held), bits)
             row = [[part], [block], [first], [bits], [total], [ids], [lengths], [payload]]
             kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(row, kinds, strict=True)], names=names)
 
         names = [x.split()[0] for x in BLOCK_SCHEMA.split(", ")]
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                one = enc.encode(text.as_py() or "") + end
-                if total and total + len(one) // 4 > BLOCK_TOKENS:
+            for doc_id, found in zip(batch.column(0).to_pylist(), enc.encode_all(batch.column(1)), strict=True):
+                one = np.concatenate([found, end])
+                if total and total + len(one) > BLOCK_TOKENS:
                     yield closed()
                     block, first = block + 1, first + total
                     ids, lengths, held, total = [], [], [], 0
                 ids.append(doc_id)
-                lengths.append(len(one) // 4)
+                lengths.append(len(one))
                 held.append(one)
-                total += len(one) // 4
+                total += len(one)
         if ids:
             yield closed()
 
