@@ -1,0 +1,136 @@
+"""Streams return what the batch forms return on the same records, given a last record far in the future."""
+
+from __future__ import annotations
+
+import json
+import os
+import random
+
+from pyspark.sql import functions as F
+
+from tidemart.operators import logs, stats, visits
+from tidemart.sources import sinks, topics
+from tidemart.streaming import jobs
+
+BASE = 1_704_067_200_000
+
+
+def records(n=240, seed=3):
+    rng = random.Random(seed)
+    out, clock = [], {}
+    for i in range(n):
+        mid = f"m{rng.randrange(8)}"
+        clock[mid] = clock.get(mid, BASE) + rng.choice([1000, 4000, 9999, 10000, 15000])
+        last = rng.choice([None, "", "home", "list"])
+        page = {"page_id": "good_list", "last_page_id": last, "item": f"red w{i % 5}", "item_type": "keyword", "during_time": i}
+        page = {k: v for k, v in page.items() if v is not None}
+        out.append({"common": {"mid": mid, "vc": "1", "ch": str(i % 2), "ar": "3", "is_new": rng.choice("01")}, "page": page, "ts": clock[mid] * 1000 // 1000, "n": i})
+    return sorted(out, key=lambda r: r["ts"])
+
+
+def topic(spark, root, rows, files=4):
+    """A file topic in several files, in order of time, shuffled within each."""
+    place = root / "topic"
+    place.mkdir()
+    size = -(-len(rows) // files)
+    for k in range(files):
+        part = rows[k * size : (k + 1) * size]
+        random.Random(k).shuffle(part)
+        (place / f"{k}.txt").write_text("".join(json.dumps(r) + "\n" for r in part))
+        os.utime(place / f"{k}.txt", (1_700_000_000 + k, 1_700_000_000 + k))  # files are read in this order
+    return topics.topic_source(spark, "topic", kind="files", root=str(root), maxFilesPerTrigger="1")
+
+
+def run(rows, tmp):
+    job = jobs.Job(rows, sinks.table_sink(str(tmp / "out")), str(tmp / "checkpoint"))
+    q = job.start(once=True)
+    assert q.awaitTermination(100)
+    return rows.sparkSession.read.parquet(str(tmp / "out"))
+
+
+END = {"common": {"mid": "end"}, "page": {"page_id": "x", "last_page_id": "y"}, "ts": BASE + 10_000_000_000, "n": -1}
+
+
+def numbers(df):
+    return sorted(r.n for r in df.select(F.get_json_object("value", "$.n").cast("int").alias("n")).collect() if r.n >= 0)
+
+
+def batch(spark, rows):
+    return logs.parse_drop_dirty(spark.createDataFrame([(json.dumps(r),) for r in rows], "value string"))
+
+
+def test_user_jump(spark, tmp_path):
+    rows = records()
+    # Two last records: the first moves the watermark, which the timers see in the next batch.
+    stream = topic(spark, tmp_path, [*rows, END], 5)
+    got = run(jobs.user_jump(stream), tmp_path)
+    want = visits.user_jumps(batch(spark, rows), "value")
+    assert numbers(got) == numbers(want) and numbers(want)
+
+
+def test_unique_visit(spark, tmp_path):
+    rows = records()
+    got = run(jobs.unique_visit(topic(spark, tmp_path, rows), forget=False), tmp_path)
+    want = visits.unique_visits(batch(spark, rows), "value")
+    assert numbers(got) == numbers(want) and numbers(want)
+
+
+def test_is_new_repair(spark, tmp_path):
+    rows = records()
+    got = run(jobs.base_log(topic(spark, tmp_path, rows)), tmp_path)
+    flags = lambda df: sorted((r.mid, r.ts, r.flag) for r in df.collect())
+    have = logs.parse_drop_dirty(got).select("common.mid", "ts", F.col("common.is_new").alias("flag"))
+    want = logs.repaired_is_new(batch(spark, rows), "value").select("common.mid", "ts", F.col("common.is_new").alias("flag"))
+    assert flags(have) == flags(want)
+
+
+def test_keyword_and_visitor_stats(spark, tmp_path):
+    rows = [r | {"page": r["page"] | {"last_page_id": "search"}} for r in records()]
+    (tmp_path / "a").mkdir()
+    got = run(jobs.keyword_stats(topic(spark, tmp_path / "a", [*rows, END])), tmp_path / "a")
+    want = stats.keyword_stats(stats.split_keywords(stats.searched(batch(spark, rows))))
+    assert sorted(map(str, got.select(*want.columns).collect())) == sorted(map(str, want.collect()))
+
+    (tmp_path / "b").mkdir()
+    stream = topic(spark, tmp_path / "b", [*rows, END])
+    empty = stream.where("value = 'none'")
+    got = run(jobs.visitor_stats(stream, empty, empty), tmp_path / "b")
+    pages = batch(spark, rows)
+    want = stats.visitor_stats(stats.visitor_facts(pages, pages.limit(0), pages.limit(0)))
+    assert sorted(map(str, got.select(*want.columns).collect())) == sorted(map(str, want.collect()))
+
+
+def test_change_stream_reaches_facts_and_dimensions_once(spark, tmp_path):
+    from tidemart import schemas
+
+    def change(table, kind, **after):
+        return {"database": "shop", "tableName": table, "type": kind, "before": {}, "after": after}
+
+    rows = [change("orders", "insert", id="1", x="a", secret="s"), change("users", "insert", id="7", name="n1", age="3"), change("users", "update", id="7", name="n2"), change("users", "delete", id="7"), change("other", "insert", id="1")]
+    config = lambda s: s.createDataFrame([("orders", "insert", "kafka", "dwd_orders", "id,x", None, None), ("users", "insert", "hbase", "dim_users", "id,name,age", None, None), ("users", "update", "hbase", "dim_users", "id,name,age", None, None)], schemas.ROUTING)
+    place = tmp_path / "topic"
+    place.mkdir()
+    for i, r in enumerate(rows):
+        (place / f"{i}.txt").write_text(json.dumps(r) + "\n")
+        os.utime(place / f"{i}.txt", (1_700_000_000 + i, 1_700_000_000 + i))
+    raw = topics.change_source(topics.topic_source(spark, "topic", kind="files", root=str(tmp_path), maxFilesPerTrigger="1"))
+    facts, dim = sinks.routed_sink(root=str(tmp_path / "facts")), sinks.dim_sink(str(tmp_path / "dims"))
+    changes, route = jobs.base_db(raw, config, facts, dim)
+    q = jobs.Job(changes, route, str(tmp_path / "checkpoint")).start(once=True)
+    assert q.awaitTermination(100)
+    got = spark.read.option("basePath", str(tmp_path / "facts")).text(str(tmp_path / "facts/*")).collect()
+    assert [(r.sink_table, json.loads(r.value)) for r in got] == [("dwd_orders", {"id": "1", "x": "a"})]
+    state = lambda: [tuple(r) for r in sinks.dim_snapshot(spark, str(tmp_path / "dims"), "dim_users", "id,name,age").collect()]
+    assert state() == [("7", "n2", "3")]
+    again = spark.createDataFrame([("dim_users", "id", {"id": "7", "name": "n2"})], "sink_table string, sink_pk string, after map<string,string>")
+    dim(again, 2)  # the batch that was written last, replayed
+    assert state() == [("7", "n2", "3")]
+    sinks.compact(spark, str(tmp_path / "dims"), 100, str(tmp_path / "dims2"))
+    assert [tuple(r) for r in sinks.dim_snapshot(spark, str(tmp_path / "dims2"), "dim_users", "id,name,age").collect()] == [("7", "n2", "3")]
+
+
+def test_catalog_tables_are_made_once(spark):
+    sinks.ensure_dim_table(spark, "dim_t", "id,name")
+    sinks.ensure_dim_table(spark, "dim_t", "id,name")
+    assert spark.table("dim_t").columns == ["id", "name"]
+    spark.sql("DROP TABLE dim_t")

@@ -17,24 +17,28 @@ from tidemart.operators.visits import is_entry
 
 #: Code of a good appraisal.
 GOOD = "1201"
-_one, _zero = F.lit(1).cast("long"), F.lit(0).cast("long")
-_money0 = lambda: F.lit(0).cast(schemas.MONEY)
 _visitor = ("common.vc", "common.ch", "common.ar", "common.is_new")
 
+
+
+def _n(x: int, kind: str = "long") -> Column:
+    return F.lit(x).cast(kind)
+
+
 # Facts of visitors --------------------------------------------------------------------------------------------------
 
 
 def pv_facts(pages: DataFrame) -> DataFrame:
-    entry = F.when(is_entry(F.col("page.last_page_id")), _one).otherwise(_zero)
-    return pages.select(*_visitor, event_time(F.col("ts")).alias("et"), _one.alias("pv_ct"), entry.alias("sv_ct"), F.col("page.during_time").alias("dur_sum"))
+    entry = F.when(is_entry(F.col("page.last_page_id")), _n(1)).otherwise(_n(0))
+    return pages.select(*_visitor, event_time(F.col("ts")).alias("et"), _n(1).alias("pv_ct"), entry.alias("sv_ct"), F.col("page.during_time").alias("dur_sum"))
 
 
 def uv_facts(visits: DataFrame) -> DataFrame:
-    return visits.select(*_visitor, event_time(F.col("ts")).alias("et"), _one.alias("uv_ct"))
+    return visits.select(*_visitor, event_time(F.col("ts")).alias("et"), _n(1).alias("uv_ct"))
 
 
 def uj_facts(jumps: DataFrame) -> DataFrame:
-    return jumps.select(*_visitor, event_time(F.col("ts")).alias("et"), _one.alias("uj_ct"))
+    return jumps.select(*_visitor, event_time(F.col("ts")).alias("et"), _n(1).alias("uj_ct"))
 
 
 def visitor_facts(pages: DataFrame, visits: DataFrame, jumps: DataFrame) -> DataFrame:
@@ -47,21 +51,21 @@ def visitor_facts(pages: DataFrame, visits: DataFrame, jumps: DataFrame) -> Data
 
 def click_facts(pages: DataFrame) -> DataFrame:
     hit = pages.where("page.page_id = 'good_detail' AND page.item_type = 'sku_id'")
-    return hit.select(F.col("page.item").try_cast("long").alias("sku_id"), event_time(F.col("ts")).alias("et"), _one.alias("click_ct"))
+    return hit.select(F.col("page.item").try_cast("long").alias("sku_id"), event_time(F.col("ts")).alias("et"), _n(1).alias("click_ct"))
 
 
 def display_facts(pages: DataFrame) -> DataFrame:
     shown = displays(pages).where("item_type = 'sku_id'")
-    return shown.select(F.col("item").try_cast("long").alias("sku_id"), event_time(F.col("ts")).alias("et"), _one.alias("display_ct"))
+    return shown.select(F.col("item").try_cast("long").alias("sku_id"), event_time(F.col("ts")).alias("et"), _n(1).alias("display_ct"))
 
 
 def favor_facts(favors: DataFrame) -> DataFrame:
-    return favors.select("sku_id", "et", _one.alias("favor_ct"))
+    return favors.select("sku_id", "et", _n(1).alias("favor_ct"))
 
 
 def cart_facts(carts: DataFrame, measure: str = "sku_num") -> DataFrame:
     """measure: 'sku_num' counts pieces, 'rows' counts additions."""
-    return carts.select("sku_id", "et", (F.col("sku_num").cast("long") if measure == "sku_num" else _one).alias("cart_ct"))
+    return carts.select("sku_id", "et", (F.col("sku_num").cast("long") if measure == "sku_num" else _n(1)).alias("cart_ct"))
 
 
 def order_facts(wide: DataFrame, amount_col: str = "split_total_amount") -> DataFrame:
@@ -78,8 +82,8 @@ def refund_facts(refunds: DataFrame) -> DataFrame:
 
 
 def comment_facts(comments: DataFrame) -> DataFrame:
-    good = F.when(F.col("appraise") == GOOD, _one).otherwise(_zero)
-    return comments.select("sku_id", "et", _one.alias("comment_ct"), good.alias("good_comment_ct"))
+    good = F.when(F.col("appraise") == GOOD, _n(1)).otherwise(_n(0))
+    return comments.select("sku_id", "et", _n(1).alias("comment_ct"), good.alias("good_comment_ct"))
 
 
 _counts = ["display_ct", "click_ct", "favor_ct", "cart_ct", "order_sku_num", "comment_ct", "good_comment_ct"]
@@ -95,7 +99,7 @@ def product_facts(*facts: DataFrame) -> DataFrame:
     have = set(out.columns)
     kinds = {c: "long" for c in [*_counts, *_distinct.values()]} | {c: schemas.MONEY for c in _amounts}
     out = out.withColumns({c: F.lit(None).cast(k) for c, k in kinds.items() if c not in have})
-    zeros = {c: F.coalesce(c, _zero) for c in _counts} | {c: F.coalesce(F.col(c).cast(schemas.MONEY), _money0()) for c in _amounts}
+    zeros = {c: F.coalesce(c, _n(0)) for c in _counts} | {c: F.coalesce(F.col(c).cast(schemas.MONEY), _n(0, schemas.MONEY)) for c in _amounts}
     return out.withColumns(zeros).select("sku_id", "et", *_counts, *_amounts, *_distinct.values())
 
 

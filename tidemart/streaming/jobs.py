@@ -64,9 +64,9 @@ def base_db(raw: DataFrame, config: Callable[[SparkSession], DataFrame], facts:
     return changes, route
 
 
-def unique_visit(raw: DataFrame) -> DataFrame:
+def unique_visit(raw: DataFrame, forget: bool = True) -> DataFrame:
     rows = parsed(raw).select("mid", "ts", blank(F.col("page.last_page_id")).alias("entry"), day_text(F.col("et")).alias("day"), "value")
-    return processors.unique_visits(rows).select("value")
+    return processors.unique_visits(rows, forget).select("value")
 
 
 def user_jump(raw: DataFrame, delay: str = "2 seconds", within_ms: int = 10_000) -> DataFrame:

@@ -38,10 +38,13 @@ class RepairIsNew(StatefulProcessor):
 
 
 class FirstVisit(StatefulProcessor):
-    """Emits an entry page whose day is not the last one seen; the day is forgotten 24 hours after it was set."""
+    """Emits an entry page whose day is not the last one seen; with forget, the day is forgotten 24 hours after it was set."""
+
+    def __init__(self, forget: bool = True) -> None:
+        self.forget = forget
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.day = handle.getValueState("day", "day string", ttlDurationMs=DAY_MS)
+        self.day = handle.getValueState("day", "day string", **({"ttlDurationMs": DAY_MS} if self.forget else {}))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         out = _in_order(rows)
@@ -101,9 +104,10 @@ def repaired_is_new(rows: DataFrame) -> DataFrame:
     return rows.groupBy("mid").transformWithStateInPandas(RepairIsNew(), "mid string, ts long, is_new string, value string", "append", "none")
 
 
-def unique_visits(rows: DataFrame) -> DataFrame:
-    """rows (mid, ts, entry, day, value)."""
-    return rows.groupBy("mid").transformWithStateInPandas(FirstVisit(), "mid string, ts long, value string", "append", "processingTime")
+def unique_visits(rows: DataFrame, forget: bool = True) -> DataFrame:
+    """rows (mid, ts, entry, day, value). Forgetting goes by the clock, so such a query never comes to an end by itself; a run over what
+    is there (Job.start(once=True)) needs forget=False."""
+    return rows.groupBy("mid").transformWithStateInPandas(FirstVisit(forget), "mid string, ts long, value string", "append", "processingTime" if forget else "none")
 
 
 def user_jumps(rows: DataFrame, within_ms: int = 10_000) -> DataFrame:
