@@ -204,6 +204,7 @@ def settle(rows: Iterator[tuple], steps: int, length: int, most_runs: int = MOST
 def repeated_spans(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, most_runs: int = MOST_RUNS) -> DataFrame:
     """docs (key, text): key, s, e: bytes [s, e) of the text are windows that stand elsewhere too. Spans may overlap."""
     spark = docs.sparkSession
+    levels = [min(x, length - anchor + 1) for x in STEPS]  # the windows of a run share bytes
     found = scratch.written(anchored(docs, length, anchor), "anchors")
     often = found.groupBy("g").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("g")
     repeated = scratch.written(found.join(often, "g").withColumn("c", F.xxhash64("g", "e", "left")), "repeated")
@@ -223,7 +224,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
                 raw, rows = memoryview(text.as_buffer()), []
                 for x in cs.as_py():
                     part = bytes(raw[x["lo"] : x["lo"] + x["n"] - 1 + length])
-                    rows += cut_runs(x["c"], 0, x["n"], x["left"], x["w"], part, STEPS[0], length, poly)
+                    rows += cut_runs(x["c"], 0, x["n"], x["left"], x["w"], part, levels[0], length, poly)
                 yield _batch(rows)
 
     def next_runs(steps: int):
@@ -243,7 +244,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
 
     runs = docs.join(wanted, "key").select(F.col("text").cast("binary").alias("text"), "cs").mapInArrow(first_runs, RUNS)
     known = None
-    for steps in [*STEPS[1:], 1]:
+    for steps in [*levels[1:], 1]:
         sorted_ = runs.select("name", "content", "c", "a", "n", "left", "w", "text").repartition("name").sortWithinPartitions("name", "content")
         level = scratch.written(sorted_.mapInArrow(next_runs(steps), RUNS), "runs")
         now = level.where("kind = 0").select("c", "a", "n")
