@@ -48,7 +48,7 @@ def run(rows, tmp):
     return rows.sparkSession.read.parquet(str(tmp / "out"))
 
 
-END = {"common": {"mid": "end"}, "page": {"page_id": "x", "last_page_id": "y"}, "ts": BASE + 10_000_000_000, "n": -1}
+END = {"common": {"mid": "end"}, "page": {"page_id": "x", "last_page_id": "search", "item": "end", "item_type": "keyword"}, "ts": BASE + 10_000_000_000, "n": -1}
 
 
 def numbers(df):
