@@ -149,9 +149,9 @@ class Tables:
         return as_json(o).unionByName(as_json(c))
 
     def routing(self) -> DataFrame:
-        rows = [
-            ("order_info", "insert", "kafka", "dwd_order_info", "id,status", None, None),
-            ("order_info", "update", "kafka", "dwd_order_info_update", "id,status,missing", None, None),
-            ("user_info", "insert", "hbase", "dim_user_info", "id,name", "id", None),
-        ]
-        return self.spark.createDataFrame(rows, schemas.ROUTING)
+        names = ", ".join(x.split()[0] for x in schemas.ROUTING.split(", "))
+        none = "CAST(NULL AS STRING)"
+        rows = f"""('order_info', 'insert', 'kafka', 'dwd_order_info', 'id,status', {none}, {none}),
+            ('order_info', 'update', 'kafka', 'dwd_order_info_update', 'id,status,missing', {none}, {none}),
+            ('user_info', 'insert', 'hbase', 'dim_user_info', 'id,name', 'id', {none})"""
+        return self.spark.sql(f"SELECT * FROM VALUES {rows} AS t({names})")
