@@ -7,7 +7,8 @@ alike. Then
 
 1. equal sets become one class, and classes with the same prefix and the same size become one group; groups whose prefix (and a few
    shingles after it) meets too few others' to be similar to any are done;
-2. groups that share a prefix shingle are candidates if size and position allow the overlap that t asks for;
+2. groups that share a prefix shingle are candidates if size, position and the parities of their shingles' hashes (a lower bound on
+   how many shingles only one of them has) allow the overlap that t asks for;
 3. group pairs are expanded to classes, whose whole sets are compared.
 
 What is asked for are the components of the links, so a pair whose members are known to be connected is not compared. For
@@ -37,6 +38,8 @@ PERCENT, WORDS = 90, 3
 #: The table of counters has 2**COUNTER_BITS entries of 4 bytes: what the driver and each task hold, whatever the input.
 COUNTER_BITS = 20
 PIVOT_ROUNDS = 2
+#: Bits of a set's parities.
+BITS = 512
 #: A third as many shingles again as the prefix has are listed.
 SPARE = 3
 _CHUNK = 1 << 14
@@ -134,24 +137,29 @@ def signatures(docs: DataFrame, counts: np.ndarray, percent: int = PERCENT, k: i
 
 
 def whole_sets(docs: DataFrame, k: int = WORDS) -> DataFrame:
-    """id, shingles (array<bigint>) of docs (id, text)."""
+    """id, shingles (array<bigint>), parity (array<bigint>: of BITS counters, whether an odd number of shingles falls on each) of docs (id, text)."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHasher()
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
-                found = [s.view(np.int64) for s in shingles(part.column(1), hasher, k)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.list_(pa.int64()))], names=["id", "shingles"])
+                found = list(shingles(part.column(1), hasher, k))
+                odd = [np.packbits(np.bincount((s % np.uint64(BITS)).astype(np.int64), minlength=BITS) & 1).view(np.int64) for s in found]
+                lists = pa.list_(pa.int64())
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.view(np.int64) for s in found], lists), pa.array(odd, lists)], names=["id", "shingles", "parity"])
 
-    return docs.select("id", F.col("text").cast("string").alias("text")).mapInArrow(sets, "id long, shingles array<bigint>")
+    return docs.select("id", F.col("text").cast("string").alias("text")).mapInArrow(sets, "id long, shingles array<bigint>, parity array<bigint>")
 
 
 def _may_overlap(percent: int):
     """Whether groups of sizes n, m that meet at places i, j of their prefixes can still have the overlap for percent."""
     need = F.ceil((percent * (F.col("n") + F.col("m"))) / (100 + percent) - F.lit(1e-9))
     most = F.least("i", "j") + F.least(F.col("n") - F.col("i"), F.col("m") - F.col("j"))
-    return (100 * F.least("n", "m") >= percent * F.greatest("n", "m")) & (most >= need)
+    # Each shingle that only one set has turns one bit of parity: sets differ in as many shingles as in bits, at least. Null: unknown.
+    apart = sum((F.bit_count(F.col(f"x{k}").bitwiseXOR(F.col(f"y{k}"))) for k in range(1, BITS // 64)), F.bit_count(F.col("x0").bitwiseXOR(F.col("y0"))))
+    near = F.coalesce((100 + percent) * apart <= (100 - percent) * (F.col("n") + F.col("m")), F.lit(True))
+    return (100 * F.least("n", "m") >= percent * F.greatest("n", "m")) & (most >= need) & near
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -170,8 +178,11 @@ def linked(docs: DataFrame, percent: int = PERCENT, k: int = WORDS) -> DataFrame
     one shingle, all their words. Rows with equal ids count as one document's copies: each row is returned. Rows with a null id
     are returned with null class and component. Other columns are ignored. An empty table gives no rows.
     """
-    spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    with scratch.small_batches(docs.sparkSession):  # all work on texts is done in here
+        return _linked(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), percent, k)
+
+
+def _linked(docs: DataFrame, percent: int, k: int) -> DataFrame:
     signed = scratch.written(signatures(docs, counters(docs, k=k), percent, k), "signatures")
     usable = signed.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
 
@@ -186,11 +197,11 @@ def linked(docs: DataFrame, percent: int = PERCENT, k: int = WORDS) -> DataFrame
 
     # Similar sets share more of their lists than one shingle: all spare ones count. A group with fewer listed shingles that any other
     # group lists is similar to none; what passes is a small part of the corpus, unless that is full of near copies.
-    tokens = listed.select("g", "n", F.explode("list").alias("token"))
-    met = tokens.select("g", "n", (F.count(F.lit(1)).over(Window.partitionBy("token")) > 1).alias("met")).where("met").groupBy("g", "n").count()
+    tokens = listed.select("g", F.explode("list").alias("token"))
+    met = tokens.select("g", (F.count(F.lit(1)).over(Window.partitionBy("token")) > 1).alias("met")).where("met").groupBy("g").count()
     least = F.ceil(F.lit(percent) * F.col("n") / 100).cast("long")  # a similar set's least size
     enough = 1 + F.floor((least - F.ceil(F.lit(percent) * least / 100)) / SPARE)
-    active = met.where(F.col("count") >= enough).select("g")
+    active = met.join(members.where("g = c").select("g", "n"), "g").where(F.col("count") >= enough).select("g")
     crowded = members.where("classes > 1").select("g")
     active = scratch.written(active.union(crowded).distinct(), "active")
     prefix = F.slice("list", F.lit(1), (F.col("n") - F.ceil(F.lit(percent) * F.col("n") / 100) + 1).cast("int"))
@@ -200,6 +211,11 @@ def linked(docs: DataFrame, percent: int = PERCENT, k: int = WORDS) -> DataFrame
     texts = docs.join(members.select(F.col("c").alias("id")), F.col("doc_id") == F.col("id")).select("id", "text")
     sets = scratch.written(whole_sets(texts, k).dropDuplicates(["id"]), "sets")
 
+    alone = members.groupBy("g").agg(F.min("c").alias("id"), F.count(F.lit(1)).alias("classes")).where("classes = 1").select("g", "id")
+    parity = alone.join(sets, "id").select("g", *[F.col("parity")[k].alias(f"x{k}") for k in range(BITS // 64)])
+    parity = scratch.written(parity, "parity")
+    bits = [f"x{k}" for k in range(BITS // 64)]
+
     label = scratch.written(members.select("c", F.col("c").alias("component")), "components")
     tried = None
     for turn in range(PIVOT_ROUNDS + 1):
@@ -207,11 +223,11 @@ def linked(docs: DataFrame, percent: int = PERCENT, k: int = WORDS) -> DataFrame
         state = scratch.written(state, "state")
         spread = postings.join(state, "g")
         unsettled = spread.groupBy("token").agg(F.min("low").alias("l"), F.max("high").alias("h")).where("l <> h").select("token")
-        spread = scratch.written(spread.join(unsettled, "token"), "unsettled")
+        spread = scratch.written(spread.join(unsettled, "token").join(parity, "g", "left"), "unsettled")
         mixed = state.where("low <> high").select("g")
         whole = members.select("g", F.col("c").alias("a"))
         if turn < PIVOT_ROUNDS:
-            pivot = F.min_by(F.struct(F.col("g").alias("h"), F.col("n").alias("m"), F.col("i").alias("j")), F.xxhash64(F.lit(turn), "g"))
+            pivot = F.min_by(F.struct(F.col("g").alias("h"), F.col("n").alias("m"), F.col("i").alias("j"), *[F.col(b).alias(f"y{b[1:]}") for b in bits]), F.xxhash64(F.lit(turn), "g"))
             pivots = spread.groupBy("token").agg(pivot.alias("p")).select("token", "p.*")
             near = spread.join(pivots, "token").where((F.col("g") != F.col("h")) & _may_overlap(percent)).select("g", "h").distinct()
             # Expand: every class of the one group against a pivot class of the other, and every class against its own group's.
@@ -219,7 +235,7 @@ def linked(docs: DataFrame, percent: int = PERCENT, k: int = WORDS) -> DataFrame
             pairs = near.join(whole, "g").join(one.select(F.col("g").alias("h"), "b"), "h").select("a", "b")
             pairs = pairs.union(whole.join(mixed, "g").join(one, "g").select("a", "b"))
         else:
-            other = spread.select("token", F.col("g").alias("h"), F.col("n").alias("m"), F.col("i").alias("j"), F.col("low").alias("low2"), F.col("high").alias("high2"))
+            other = spread.select("token", F.col("g").alias("h"), F.col("n").alias("m"), F.col("i").alias("j"), F.col("low").alias("low2"), F.col("high").alias("high2"), *[F.col(b).alias(f"y{b[1:]}") for b in bits])
             settled = (F.col("low") == F.col("high")) & (F.col("low2") == F.col("high2")) & (F.col("low") == F.col("low2"))
             near = spread.join(other, "token").where((F.col("g") < F.col("h")) & ~settled & _may_overlap(percent)).select("g", "h").distinct()
             near = near.union(mixed.select("g", F.col("g").alias("h")))
