@@ -14,7 +14,6 @@ so scoring a batch is one matrix product of its presence matrix.
 from __future__ import annotations
 
 import re
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemart.llm.arrow_text import blocks, utf8
+from tidemart.llm.arrow_text import blocks, sliced, utf8
 from tidemart.llm.tables import table
 
 #: Documents of each language that the model is fitted on, and how many of them are landmarks.
@@ -44,17 +43,13 @@ class Model:
 
 #: Where the codes of n-grams of each length begin.
 BEGIN = np.array([0, 1 << 8, (1 << 8) + (1 << 16), (1 << 8) + (1 << 16) + (1 << 24)])
-_tables: dict[int, np.ndarray] = {}
 
 
-def _feature(codes: np.ndarray) -> np.ndarray:
-    """Feature number (from 1) of each code, 0 for those outside the universe. Made once a worker."""
-    key = zlib.crc32(codes.tobytes())
-    if key not in _tables:
-        _tables.clear()
-        _tables[key] = np.zeros(BEGIN[3], np.int32)
-        _tables[key][codes] = np.arange(1, len(codes) + 1)
-    return _tables[key]
+def features(codes: np.ndarray) -> np.ndarray:
+    """Feature number (from 1) of each code, 0 for those outside the universe."""
+    out = np.zeros(BEGIN[3], np.uint16 if len(codes) < 1 << 16 else np.int32)
+    out[codes] = np.arange(1, len(codes) + 1)
+    return out
 
 
 def _codes(b: np.ndarray) -> list[np.ndarray]:
@@ -65,9 +60,9 @@ def _codes(b: np.ndarray) -> list[np.ndarray]:
     return [x, two + np.int32(BEGIN[1]), three + np.int32(BEGIN[2])]
 
 
-def presence(data: np.ndarray, offsets: np.ndarray, codes: np.ndarray) -> np.ndarray:
-    """rows x universe: 1 where the row has the n-gram."""
-    feature, n, d = _feature(codes), len(offsets) - 1, len(codes) + 1
+def presence(data: np.ndarray, offsets: np.ndarray, feature: np.ndarray, universe: int) -> np.ndarray:
+    """rows x universe: 1 where the row has the n-gram. feature: features() of the universe."""
+    n, d = len(offsets) - 1, universe + 1
     out = np.zeros(n * d, np.uint8)
     b, off = data[offsets[0] : offsets[-1]], offsets - offsets[0]
     base = np.repeat(np.arange(n, dtype=np.int64) * d, np.diff(off))
@@ -86,12 +81,12 @@ def _normal(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt(np.maximum(x.sum(1, keepdims=True), 1))
 
 
-def _batch_rows(data: np.ndarray, offsets: np.ndarray, codes: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+def _batch_rows(data: np.ndarray, offsets: np.ndarray, feature: np.ndarray, universe: int) -> Iterator[tuple[int, np.ndarray]]:
     """(first row, presence) of batches of bounded size."""
     for i, j in blocks(offsets, 1 << 18):
         for s in range(i, j, 128):
             e = min(s + 128, j)
-            yield s, presence(data, offsets[s : e + 1], codes)
+            yield s, presence(data, offsets[s : e + 1], feature, universe)
 
 
 def training_rows(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
@@ -118,7 +113,7 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, landmarks: int = LAND
     codes = np.flatnonzero(seen)
     if not len(codes):
         codes = np.array([32])
-    x = np.concatenate([_normal(p) for _, p in _batch_rows(data, offsets, codes)])
+    x = np.concatenate([_normal(p) for _, p in _batch_rows(data, offsets, features(codes), len(codes))])
     z = x[chosen]
     values, vectors = np.linalg.eigh((z @ z.T).astype(np.float64))
     keep = values > 1e-6 * max(values.max(), 1e-12)
@@ -144,18 +139,20 @@ def predicted(docs: DataFrame, model: Model | None) -> DataFrame:
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        for b in batches:
+        feature = None if model is None else features(model.codes)
+        for b in sliced(batches):
             texts = b.column(at).to_pylist()
             label, value = np.full(len(texts), UNKNOWN, object), np.zeros(len(texts))
             if model is not None:
                 data, offsets = utf8(pa.array([(x or "").lower() for x in texts], pa.large_string()))
-                for s, p in _batch_rows(data, offsets, model.codes):
+                for s, p in _batch_rows(data, offsets, feature, len(model.codes)):
                     out = _normal(p) @ model.weights
                     label[s : s + len(p)] = np.array(model.languages, object)[out.argmax(1)]
                     value[s : s + len(p)] = np.clip(out.max(1), 0, 1)
                 bad = [i for i, x in enumerate(texts) if not x or not _letter.search(x)]
                 label[bad], value[bad] = UNKNOWN, 0.0
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(label, pa.string()), pa.array(value, pa.float64())], names=names)
+        pa.default_memory_pool().release_unused()
 
     return docs.mapInArrow(score, schema)
 

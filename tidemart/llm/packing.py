@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemart.llm import scratch, tokens
+from tidemart.llm.arrow_text import sliced
 from tidemart.llm.tables import table
 
 SEQUENCE_TOKENS = 4096
@@ -67,7 +68,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, by_word: bool = True, l
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, end = tokens.encoder(tokenizer, by_word), np.array([end_id], "<u4")
-        for batch in batches:
+        for batch in sliced(batches, 4000):
             rows: list[list] = [[], [], [], [], [], []]
             for doc_id, found in zip(batch.column(0).to_pylist(), enc.encode_all(batch.column(1)), strict=True):
                 ids = np.concatenate([found, end]).astype("<u4").tobytes()

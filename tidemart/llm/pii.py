@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemart.llm.arrow_text import sliced
 from tidemart.llm.tables import table
 
 #: In the order in which spans that begin together are listed.
@@ -206,7 +207,7 @@ def spans(docs: DataFrame) -> DataFrame:
     as_rows = lambda found: [dict(zip(("start", "end", "kind"), x, strict=True)) for x in found]
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             base, added = [], []
             for text in b.column(1):
                 text = text.as_py() or ""
@@ -226,7 +227,7 @@ def masked(docs: DataFrame) -> DataFrame:
     at, schema = docs.columns.index("text"), docs.schema
 
     def mask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             texts = []
             for text in b.column(at):
                 text = text.as_py()
