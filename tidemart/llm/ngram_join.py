@@ -36,12 +36,12 @@ from tidemart.llm.tables import table
 #: The similarity is PERCENT / 100 or more.
 PERCENT, WORDS = 90, 3
 #: The table of counters has 2**COUNTER_BITS entries of 4 bytes: what the driver and each task hold, whatever the input.
-COUNTER_BITS = 20
+COUNTER_BITS = 21
 PIVOT_ROUNDS = 2
 #: Bits of a set's parities.
 BITS = 512
-#: A third as many shingles again as the prefix has are listed.
-SPARE = 3
+#: A SPARE-th of a set's shingles are listed beyond the prefix.
+SPARE = 10
 _CHUNK = 1 << 14
 
 
@@ -98,8 +98,8 @@ def first_needed(n: int, percent: int) -> int:
 
 
 def spare(n: int, percent: int) -> int:
-    """How many more shingles are listed than the prefix has; it grows with n."""
-    return (first_needed(n, percent) - 1) // SPARE
+    """How many more shingles are listed than the prefix has, at most the others that a similar set shares; it grows with n."""
+    return min(n // SPARE, (percent * n + 99) // 100 - 1)
 
 
 def signatures(docs: DataFrame, counts: np.ndarray, percent: int = PERCENT, k: int = WORDS) -> DataFrame:
@@ -200,7 +200,7 @@ def _linked(docs: DataFrame, percent: int, k: int) -> DataFrame:
     tokens = listed.select("g", F.explode("list").alias("token"))
     met = tokens.select("g", (F.count(F.lit(1)).over(Window.partitionBy("token")) > 1).alias("met")).where("met").groupBy("g").count()
     least = F.ceil(F.lit(percent) * F.col("n") / 100).cast("long")  # a similar set's least size
-    enough = 1 + F.floor((least - F.ceil(F.lit(percent) * least / 100)) / SPARE)
+    enough = 1 + F.least(F.floor(least / SPARE), F.ceil(F.lit(percent) * least / 100) - 1)
     active = met.join(members.where("g = c").select("g", "n"), "g").where(F.col("count") >= enough).select("g")
     crowded = members.where("classes > 1").select("g")
     active = scratch.written(active.union(crowded).distinct(), "active")
