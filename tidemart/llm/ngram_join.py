@@ -217,7 +217,7 @@ def _linked(docs: DataFrame, percent: int, k: int) -> DataFrame:
     bits = [f"x{k}" for k in range(BITS // 64)]
 
     label = scratch.written(members.select("c", F.col("c").alias("component")), "components")
-    tried = None
+    tried, done = None, [active, postings, members, sets, parity]
     for turn in range(PIVOT_ROUNDS + 1):
         state = members.join(label, "c").groupBy("g").agg(F.min("component").alias("low"), F.max("component").alias("high"))
         state = scratch.written(state, "state")
@@ -249,11 +249,14 @@ def _linked(docs: DataFrame, percent: int, k: int) -> DataFrame:
         tried = pairs.select("a", "b") if tried is None else tried.union(pairs.select("a", "b"))
         # The links join components as they were; what that connects is found on those alone.
         new = scratch.written(_verified(pairs, sets, percent).select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct(), "verified")
+        done += [state, spread, pairs, new]
         if not new.isEmpty():
             found = components(new).withColumnRenamed("component", "joined")
             label = label.join(found, F.col("component") == F.col("node"), "left").select("c", F.coalesce("joined", "component").alias("component"))
             label = scratch.written(label, "components")
 
+    for used in done:  # nothing that is returned reads them
+        scratch.drop(used.sparkSession, used)
     of_class = classes.join(label, F.col("class_id") == F.col("c"), "left").select(
         *name, "class_id", F.coalesce("component", "class_id").alias("component_id")
     )
