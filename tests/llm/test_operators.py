@@ -288,6 +288,22 @@ def test_language_model(spark):
     assert lm.scored(d.limit(0), F.lit(False)).count() == 0
 
 
+def test_language_model_learns_from_all_training_documents(spark):
+    d = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").union(spark.createDataFrame([(None, "x"), (7, None)], "doc_id long, text string"))
+    seen = [(r.doc_id, r.text) for k in range(lm.ROUNDS) for r in lm.part(d, k, lm.ROUNDS, lm.TRAIN_SHARE).collect()]
+    assert Counter(seen) == Counter((r.doc_id, r.text) for r in d.collect())
+
+
+def test_long_texts_make_no_steps_of_their_own():
+    # 256 texts of one symbol each and a long one of another: the long one's tail must not undo what the others taught.
+    shape = gru.Shape(heads=8, members=4, forms=2, hidden=3)
+    texts = [np.full(12, k % 4) for k in range(255)] + [np.full(9000, 5)]
+    flat = gru.initial(shape, np.ones(shape.symbols))
+    (new, seen), (single, _) = gru.train(shape, flat, [texts]), gru.train(shape, flat, [texts], least=1)
+    fit = lambda w: gru.log_probabilities(shape, w, texts[:255]).sum()
+    assert seen == 255 * 13 + 9001 and fit(new) > fit(single)
+
+
 def test_gradients():
     shape = gru.Shape(heads=8, members=4, forms=2, hidden=3)
     rng = np.random.default_rng(0)

@@ -159,12 +159,25 @@ def log_probabilities(shape: Shape, flat: np.ndarray, texts: list[np.ndarray], l
     return out
 
 
-def train(shape: Shape, flat: np.ndarray, batches, lanes: int = 256, steps: int = 16, rate: float = 0.02) -> tuple[np.ndarray, int]:
-    """Fits by Adam on batches (lists of texts), truncating gradients at windows of steps positions while the state goes on.
+def train(shape: Shape, flat: np.ndarray, batches, lanes: int = 256, steps: int = 16, rate: float = 0.02, least: int = 1024) -> tuple[np.ndarray, int]:
+    """Fits by Adam on batches (lists of texts), truncating gradients at windows of steps positions while the state goes on. Windows
+    are added up to a step of least positions, or to the batch's end: the few lanes of the longest texts make no steps of their own.
     Returns the new weights and the number of positions seen."""
     flat, seen, n_step = flat.copy(), 0, 0
     m1, m2 = np.zeros_like(flat), np.zeros_like(flat)
     v, hid = shape.views(flat), shape.hidden
+    g_flat, held = np.zeros_like(flat), 0
+    g = shape.views(g_flat)
+
+    def step() -> None:
+        nonlocal held, n_step
+        n_step += 1
+        g_flat[:] /= held
+        m1[:] += 0.1 * (g_flat - m1)
+        m2[:] += 0.01 * (g_flat * g_flat - m2)
+        flat[:] -= rate * (m1 / (1 - 0.9**n_step)) / (np.sqrt(m2 / (1 - 0.99**n_step)) + 1e-6)
+        g_flat[:], held = 0, 0
+
     for texts in batches:
         groups = list(_lanes(texts, lanes, shape.end))
         for group, lengths in [groups[i] for i in np.random.default_rng(len(texts)).permutation(len(groups))]:
@@ -180,8 +193,6 @@ def train(shape: Shape, flat: np.ndarray, batches, lanes: int = 256, steps: int
                     h = new
                 states = np.stack(hs)
                 t_, lane = np.nonzero(y.T >= 0)
-                g_flat = np.zeros_like(flat)
-                g = shape.views(g_flat)
                 _, d = _outputs(shape, v, states[t_, lane], y[lane, t_], g)
                 d_states = np.zeros_like(states)
                 d_states[t_, lane] = d
@@ -200,10 +211,9 @@ def train(shape: Shape, flat: np.ndarray, batches, lanes: int = 256, steps: int
                 order = np.argsort(ids, kind="stable")
                 first = np.flatnonzero(np.diff(ids[order], prepend=-1))
                 g["inp"][ids[order][first]] += np.add.reduceat(rows[order], first)
-                n = len(t_)
-                seen, n_step = seen + n, n_step + 1
-                g_flat /= max(n, 1)
-                m1 += 0.1 * (g_flat - m1)
-                m2 += 0.01 * (g_flat * g_flat - m2)
-                flat -= rate * (m1 / (1 - 0.9**n_step)) / (np.sqrt(m2 / (1 - 0.99**n_step)) + 1e-6)
+                seen, held = seen + len(t_), held + len(t_)
+                if held >= least:
+                    step()
+        if held:
+            step()
     return flat, seen

@@ -23,7 +23,7 @@ from tidemart.llm.tables import table
 #: Counts that each task holds: those of the most frequent words. All others are joined.
 FREQUENT = 1 << 18
 #: Share of the training documents, by a hash of the id, on which the recurrent weights are fitted; in how many rounds.
-TRAIN_SHARE, ROUNDS = 0.25, 2
+TRAIN_SHARE, ROUNDS = 1.0, 2
 #: Distinct words that a task counts before it passes them on.
 HELD_WORDS = 1 << 21
 _fold = np.arange(256, dtype=np.uint8)
@@ -112,12 +112,17 @@ class Vocabulary:
         return np.where(symbol >= 0, symbol, heads + form), np.where(here, self.counts[at], 0), here
 
 
+def part(docs: DataFrame, round_: int, rounds: int, share: float) -> DataFrame:
+    """The rows of docs (doc_id, text) that a round learns from: the rounds split the share, so that all of them see each of its rows once."""
+    mark = F.pmod(F.xxhash64(F.lit(11), "doc_id", "text"), F.lit(1 << 30))
+    lo, hi = (int(share * (1 << 30) * (round_ + k) / rounds) for k in (0, 1))
+    return docs.where((mark >= lo) & (mark < hi))
+
+
 def trained(docs: DataFrame, shape: gru.Shape, vocabulary, flat: np.ndarray, round_: int, rounds: int, share: float) -> np.ndarray:
     """flat after one round: the mean over tasks, weighted by their words, of what each makes of it on its part of docs (doc_id, text)."""
     sc = docs.sparkSession.sparkContext
     start = sc.broadcast(flat)
-    mark = F.pmod(F.xxhash64(F.lit(11), "doc_id", "text"), F.lit(1 << 30))
-    lo, hi = (int(share * (1 << 30) * (round_ + k) / rounds) for k in (0, 1))
     schema = "chunk long, weight double, w array<double>"
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,7 +154,7 @@ def trained(docs: DataFrame, shape: gru.Shape, vocabulary, flat: np.ndarray, rou
         for k, (weight, w) in sums.items():
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([weight]), pa.array([w], pa.list_(pa.float64()))], names=["chunk", "weight", "w"])
 
-    parts = docs.where((mark >= lo) & (mark < hi)).select(F.col("text").cast("string").alias("text")).mapInArrow(fit, schema)
+    parts = part(docs, round_, rounds, share).select(F.col("text").cast("string").alias("text")).mapInArrow(fit, schema)
     out = flat.copy()
     for r in parts.repartition(8, "chunk").mapInArrow(add, schema).toLocalIterator():  # one model, whatever the input
         out[r[0] : r[0] + len(r[2])] = np.array(r[2]) / r[1]
