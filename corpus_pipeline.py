@@ -17,16 +17,20 @@ from pyspark.sql import functions as F
 from tidemart.llm import decontaminate, langid, ngram_join, packing, pii, scratch, tokens
 from tidemart.llm.tables import table
 
-#: Below this score no language is a fit.
-LEAST_SCORE = 0.1
+#: Below this score no language is a fit. Texts of fewer characters than SHORT hold too few n-grams for that: a clean word can score as low as random letters.
+LEAST_SCORE, SHORT, LEAST_SHORT = 0.25, 20, 0.1
 #: Near copies share 80 of 100 five-word shingles.
 PERCENT, WORDS = 80, 5
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Fits on the labelled rows of docs and scores all: those named 'und' or with a score below LEAST_SCORE go."""
-    scored = langid.predicted(docs, langid.fit(docs))
-    return scored.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("lang_score") >= LEAST_SCORE)).select(*docs.columns)
+    """Fits on the labelled rows of docs and scores all: those named 'und' or with a score below the least go. With no labelled row
+    nothing tells languages apart, so all rows with a letter stay."""
+    model = langid.fit(docs)
+    if model is None:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    least = F.when(F.length("text") < SHORT, LEAST_SHORT).otherwise(LEAST_SCORE)
+    return langid.predicted(docs, model).where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("lang_score") >= least)).select(*docs.columns)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 import sys
 import zlib
 from pathlib import Path
@@ -12,7 +13,7 @@ sys.path.insert(0, str(Path(__file__).parent))
 import brute
 import corpus_pipeline
 
-from tidemart.llm import pii, tokens
+from tidemart.llm import langid, pii, tokens
 
 SF = "/root/testdata/sf0.001"
 
@@ -50,3 +51,30 @@ def test_stages_keep_the_columns_and_take_empty_tables(spark):
         out = stage(spark, docs, SF)
         assert out.columns == docs.columns and out.count() == 0
     assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() == 0
+
+
+def test_language_rejects_what_no_learned_language_fits(spark):
+    rng = random.Random(3)
+    noise = [" ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randrange(3, 10))) for _ in range(n)) for n in (40, 40, 300)]
+    odd = ["Это простой русский текст, который модель никогда не видела. " * 4, "这是一个模型从未见过的中文文本，里面没有任何学过的语言。" * 4, "Αυτό είναι ένα απλό ελληνικό κείμενο. " * 3, "Привет мир 2024", *noise]
+    clean = ["Is", "Is and", "Iechä.", "Aieau pour", "Cióngaieción de", "Is and retitioning ouen the of"]
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = [(-1 - i, t) for i, t in enumerate(odd)] + [(10**6 + i, t) for i, t in enumerate(clean)]
+    more = docs.unionByName(spark.createDataFrame(rows, "doc_id long, text string"), allowMissingColumns=True)
+    kept = {r.doc_id for r in corpus_pipeline.language(spark, more, SF).collect()}
+    assert not {i for i in kept if i < 0} and {i for i in kept if i >= 10**6} == {10**6 + i for i in range(len(clean))}
+    assert {r.doc_id for r in docs.collect() if r.text and any(c.isalpha() for c in r.text)} == {i for i in kept if 0 <= i < 10**6}
+
+
+def test_language_without_labels_keeps_rows_with_letters(spark):
+    docs = spark.createDataFrame([(1, "some words", None), (2, "Привет", None), (3, "12 !", None), (4, None, None)], "doc_id long, text string, lang string")
+    assert {r.doc_id for r in corpus_pipeline.language(spark, docs, SF).collect()} == {1, 2}
+
+
+def test_distinct_ngrams_of_texts():
+    texts = [b"", b"a", b"aaaa", "été été".encode(), b"ab", b"the end of it all"]
+    offsets = np.cumsum([0, *map(len, texts)])
+    want = [len({t[i : i + n] for n in (1, 2, 3) for i in range(len(t) - n + 1)}) for t in texts]
+    assert langid.kinds(np.frombuffer(b"".join(texts), np.uint8), offsets).tolist() == want
+    for t, n in zip(texts, want, strict=True):
+        assert langid.kinds(np.frombuffer(t, np.uint8), np.array([0, len(t)])).tolist() == [n]

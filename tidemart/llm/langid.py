@@ -75,18 +75,27 @@ def presence(data: np.ndarray, offsets: np.ndarray, feature: np.ndarray, univers
     return out.reshape(n, d)[:, 1:]
 
 
-def _normal(x: np.ndarray) -> np.ndarray:
-    """Rows over the root of their number of n-grams."""
-    x = x.astype(np.float32)
-    return x / np.sqrt(np.maximum(x.sum(1, keepdims=True), 1))
+def kinds(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Number of distinct n-grams of each row (128 at most), in the universe or not."""
+    b, off = data[offsets[0] : offsets[-1]], offsets - offsets[0]
+    row = np.repeat(np.arange(len(off) - 1, dtype=np.uint32) << np.uint32(25), np.diff(off))  # codes take 25 bits
+    left = np.repeat(off[1:], np.diff(off)) - np.arange(len(b))
+    keys = np.concatenate([(row[: len(c)] | c.astype(np.uint32))[left[: len(c)] > k] for k, c in enumerate(_codes(b))])
+    keys.sort()
+    return np.bincount(keys[np.diff(keys, prepend=~keys[:1]) != 0] >> np.uint32(25), minlength=len(off) - 1)
+
+
+def _normal(x: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Rows over the root of n, their texts' numbers of n-grams."""
+    return x.astype(np.float32) / np.sqrt(np.maximum(n, 1)).astype(np.float32)[:, None]
 
 
 def _batch_rows(data: np.ndarray, offsets: np.ndarray, feature: np.ndarray, universe: int) -> Iterator[tuple[int, np.ndarray]]:
-    """(first row, presence) of batches of bounded size."""
+    """(first row, normalised presence) of batches of bounded size."""
     for i, j in blocks(offsets, 1 << 18):
         for s in range(i, j, 128):
             e = min(s + 128, j)
-            yield s, presence(data, offsets[s : e + 1], feature, universe)
+            yield s, _normal(presence(data, offsets[s : e + 1], feature, universe), kinds(data, offsets[s : e + 1]))
 
 
 def training_rows(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
@@ -113,7 +122,7 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, landmarks: int = LAND
     codes = np.flatnonzero(seen)
     if not len(codes):
         codes = np.array([32])
-    x = np.concatenate([_normal(p) for _, p in _batch_rows(data, offsets, features(codes), len(codes))])
+    x = np.concatenate([p for _, p in _batch_rows(data, offsets, features(codes), len(codes))])
     z = x[chosen]
     values, vectors = np.linalg.eigh((z @ z.T).astype(np.float64))
     keep = values > 1e-6 * max(values.max(), 1e-12)
@@ -146,7 +155,7 @@ def predicted(docs: DataFrame, model: Model | None) -> DataFrame:
             if model is not None:
                 data, offsets = utf8(pa.array([(x or "").lower() for x in texts], pa.large_string()))
                 for s, p in _batch_rows(data, offsets, feature, len(model.codes)):
-                    out = _normal(p) @ model.weights
+                    out = p @ model.weights
                     label[s : s + len(p)] = np.array(model.languages, object)[out.argmax(1)]
                     value[s : s + len(p)] = np.clip(out.max(1), 0, 1)
                 bad = [i for i, x in enumerate(texts) if not x or not _letter.search(x)]
