@@ -191,6 +191,13 @@ def test_benchmark_hits(spark):
     assert all(r.n_hit == 0 for r in decontaminate.hits(d, b.limit(0)).collect()) and decontaminate.hits(d.limit(0), b).count() == 0
 
 
+def test_benchmark_hits_of_words_whose_lower_case_depends_on_neighbours(spark):
+    for passage in ("ΟΔΟΣ.ΑΒ", "Κ.Σ.", "ΟΔΟΣ'ΑΒ x"):
+        d = spark.createDataFrame([(1, f"a {passage} b"), (2, "none of it")], "doc_id long, text string")
+        found = {r.doc_id: r.items for r in decontaminate.hits(d, spark.createDataFrame([(5, passage)], "item_id long, text string")).collect()}
+        assert found == {1: ["5"], 2: []}, passage
+
+
 def repeat_texts():
     rng = random.Random(5)
     make = lambda n: "".join(rng.choices("abcdé ", k=n))

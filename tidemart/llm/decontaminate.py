@@ -38,7 +38,8 @@ def folded(text: Column) -> Column:
 
 
 def rough(word: Column) -> Column:
-    """A key that equal words share whatever the case of their letters; it may also join others, which step 4 sorts out."""
+    """A key that equal words share whatever the case of their letters; it may also join others, which step 4 sorts out. Of a single
+    word on both sides: the lower case of a capital sigma depends on what surrounds it, also across a gap."""
     return F.lower(word)
 
 
@@ -67,7 +68,7 @@ def hits(docs: DataFrame, items: DataFrame, width: int = 13, broadcast_bytes: in
     windows = _windows(items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item_id"), "text"), width)
     windows = windows.withColumn("wid", F.xxhash64("item_id", F.array_join("w", " ")))
 
-    exploded = d.select("key", F.posexplode(words(F.lower("text"))).alias("at", "word"))
+    exploded = d.select("key", F.posexplode(F.transform(words(F.col("text")), rough)).alias("at", "word"))
     bench = windows.select(F.explode(F.transform("w", rough)).alias("word")).distinct()
     counts = exploded.select("word").join(small(bench), "word").groupBy("word").agg(F.count(F.lit(1)).alias("c"))
 
