@@ -5,10 +5,11 @@ from __future__ import annotations
 import json
 import os
 import random
+import time
 
 from pyspark.sql import functions as F
 
-from tidemart.operators import logs, stats, visits
+from tidemart.operators import logs, orders, stats, visits
 from tidemart.sources import sinks, topics
 from tidemart.streaming import jobs
 
@@ -84,6 +85,182 @@ def test_is_new_repair(spark, tmp_path):
     assert flags(have) == flags(want)
 
 
+def test_repaired_logs_keep_all_their_fields(spark, tmp_path):
+    more = {"actions": [{"id": 7, "ok": True}], "err": {"code": 5, "text": "x \"q\""}, "price": 1.25, "none": None}
+    rows = [r | more for r in records(40)]
+    got = run(jobs.base_log(topic(spark, tmp_path, rows)), tmp_path)
+    flags = {r.value: r.flag for r in logs.repaired_is_new(batch(spark, rows), "value").select("value", F.col("common.is_new").alias("flag")).collect()}
+    want = [r | {"common": r["common"] | {"is_new": flags[json.dumps(r)]}} for r in rows]
+    key = lambda r: json.dumps(r, sort_keys=True)
+    assert sorted(key(json.loads(r.value)) for r in got.collect()) == sorted(map(key, want))
+    assert any(r["common"]["is_new"] != w["common"]["is_new"] for r, w in zip(rows, want))
+
+
+# Orders ---------------------------------------------------------------------------------------------------------------
+
+
+def at(seconds):
+    return time.strftime("%Y-%m-%d %H:%M:%S", time.gmtime(BASE // 1000 + seconds))
+
+
+def shop():
+    """(orders, lines, payments) as records in order of time; a last one of each far in the future."""
+    rng = random.Random(8)
+    infos, lines, pays = [], [], []
+    for i in range(60):
+        made = i * 7
+        infos.append({"id": i, "province_id": i % 3, "order_status": "F", "user_id": i % 5, "total_amount": 10 + i, "create_time": at(made)})
+        for j in range(rng.randrange(1, 3)):
+            lines.append({"id": 100 * i + j, "order_id": i, "sku_id": j, "sku_num": j + 1, "split_total_amount": 2.5, "create_time": at(made + rng.choice([0, 1, 4, 9]))})
+        if i % 2:
+            pays.append({"id": 5000 + i, "order_id": i, "user_id": i % 5, "total_amount": 10 + i, "payment_type": "t", "create_time": at(made + rng.choice([0, 60, 800, 1000]))})
+    last = [{"id": 9999 + k, "order_id": -1 - k, "create_time": at(10**7)} for k in range(3)]
+    by_time = lambda rows: sorted(rows, key=lambda r: r["create_time"])
+    return by_time(infos) + last[:1], by_time(lines) + last[1:2], by_time(pays) + last[2:]
+
+
+def shop_streams(spark, tmp_path):
+    streams = []
+    for name, rows in zip(("infos", "lines", "pays"), shop()):
+        (tmp_path / name).mkdir()
+        streams.append(topic(spark, tmp_path / name, rows, 6))
+    return streams
+
+
+def shop_batch(spark):
+    raw = [spark.createDataFrame([(json.dumps(r),) for r in rows], "value string") for rows in shop()]
+    wide = orders.order_wide(orders.order_infos(raw[0]), orders.order_details(raw[1]))
+    return wide, orders.payment_wide(orders.payments(raw[2]), wide)
+
+
+def same(got, want):
+    show = lambda df: sorted(str(tuple(r)) for r in df.select(*want.columns).collect())
+    assert show(got) == show(want) and show(want)
+
+
+def test_order_wide(spark, tmp_path):
+    infos, lines, _ = shop_streams(spark, tmp_path)
+    same(run(jobs.order_wide(infos, lines), tmp_path), shop_batch(spark)[0])
+
+
+def test_payment_wide_of_the_order_jobs_rows(spark, tmp_path):
+    infos, lines, pays = shop_streams(spark, tmp_path)
+    same(run(jobs.payment_wide(pays, jobs.order_wide(infos, lines, delay="1 minute"), "1 minute"), tmp_path), shop_batch(spark)[1])
+
+
+def test_payment_wide_of_a_topic_of_wide_rows(spark, tmp_path):
+    wide, want = shop_batch(spark)
+    rows = [json.loads(r.value) for r in orders.as_json(wide.orderBy("et"), "et").collect()]
+    pays = shop_streams(spark, tmp_path)[2]
+    (tmp_path / "wide").mkdir()
+    stream = jobs.wide_topic(topic(spark, tmp_path / "wide", [*rows, {"order_id": -9, "create_time": at(10**7)}], 6))
+    same(run(jobs.payment_wide(pays, stream, "1 minute"), tmp_path), want)
+
+
+def dims_of(spark):
+    texts = lambda cols, *rows: spark.createDataFrame(rows, ", ".join(f"{c} string" for c in cols.split()))
+    return {
+        "sku": texts("ID SKU_NAME PRICE SPU_ID TM_ID CATEGORY3_ID", ("0", "s0", "1.5", "1", "1", "1"), ("1", "s1", "x", "2", "1", "1")), "spu": texts("ID SPU_NAME", ("1", "p")),
+        "province": texts("ID NAME AREA_CODE ISO_CODE ISO_3166_2", *[(str(k), f"n{k}", "a", "i", "j") for k in range(3)]),
+        "trademark": texts("ID TM_NAME", ("1", "t")), "category3": texts("ID NAME", ("1", "c")),
+    }
+
+
+def test_province_and_product_stats(spark, tmp_path):
+    want_wide, _ = shop_batch(spark)
+    want_wide = orders.with_province(want_wide.where("order_id >= 0"), dims_of(spark)["province"])
+    rows = [json.loads(r.value) for r in orders.as_json(want_wide.orderBy("et"), "et").collect()] + [{"order_id": -9, "create_time": at(10**7)}]
+    (tmp_path / "a").mkdir()
+    (tmp_path / "b").mkdir()
+    got = run(jobs.province_stats(jobs.wide_topic(topic(spark, tmp_path / "a", rows, 6))), tmp_path / "a")
+    same(got.where("province_id IS NOT NULL"), stats.province_stats(want_wide))
+    facts = stats.order_facts(jobs.wide_topic(topic(spark, tmp_path / "b", rows, 6)))
+    got = run(jobs.product_stats([facts], dims_of(spark)), tmp_path / "b")
+    same(got.where("sku_id IS NOT NULL"), stats.product_stats(stats.product_facts(stats.order_facts(want_wide)), dims_of(spark), "10 seconds"))
+
+
+def test_statistics_of_joined_streams(spark, tmp_path):
+    """The order job's rows, with their watermark, go into statistics in the same query."""
+    infos, lines, _ = shop_streams(spark, tmp_path)
+    located = lambda wide: orders.with_province(wide, dims_of(spark)["province"])
+    got = run(jobs.province_stats(located(jobs.order_wide(infos, lines, delay="1 minute"))), tmp_path)
+    want = stats.province_stats(located(shop_batch(spark)[0]))
+    seen, all_ = ({(r.stt, r.province_id): (r.order_amount, r.order_count) for r in df.collect()} for df in (got, want))
+    assert seen and all(all_[k] == v for k, v in seen.items())
+
+
+def test_late_rows_are_left_out(spark, tmp_path):
+    search = lambda s, n: {"common": {"mid": "m"}, "page": {"page_id": "x", "last_page_id": "search", "item": "w", "item_type": "keyword"}, "ts": BASE + s * 1000, "n": n}
+    # A file each. The watermark by which rows are late is that of the batch before: the fifth row comes after its window was closed.
+    rows = [search(0, 1), search(1, 2), search(600, 3), search(700, 7), search(2, 4), search(5000, 5), search(9000, 6)]
+    got = run(jobs.keyword_stats(topic(spark, tmp_path, rows, 7)), tmp_path)
+    assert {(r.stt, r.ct) for r in got.collect()} >= {("2024-01-01 00:00:00", 2), ("2024-01-01 00:10:00", 1)}
+    assert sum(r.ct for r in got.where("stt = '2024-01-01 00:00:00'").collect()) == 2
+
+
+def test_first_visits_with_forgetting(spark, tmp_path):
+    rows = records(60)
+    job = jobs.Job(jobs.unique_visit(topic(spark, tmp_path, rows)), sinks.table_sink(str(tmp_path / "out")), str(tmp_path / "checkpoint"))
+    q = job.start(every="1 seconds")
+    want = numbers(visits.unique_visits(batch(spark, rows), "value"))
+    try:
+        for _ in range(60):
+            time.sleep(1)
+            if q.lastProgress and not q.lastProgress["numInputRows"] and (tmp_path / "out").exists():
+                break
+    finally:
+        q.stop()
+    assert numbers(spark.read.parquet(str(tmp_path / "out"))) == want and want
+
+
+# End to end -----------------------------------------------------------------------------------------------------------
+
+
+def test_raw_logs_to_visitor_stats(spark, tmp_path):
+    """The log job's output is the topic of the visit and bounce jobs, and all three are the statistics' input."""
+    rows = records(120)
+    flagged = run(jobs.base_log(topic(spark, tmp_path, rows)), tmp_path)
+    values = [json.loads(r.value) for r in flagged.orderBy(F.get_json_object("value", "$.ts").cast("long")).collect()]
+    parts = {}
+    for name, job in (("visits", lambda s: jobs.unique_visit(s, forget=False)), ("jumps", jobs.user_jump)):
+        (tmp_path / name).mkdir()
+        parts[name] = [json.loads(r.value) for r in run(job(topic(spark, tmp_path / name, [*values, END], 5)), tmp_path / name).collect() if json.loads(r.value)["n"] >= 0]
+    streams = []
+    for name, part in (("p", values), ("v", parts["visits"]), ("j", parts["jumps"])):
+        (tmp_path / name).mkdir()
+        streams.append(topic(spark, tmp_path / name, [*sorted(part, key=lambda r: r["ts"]), END]))
+    (tmp_path / "stats").mkdir()
+    got = run(jobs.visitor_stats(*streams), tmp_path / "stats")
+    pages = logs.repaired_is_new(batch(spark, rows), "value")
+    want = stats.visitor_stats(stats.visitor_facts(pages, visits.unique_visits(pages, "value"), visits.user_jumps(pages, "value")))
+    same(got.where("ar IS NOT NULL"), want)
+
+
+def test_changes_to_product_stats(spark, tmp_path):
+    """Change records are routed to topics of facts and a dimension, from which the statistics are made."""
+    from tidemart import schemas
+
+    infos, lines, _ = shop()
+    changes = [{"database": "shop", "tableName": t, "type": "insert", "before": {}, "after": {k: str(v) for k, v in r.items()}} for t, part in (("order_info", infos), ("order_detail", lines)) for r in part]
+    changes += [{"database": "shop", "tableName": "sku_info", "type": "insert", "before": {}, "after": {"id": str(k), "sku_name": f"s{k}", "price": "2"}} for k in range(2)]
+    (tmp_path / "topic").mkdir()
+    (tmp_path / "topic" / "0.txt").write_text("".join(json.dumps(r) + "\n" for r in changes))
+    every = lambda rows: ",".join(sorted({k for r in rows for k in r}))
+    config = [("order_info", "insert", "kafka", "dwd_order_info", every(infos), None, None), ("order_detail", "insert", "kafka", "dwd_order_detail", every(lines), None, None), ("sku_info", "insert", "hbase", "dim_sku_info", "id,sku_name,price", None, None)]
+    facts, dim = sinks.routed_sink(root=str(tmp_path / "facts")), sinks.dim_sink(str(tmp_path / "dims"))
+    raw = topics.change_source(topics.topic_source(spark, "topic", kind="files", root=str(tmp_path)))
+    rows, route = jobs.base_db(raw, lambda s: s.createDataFrame(config, schemas.ROUTING), facts, dim)
+    assert jobs.Job(rows, route, str(tmp_path / "checkpoint")).start(once=True).awaitTermination(100)
+    read = lambda name: spark.read.option("basePath", str(tmp_path / "facts")).text(str(tmp_path / "facts/*")).where(F.col("sink_table") == name)
+    wide = orders.order_wide(orders.order_infos(read("dwd_order_info")), orders.order_details(read("dwd_order_detail")))
+    sku = sinks.dim_snapshot(spark, str(tmp_path / "dims"), "dim_sku_info", "id,sku_name,price").toDF("ID", "SKU_NAME", "PRICE")
+    dims = dims_of(spark) | {"sku": sku.withColumns({c: F.lit("1") for c in ("SPU_ID", "TM_ID", "CATEGORY3_ID")})}
+    got = stats.product_stats(stats.product_facts(stats.order_facts(wide)), dims)
+    want = stats.product_stats(stats.product_facts(stats.order_facts(shop_batch(spark)[0])), dims)
+    same(got, want)
+    assert {r.sku_name for r in got.collect()} == {"s0", "s1"}
+
+
 def test_keyword_and_visitor_stats(spark, tmp_path):
     rows = [r | {"page": r["page"] | {"last_page_id": "search"}} for r in records()]
     (tmp_path / "a").mkdir()

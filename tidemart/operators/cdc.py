@@ -37,10 +37,11 @@ def whitelisted(after: Column, columns: Column) -> Column:
 
 
 def latest_config(config_changes: DataFrame) -> DataFrame:
-    """The last row of each (source_table, operate_type) of a routing table's change history (with seq); rows without keys (deletes) are ignored."""
+    """The last row of each (source_table, operate_type) of a routing table's change history (with seq; of equal seqs the greatest row); rows
+    without keys (deletes) are ignored."""
     keyed = config_changes.where(F.col("source_table").isNotNull() & F.col("operate_type").isNotNull())
     whole = F.struct(*[c for c in config_changes.columns if c != "seq"])
-    return keyed.groupBy("source_table", "operate_type").agg(F.max_by(whole, "seq").alias("r")).select("r.*")
+    return keyed.groupBy("source_table", "operate_type").agg(F.max_by(whole, F.struct("seq", whole)).alias("r")).select("r.*")
 
 
 def routed(changes: DataFrame, config: DataFrame) -> DataFrame:

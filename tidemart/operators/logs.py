@@ -10,15 +10,31 @@ from tidemart import schemas
 
 def is_object(value: Column) -> Column:
     """Whether a string is a JSON object; other valid JSON (numbers, arrays) is not."""
-    kind = F.schema_of_variant(F.try_parse_json(value))
-    return F.coalesce(kind.startswith("OBJECT"), F.lit(False))
+    return F.try_parse_json(value).isNotNull() & _opens(value)
+
+
+def _opens(value: Column) -> Column:
+    return F.ltrim(value, F.lit(" \t\r\n")).startswith("{")
+
+
+def _parsed(raw: DataFrame) -> DataFrame:
+    """value and _v: the record as a variant, null unless it is an object. Each record is parsed this one time."""
+    return raw.select("value").where(F.col("value").isNotNull()).withColumn("_v", F.when(_opens(F.col("value")), F.try_parse_json("value")))
+
+
+def _good(marked: DataFrame, schema: str) -> DataFrame:
+    # A start block of more than two characters, that is a non-empty one.
+    begun = F.length(F.try_variant_get("_v", "$.start", "string")) > 2
+    kind = F.when(F.coalesce(begun, F.lit(False)), "start").otherwise("page")
+    fields = F.try_variant_get("_v", "$", f"struct<{schema}>")
+    return marked.where(F.col("_v").isNotNull()).select("value", kind.alias("kind"), fields.alias("_r")).select("value", "kind", "_r.*")
 
 
 def parse_or_dirty(raw: DataFrame, schema: str = schemas.PAGE_LOG) -> tuple[DataFrame, DataFrame]:
-    """raw (value): (records with the fields of schema and value, dirty rows with value). Null values are in neither."""
-    marked = raw.select("value").where(F.col("value").isNotNull()).withColumn("_ok", is_object(F.col("value")))
-    good = marked.where("_ok").select("value", F.from_json("value", schema).alias("_r")).select("value", "_r.*")
-    return good, marked.where("NOT _ok").select("value")
+    """raw (value): (records with value, kind and the fields of schema, dirty rows with value). Null values are in neither. kind: 'start' if
+    the record has a non-empty start block, else 'page', even without a page."""
+    marked = _parsed(raw)
+    return _good(marked, schema), marked.where(F.col("_v").isNull()).select("value")
 
 
 def parse_drop_dirty(raw: DataFrame, schema: str = schemas.PAGE_LOG) -> DataFrame:
@@ -26,10 +42,16 @@ def parse_drop_dirty(raw: DataFrame, schema: str = schemas.PAGE_LOG) -> DataFram
 
 
 def split_log(logs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(start logs, page logs) of parsed logs with value. A start block of more than two characters, that is a non-empty one, makes a start log;
-    anything else is a page log, even without a page."""
-    start = F.coalesce(F.length(F.get_json_object("value", "$.start")) > 2, F.lit(False))
-    return logs.where(start), logs.where(~start)
+    """(start logs, page logs) of parsed logs. For both in one pass keep kind, which tells them apart."""
+    return logs.where("kind = 'start'"), logs.where("kind <> 'start'")
+
+
+def with_flag(value: Column, is_new: Column) -> Column:
+    """The JSON text of a log with another common.is_new; every other field keeps its value and type."""
+    fields = F.from_json(value, "map<string,variant>")
+    common = F.try_variant_get(F.element_at(fields, F.lit("common")), "$", "map<string,variant>")
+    new = F.map_concat(F.map_filter(common, lambda k, _: k != "is_new"), F.create_map(F.lit("is_new"), is_new.cast("variant")))
+    return F.to_json(F.transform_values(fields, lambda k, v: F.when(k == "common", F.to_variant_object(new)).otherwise(v)))
 
 
 def displays(pages: DataFrame) -> DataFrame:

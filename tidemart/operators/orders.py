@@ -14,18 +14,35 @@ from tidemart.functions.scalars import age, date_part, first_non_null, hour_part
 from tidemart.operators.dims import dim_join
 
 
+def _typed(raw: DataFrame, schema: str, *kept: str) -> DataFrame:
+    """raw (value: JSON) with the fields of schema and the columns kept. Change topics carry every value as a string, so numbers may be written as strings; what is
+    no number becomes null."""
+    fields = [x.rsplit(" ", 1) for x in schema.split(", ")]
+    rows = raw.select(F.from_json("value", ", ".join(f"{name} string" for name, _ in fields)).alias("r"), *kept)
+    return rows.select(*kept, *[F.col(f"r.{name}").try_cast(kind).alias(name) for name, kind in fields])
+
+
 def order_infos(raw: DataFrame) -> DataFrame:
     """raw (value: JSON) typed, with create_date, create_hour and the event time et; et is null for a create_time that doesn't parse."""
-    rows = raw.select(F.from_json("value", schemas.ORDER_INFO).alias("r")).select("r.*")
+    rows = _typed(raw, schemas.ORDER_INFO)
     return rows.withColumns({"create_date": date_part(F.col("create_time")), "create_hour": hour_part(F.col("create_time")), "et": F.try_to_timestamp("create_time")})
 
 
 def order_details(raw: DataFrame) -> DataFrame:
-    return raw.select(F.from_json("value", schemas.ORDER_DETAIL).alias("r")).select("r.*").withColumn("et", F.try_to_timestamp("create_time"))
+    return _typed(raw, schemas.ORDER_DETAIL).withColumn("et", F.try_to_timestamp("create_time"))
+
+
+def payments(raw: DataFrame, seen_at: str | None = None) -> DataFrame:
+    """seen_at: a column of raw with the time at which the record came in, which stands in for a create_time that doesn't parse."""
+    kept = [seen_at] if seen_at else []
+    rows = _typed(raw, schemas.PAYMENT_INFO, *kept)
+    return rows.withColumn("et", F.coalesce(F.try_to_timestamp("create_time"), *[F.col(c).cast("timestamp") for c in kept])).drop(*kept)
 
 
-def payments(raw: DataFrame) -> DataFrame:
-    return raw.select(F.from_json("value", schemas.PAYMENT_INFO).alias("r")).select("r.*").withColumn("et", F.try_to_timestamp("create_time"))
+def without_time(typed: DataFrame) -> DataFrame:
+    """Rows of order_infos, order_details or payments whose create_time doesn't parse, as JSON (value): a dirty output, since no interval join can
+    place them."""
+    return as_json(typed.where(F.col("et").isNull()), "et")
 
 
 def _within(left: DataFrame, right: DataFrame, key: Column, before: str, after: str) -> DataFrame:

@@ -132,8 +132,17 @@ def visitor_stats(facts: DataFrame, size: str = "10 seconds") -> DataFrame:
 def product_stats(facts: DataFrame, dims: dict[str, DataFrame], size: str = "10 seconds", how: str = "left") -> DataFrame:
     """Aggregates by product first, then joins the dimensions, which depend on the product alone. dims: sku, spu, trademark, category3."""
     sums = [F.sum(c).alias(c) for c in _counts] + [F.sum(c).cast(schemas.MONEY).alias(c) for c in _amounts]
-    ids = [distinct_count(c, facts.isStreaming).alias(n) for n, c in _distinct.items()]
-    out = facts.groupBy(_window(size), "sku_id").agg(*sums, *ids, _least_ts())
+    if facts.isStreaming:
+        ids = [distinct_count(c, True).alias(n) for n, c in _distinct.items()]
+        out = facts.groupBy(_window(size), "sku_id").agg(*sums, *ids, _least_ts())
+    else:
+        # A fact has one id at most, so ids are made distinct as (kind, id) by one grouping more: counting three columns' distinct
+        # values at once would have Spark write each fact four times.
+        kinds = F.coalesce(*[F.when(F.col(c).isNotNull(), n) for n, c in _distinct.items()])
+        marked = facts.withColumns({"_kind": kinds, "_id": F.coalesce(*_distinct.values())})
+        once = marked.groupBy(_window(size), "sku_id", "_kind", "_id").agg(*sums, F.min("et").alias("et"))
+        ids = [F.count(F.when(F.col("_kind") == n, F.lit(1))).alias(n) for n in _distinct]
+        out = once.groupBy("window", "sku_id").agg(*sums, *ids, _least_ts())
     out = out.select(*_bounds(), *[c for c in out.columns if c != "window"])
     names = {"sku_name": "SKU_NAME", "sku_price": "PRICE", "spu_id": "SPU_ID", "tm_id": "TM_ID", "category3_id": "CATEGORY3_ID"}
     out = dim_join(out, dims["sku"], "sku_id", "ID", names, how)

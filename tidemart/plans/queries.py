@@ -75,9 +75,8 @@ paid AS (SELECT payment_id, payment_type, pt, wide.* FROM pay JOIN wide ON order
 )
 def log_parse_split(t: Tables) -> DataFrame:
     """Raw logs parsed and split into start and page logs."""
-    start, page = logs.split_log(logs.parse_drop_dirty(t.raw_logs()))
-    one = lambda df, kind: df.select(F.lit(kind).alias("kind"), "common.mid", "common.is_new", "page.page_id", "page.last_page_id", "page.item", "page.during_time", "ts")
-    return one(start, "start").unionByName(one(page, "page"))
+    rows = logs.parse_drop_dirty(t.raw_logs())
+    return rows.select("kind", "common.mid", "common.is_new", "page.page_id", "page.last_page_id", "page.item", "page.during_time", "ts")
 
 
 @query("SELECT CASE WHEN event_id % 194 = 0 THEN '{bad' ELSE '123' END AS value FROM events WHERE event_id % 97 = 0")
@@ -125,6 +124,18 @@ def cdc_route(t: Tables) -> DataFrame:
     return out.select(value("id"), value("status"), value("name"), "sink_table", "sink_type", F.size("after").alias("n_columns"))
 
 
+@query(
+    f"""WITH {_CHANGES} SELECT t AS "tableName", id, status, name, CASE t WHEN 'order_info' THEN 2 ELSE 1 END AS n_columns FROM n"""
+)
+def column_whitelist(t: Tables) -> DataFrame:
+    """Changes cut to listed columns; names that a change doesn't have are no columns of it."""
+    after = cdc.whitelisted(F.col("after"), F.lit("id,status,absent"))
+    names = F.when(F.col("tableName") == "user_info", cdc.whitelisted(F.col("after"), F.lit("name"))).otherwise(F.create_map().cast("map<string,string>"))
+    out = cdc.normalized(t.raw_changes()).select("tableName", after.alias("after"), names.alias("named"))
+    value = lambda m, k: F.try_element_at(m, F.lit(k)).alias(k)
+    return out.select("tableName", value("after", "id"), value("after", "status"), value("named", "name"), F.size("after").alias("n_columns"))
+
+
 @query(f"""WITH {_CHANGES} SELECT t AS "tableName", type, count(*) AS n FROM n WHERE type <> 'delete' AND t = 'user_info' AND type <> 'insert' GROUP BY ALL""")
 def cdc_unrouted(t: Tables) -> DataFrame:
     out = cdc.unrouted(cdc.without_deletes(cdc.normalized(t.raw_changes())), t.routing())
@@ -203,6 +214,27 @@ def payment_wide(t: Tables) -> DataFrame:
     )
 
 
+@query(
+    f"""SELECT o_orderkey AS id, o_custkey AS user_id, CAST({_MONEY.format('o_totalprice')} AS DOUBLE) AS total_amount, strftime(o_orderdate, '%Y-%m-%d') AS create_date,
+    strftime(o_orderdate, '%H') AS create_hour, epoch_us(o_orderdate) // 1000 AS ms FROM orders"""
+)
+def order_json_parse(t: Tables) -> DataFrame:
+    """Orders as the JSON of their topic, typed."""
+    raw = orders.as_json(t.order_infos(), "et", "create_date", "create_hour")
+    out = orders.order_infos(raw)
+    return out.select("id", "user_id", F.col("total_amount").cast("double").alias("total_amount"), "create_date", "create_hour", F.unix_millis("et").alias("ms"))
+
+
+@query(
+    f"""SELECT o_orderkey AS id, o_orderkey AS order_id, CAST({_MONEY.format('o_totalprice')} AS DOUBLE) AS total_amount, o_orderpriority AS payment_type,
+    epoch_us(o_orderdate + to_minutes(CAST(o_orderkey % 20 AS BIGINT))) // 1000 AS ms FROM orders WHERE o_orderstatus = 'F'"""
+)
+def payment_json_parse(t: Tables) -> DataFrame:
+    """Payments as the JSON of their topic, typed."""
+    out = orders.payments(orders.as_json(t.payments(), "et"))
+    return out.select("id", "order_id", F.col("total_amount").cast("double").alias("total_amount"), "payment_type", F.unix_millis("et").alias("ms"))
+
+
 @query("SELECT c_custkey, CAST(floor(date_diff('day', DATE '1960-01-01' + CAST(c_custkey % 15000 AS INTEGER), DATE '2024-01-01') / 365.0) AS INTEGER) AS user_age FROM customer")
 def user_age(t: Tables) -> DataFrame:
     born = t.dims()["user"]
@@ -267,6 +299,16 @@ _VFACTS = f"""{_PAGES}, f AS (
   UNION ALL SELECT vc, ch, ar, is_new, ts, 1, 0, 0, 0, 0 FROM ({_VISITS}) UNION ALL SELECT vc, ch, ar, is_new, ts, 0, 0, 0, 1, 0 FROM ({_JUMPS}))"""
 
 
+@query(
+    f"""WITH {_VFACTS} SELECT vc, ch, ar, is_new, ts AS ms, CAST(uv AS BIGINT) AS uv_ct, CAST(pv AS BIGINT) AS pv_ct, CAST(sv AS BIGINT) AS sv_ct, CAST(uj AS BIGINT) AS uj_ct,
+    CAST(dur AS BIGINT) AS dur_sum FROM f"""
+)
+def visitor_facts_union(t: Tables) -> DataFrame:
+    pages = t.page_logs()
+    facts = stats.visitor_facts(pages, visits.unique_visits(pages, "event_id"), visits.user_jumps(pages, "event_id", within_ms=JUMP_MS))
+    return facts.select("vc", "ch", "ar", "is_new", F.unix_millis("et").alias("ms"), "uv_ct", "pv_ct", "sv_ct", "uj_ct", "dur_sum")
+
+
 @query(
     f"""WITH {_VFACTS} SELECT {_bounds('make_timestamp(ts * 1000)', 3600)}, vc, ch, ar, is_new, CAST(sum(uv) AS BIGINT) AS uv_ct, CAST(sum(pv) AS BIGINT) AS pv_ct,
     CAST(sum(sv) AS BIGINT) AS sv_ct, CAST(sum(uj) AS BIGINT) AS uj_ct, CAST(sum(dur) AS BIGINT) AS dur_sum, min(ts) AS ts FROM f GROUP BY ALL"""

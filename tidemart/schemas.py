@@ -32,6 +32,19 @@ ORDER_WIDE = (
 PAYMENT_WIDE = (
     "payment_id subject payment_type payment_create_time callback_time".split() + ORDER_WIDE[:18] + ["order_create_time"] + ORDER_WIDE[23:]
 )
+_texts = {
+    "sku_name", "order_status", "expire_time", "create_time", "operate_time", "create_date", "create_hour", "province_name", "province_area_code", "province_iso_code",
+    "province_3166_2_code", "user_gender", "spu_name", "tm_name", "category3_name", "subject", "payment_type", "payment_create_time", "callback_time", "order_create_time",
+}
+
+
+def _typed(names: list[str]) -> str:
+    kind = lambda c: "string" if c in _texts else MONEY if c.endswith(("amount", "fee", "price")) else "int" if c == "user_age" else "bigint"
+    return ", ".join(f"{c} {kind(c)}" for c in names)
+
+
+#: The two as rows of a topic.
+ORDER_WIDE_ROW, PAYMENT_WIDE_ROW = _typed(ORDER_WIDE), _typed(PAYMENT_WIDE)
 VISITOR_STATS = "stt edt vc ch ar is_new uv_ct pv_ct sv_ct uj_ct dur_sum ts".split()
 PRODUCT_STATS = (
     "stt edt sku_id sku_name sku_price spu_id spu_name tm_id tm_name category3_id category3_name display_ct click_ct favor_ct cart_ct "

@@ -1,7 +1,8 @@
 """The streaming jobs: each reads topics, applies the transforms, and returns what a sink takes.
 
 Set spark.sql.streaming.stateStore.providerClass to the RocksDB provider for the jobs with processors. Every query needs a checkpoint location;
-Job.start() asks for one. Watermark delays are parameters with the defaults that the jobs' topics need.
+Job.start() asks for one. Watermark delays are parameters with the defaults that the jobs' topics need. A job that takes another's rows keeps the
+watermark that they have, as a stream has one for each event time column; the delay counts only for rows without any (read from a topic, say).
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from tidemart import schemas
 from tidemart.functions.scalars import blank, day_text, event_time
 from tidemart.operators import cdc, logs, orders, stats
 from tidemart.sources.sinks import Batch
@@ -33,6 +35,11 @@ class Job:
         return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=every)).start()
 
 
+def marked(rows: DataFrame, delay: str) -> DataFrame:
+    """rows with a watermark on et, unless it has one: a stream's watermark is defined once."""
+    return rows if "spark.watermarkDelayMs" in rows.schema["et"].metadata else rows.withWatermark("et", delay)
+
+
 def parsed(raw: DataFrame) -> DataFrame:
     """Good page or start logs of a topic with mid and et beside their fields."""
     rows = logs.parse_drop_dirty(raw)
@@ -40,13 +47,11 @@ def parsed(raw: DataFrame) -> DataFrame:
 
 
 def base_log(raw: DataFrame) -> DataFrame:
-    """Raw logs with repaired flags: value is the log's JSON with common.is_new as it should be. Sinks split it with logs.split_log, logs.displays;
-    dirty records are logs.parse_or_dirty(raw)[1]."""
+    """Raw logs with repaired flags: value is the log's own text; only where a flag was repaired is common.is_new another, and all other fields stay
+    as they were. Sinks split it with logs.split_log, logs.displays; dirty records are logs.parse_or_dirty(raw)[1]."""
     rows = parsed(raw).select("mid", "ts", F.col("common.is_new").alias("is_new"), "value")
     out = processors.repaired_is_new(rows)
-    whole = F.from_json("value", "common map<string,string>, page map<string,string>, start map<string,string>, displays array<map<string,string>>, ts bigint")
-    fixed = F.map_zip_with(F.col("r.common"), F.create_map(F.lit("is_new"), F.col("is_new")), lambda k, a, b: F.coalesce(b, a))
-    return out.select("is_new", whole.alias("r")).select(F.to_json(F.struct(fixed.alias("common"), "r.page", "r.start", "r.displays", "r.ts")).alias("value"))
+    return out.select(F.when(F.col("is_new").eqNullSafe(F.col("was")), F.col("value")).otherwise(logs.with_flag(F.col("value"), F.col("is_new"))).alias("value"))
 
 
 def base_db(raw: DataFrame, config: Callable[[SparkSession], DataFrame], facts: Batch, dims: Batch) -> tuple[DataFrame, Batch]:
@@ -76,32 +81,39 @@ def user_jump(raw: DataFrame, delay: str = "2 seconds", within_ms: int = 10_000)
 
 
 def order_wide(infos: DataFrame, details: DataFrame, dims: dict[str, DataFrame] | None = None, delay: str = "0 seconds", bound: str = "5 SECONDS") -> DataFrame:
-    """Raw order and line topics to wide rows with et. dims, if given, are static: call with_all_dims in the sink for snapshots that follow updates."""
-    wide = orders.order_wide(orders.order_infos(infos).withWatermark("et", delay), orders.order_details(details).withWatermark("et", delay), bound)
+    """Raw order and line topics to wide rows with et. dims, if given, are static: call with_all_dims in the sink for snapshots that follow updates.
+    Rows whose create_time doesn't parse have no place in time and can't be joined; orders.without_time(infos) has them for a dirty output."""
+    wide = orders.order_wide(marked(orders.order_infos(infos), delay), marked(orders.order_details(details), delay), bound)
     return orders.with_all_dims(wide, dims, F.current_date()) if dims else wide
 
 
 def payment_wide(payments: DataFrame, wide: DataFrame, delay: str = "1 second", before: str = "15 MINUTES") -> DataFrame:
-    """payments: raw topic; wide: wide rows with et."""
-    return orders.payment_wide(orders.payments(payments).withWatermark("et", delay), wide.withWatermark("et", delay), before)
+    """payments: raw topic; wide: order_wide's rows, or a topic of them read by wide_topic()."""
+    return orders.payment_wide(marked(orders.payments(payments), delay), marked(wide, delay), before)
+
+
+def wide_topic(raw: DataFrame, kind: str = schemas.ORDER_WIDE_ROW) -> DataFrame:
+    """A topic of wide rows, written by orders.as_json, with the event time et of their orders (of their payments for PAYMENT_WIDE_ROW)."""
+    rows = raw.select(F.from_json("value", kind).alias("r")).select("r.*")
+    made = "payment_create_time" if "payment_create_time" in rows.columns else "create_time"
+    return rows.withColumn("et", F.try_to_timestamp(made))
 
 
 def visitor_stats(pages: DataFrame, visits: DataFrame, jumps: DataFrame, delay: str = "13 seconds", size: str = "10 seconds") -> DataFrame:
     """Three raw topics of page logs. A bounce is known 12 seconds after its page at the earliest, hence the delay."""
     facts = stats.visitor_facts(*[logs.parse_drop_dirty(x).drop("value") for x in (pages, visits, jumps)])
-    return stats.visitor_stats(facts.withWatermark("et", delay), size)
+    return stats.visitor_stats(marked(facts, delay), size)
 
 
 def product_stats(facts: list[DataFrame], dims: dict[str, DataFrame], delay: str = "1 second", size: str = "10 seconds") -> DataFrame:
-    return stats.product_stats(stats.product_facts(*facts).withWatermark("et", delay), dims, size)
+    """Facts of any kinds (stats.order_facts and the like), each with a watermark of its own or none so far."""
+    return stats.product_stats(stats.product_facts(*[marked(f, delay) for f in facts]), dims, size)
 
 
 def province_stats(wide: DataFrame, delay: str = "1 second", size: str = "10 seconds") -> DataFrame:
-    return stats.province_stats(wide.withWatermark("et", delay), size=size)
+    return stats.province_stats(marked(wide, delay), size=size)
 
 
 def keyword_stats(raw: DataFrame, delay: str = "1 second", size: str = "10 seconds") -> DataFrame:
     words = stats.split_keywords(stats.searched(logs.parse_drop_dirty(raw)))
     return stats.keyword_stats(words.withWatermark("et", delay), size)
-
-

@@ -31,7 +31,7 @@ class RepairIsNew(StatefulProcessor):
         repaired = claims & (self.claimed.exists() | claims.cumsum().gt(1))
         if claims.any():
             self.claimed.update((True,))
-        yield out.assign(mid=key[0], is_new=out["is_new"].mask(repaired, "0"))[["mid", "ts", "is_new", "value"]]
+        yield out.assign(mid=key[0], was=out["is_new"], is_new=out["is_new"].mask(repaired, "0"))[["mid", "ts", "was", "is_new", "value"]]
 
     def close(self) -> None:
         pass
@@ -100,8 +100,8 @@ class Bounces(StatefulProcessor):
 
 
 def repaired_is_new(rows: DataFrame) -> DataFrame:
-    """rows (mid, ts, is_new, value)."""
-    return rows.groupBy("mid").transformWithStateInPandas(RepairIsNew(), "mid string, ts long, is_new string, value string", "append", "none")
+    """rows (mid, ts, is_new, value), with the flag as it was in was."""
+    return rows.groupBy("mid").transformWithStateInPandas(RepairIsNew(), "mid string, ts long, was string, is_new string, value string", "append", "none")
 
 
 def unique_visits(rows: DataFrame, forget: bool = True) -> DataFrame:
