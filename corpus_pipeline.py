@@ -21,11 +21,19 @@ from tidemart.llm.tables import table
 LEAST_SCORE, SHORT, LEAST_SHORT = 0.25, 20, 0.1
 #: Near copies share 80 of 100 five-word shingles.
 PERCENT, WORDS = 80, 5
+#: Rows of a batch that goes to a Python task; whole texts add up.
+BATCH_ROWS = 1000
+
+
+def _small_batches(spark: SparkSession) -> None:
+    """For what runs after a stage has returned its frame: the session's own setting, as any job sets for its texts."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Fits on the labelled rows of docs and scores all: those named 'und' or with a score below the least go. With no labelled row
     nothing tells languages apart, so all rows with a letter stay."""
+    _small_batches(spark)
     model = langid.fit(docs)
     if model is None:
         return docs.where(F.col("text").rlike(r"\p{L}"))
@@ -34,29 +42,44 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component stays. Rows with a null id are in no component and stay; of rows with the same id one does."""
-    linked = ngram_join.linked(docs, PERCENT, WORDS)
-    ids = linked.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("component_id").alias("component_id"), F.count(F.lit(1)).alias("rows"))
-    ids = scratch.written(ids, "components")
-    go = ids.where("component_id <> doc_id").select("doc_id")
-    kept = docs.join(go, "doc_id", "left_anti").select(*docs.columns)
-    if not ids.where("rows > 1").isEmpty():
-        kept = kept.where(F.col("doc_id").isNull()).union(kept.where(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"]))
-    return kept
+    """One document of each component stays, the one with the smallest id. Rows with a null id are in no component and stay. If an id occurs
+    more than once, a row is known by its id and text: equal rows are copies, others are judged by their texts like any other documents."""
+    repeated = not docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").isEmpty()
+    keyed = docs.withColumn("_key", F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id", "text")) if repeated else F.col("doc_id"))
+    with scratch.scope(spark) as own:
+        linked = ngram_join.linked(keyed.select(F.col("_key").alias("doc_id"), "text"), PERCENT, WORDS)
+        linked = linked.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("_key"), "component_id").distinct()
+        if repeated:
+            named = linked.join(keyed.select("_key", "doc_id").distinct(), "_key")
+            first = named.groupBy("component_id").agg(F.min(F.struct("doc_id", "_key")).alias("first"))
+            go = linked.join(first, "component_id").where("_key <> first._key").select("_key")
+        else:
+            go = linked.where("component_id <> _key").select("_key")
+        go = own.keep(scratch.written(go, "copies"))
+    kept = keyed.join(scratch.small(go), "_key", "left_anti")
+    if repeated:
+        kept = kept.where("_key IS NULL").union(kept.where("_key IS NOT NULL").dropDuplicates(["_key"]))
+    return kept.select(*docs.columns)
 
 
 def benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of whose words a twentieth or more lies in benchmark windows go."""
-    found = decontaminate.hits(docs, table(spark, sf_dir, "benchmark"))
-    bad = found.where(decontaminate.contaminated()).select(F.col("key").alias("_key")).distinct()
-    return docs.withColumn("_key", decontaminate.row_key()).join(bad, "_key", "left_anti").select(*docs.columns)
+    """Documents of whose words a twentieth or more lies in benchmark windows go. Null and empty texts have no words and stay."""
+    with scratch.scope(spark) as own:
+        found = decontaminate.hits(docs, table(spark, sf_dir, "benchmark"))
+        bad = found.where(decontaminate.contaminated()).select(F.col("key").alias("_key")).distinct()
+        bad = own.keep(scratch.written(bad, "contaminated"))
+    return docs.withColumn("_key", decontaminate.row_key()).join(scratch.small(bad), "_key", "left_anti").select(*docs.columns)
 
 
 def personal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every row stays; spans of personal data in its text give way to the name of their kind. Null and empty texts stay as they are."""
+    _small_batches(spark)
     return pii.masked(docs)
 
 
 def packing_(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of every row (null texts are the end mark alone) in sequences; rows with equal or null ids are documents of their own."""
+    _small_batches(spark)
     return packing.packed(packing.pieces(docs, tokens.word_bpe(), end_id=2))
 
 
@@ -67,7 +90,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = first = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = scratch.written(stage(spark, docs, sf_dir), name)
+        kept = scratch.written(stage(spark, docs, sf_dir), name)
+        if docs is not first:
+            scratch.drop(docs)
+        docs = kept
     return STAGES[-1][1](spark, docs, sf_dir)

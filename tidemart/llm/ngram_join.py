@@ -2,8 +2,7 @@
 
 A document is the set of its 3-word shingles. Two sets with a Jaccard similarity of t or more share one of their first
 n - ceil(t n) + 1 shingles in any order that is the same for all. Rare shingles come first here: how often a shingle occurs
-is counted, over all documents, in a fixed table of counters addressed by the shingle's hash, which any two documents read
-alike. Then
+is counted, over all documents, in a table of counters addressed by the shingle's hash, which any two documents read alike. Then
 
 1. equal sets become one class, and classes with the same prefix and the same size become one group; groups whose prefix (and a few
    shingles after it) meets too few others' to be similar to any are done;
@@ -12,7 +11,7 @@ alike. Then
 3. group pairs are expanded to classes, whose whole sets are compared.
 
 What is asked for are the components of the links, so a pair whose members are known to be connected is not compared. For
-each prefix shingle, pivots first take all its groups (two rounds: a row per group and shingle, not per pair); only shingles
+each prefix shingle, a pivot first takes all its groups (a row per group and shingle, not per pair); only shingles
 whose groups are still in different components are joined with themselves. Nothing is left out: every pair that could be a
 link is compared or already connected.
 """
@@ -25,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemart.llm import scratch
@@ -35,9 +34,13 @@ from tidemart.llm.tables import table
 
 #: The similarity is PERCENT / 100 or more.
 PERCENT, WORDS = 90, 3
-#: The table of counters has 2**COUNTER_BITS entries of 4 bytes: what the driver and each task hold, whatever the input.
-COUNTER_BITS = 21
-PIVOT_ROUNDS = 2
+#: Counters have 2**COUNTER_BITS entries, of 4 bytes in the tasks that count and of one byte (a level) elsewhere, whatever the input.
+COUNTER_BITS = 22
+#: Levels of counts to a doubling (64 doublings fit into a byte).
+STEPS = 4
+#: Shingles whose counter has this many documents and four times the mean are taken to be met without being gathered.
+CROWD = 1024
+PIVOT_ROUNDS = 1
 #: Bits of a set's parities.
 BITS = 512
 #: A SPARE-th of a set's shingles are listed beyond the prefix.
@@ -62,34 +65,45 @@ def shingles(texts: pa.Array, hasher: WordHasher, k: int = WORDS) -> Iterator[np
                 yield windows[:0]
 
 
-def counters(docs: DataFrame, bits: int = COUNTER_BITS, k: int = WORDS) -> np.ndarray:
-    """How many documents have a shingle whose hash begins with each value of bits bits, over all of docs (text)."""
+def levels(docs: DataFrame, bits: int = COUNTER_BITS, k: int = WORDS) -> tuple[np.ndarray, int]:
+    """(for each value of a hash's first bits bits, on a scale of STEPS levels to a doubling, how many documents of docs (text) have a shingle
+    whose hash begins with it; the mean of the counts). Each task sends its own counts in chunks, which as many tasks add up as shuffles have."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, total = WordHasher(), np.zeros(1 << bits, np.int64)
+        hasher, total = WordHasher(), np.zeros(1 << bits, np.uint32)
         for b in batches:
-            for s in shingles(b.column(0), hasher, k):  # a document's shingles are distinct, but their counters need not be
-                np.add.at(total, (s >> np.uint64(64 - bits)).astype(np.int64), 1)
+            found = [s >> np.uint64(64 - bits) for s in shingles(b.column(0), hasher, k)]
+            if found:
+                at, n = np.unique(np.concatenate(found), return_counts=True)
+                total[at.astype(np.int64)] += n.astype(np.uint32)
         for c in range(0, len(total), _CHUNK):
-            yield chunk(c, total[c : c + _CHUNK])
+            if total[c : c + _CHUNK].any():  # zlib leaves little of many small numbers
+                yield chunk(c, total[c : c + _CHUNK].astype("<u4"), 0)
 
-    def chunk(c: int, n: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([c], pa.int64()), pa.array([zlib.compress(n.astype("<i8").tobytes(), 1)], pa.binary())], names=["chunk", "n"])
+    def chunk(c: int, n: np.ndarray, total: int) -> pa.RecordBatch:
+        cols = [pa.array([c], pa.int64()), pa.array([zlib.compress(n.tobytes(), 1)], pa.binary()), pa.array([total], pa.int64())]
+        return pa.RecordBatch.from_arrays(cols, names=["chunk", "n", "total"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for b in batches:
             for c, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                sums[c] = sums.get(c, 0) + np.frombuffer(zlib.decompress(n), "<i8")
+                sums[c] = sums.get(c, 0) + np.frombuffer(zlib.decompress(n), "<u4").astype(np.int64)
         for c, n in sums.items():
-            yield chunk(c, n)
+            yield chunk(c, level(n), int(n.sum()))
 
-    schema = "chunk long, n binary"
+    schema = "chunk long, n binary, total long"
     parts = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(count, schema)
-    out = np.zeros(1 << bits, np.int64)
-    for c, n in parts.repartition(8, "chunk").mapInArrow(add, schema).toLocalIterator():  # 2**bits numbers, whatever the input
-        out[c : c + _CHUNK] = np.frombuffer(zlib.decompress(bytes(n)), "<i8")
-    return out
+    reducers = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    out, total = np.zeros(1 << bits, np.uint8), 0
+    for c, n, t in parts.repartition(reducers, "chunk").mapInArrow(add, schema).toLocalIterator():  # 2**bits bytes, whatever the input
+        out[c : c + _CHUNK] = np.frombuffer(zlib.decompress(bytes(n)), np.uint8)
+        total += t
+    return out, total >> bits
+
+
+def level(count: np.ndarray) -> np.ndarray:
+    return np.floor(STEPS * np.log2(count + 1.0)).astype(np.uint8)
 
 
 def first_needed(n: int, percent: int) -> int:
@@ -102,24 +116,21 @@ def spare(n: int, percent: int) -> int:
     return min(n // SPARE, (percent * n + 99) // 100 - 1)
 
 
-def signatures(docs: DataFrame, counts: np.ndarray, percent: int = PERCENT, k: int = WORDS) -> DataFrame:
+def signatures(docs: DataFrame, rarity: np.ndarray, percent: int = PERCENT, k: int = WORDS) -> DataFrame:
     """doc_id, n (size of the set), set1, set2 (128 bits that name it), list (array<bigint>: its rarest shingles, rarest
-    first: the prefix and some spare ones), list1, list2 (128 bits that name the list)."""
-    # A shingle's place in the order: its counter's rank, then bits of its hash.
-    rank = np.empty(len(counts), np.uint64)
-    order = np.lexsort((np.arange(len(counts)), counts))
-    rank[order] = np.arange(len(counts), dtype=np.uint64)
-    bits = len(counts).bit_length() - 1
-    shared = docs.sparkSession.sparkContext.broadcast(rank.astype(np.uint32))  # 2**COUNTER_BITS * 4 bytes
+    first: the prefix and some spare ones), list1, list2 (128 bits that name the list). A shingle's place in the order: its
+    counter's level (its first byte), then the last 56 bits of its hash."""
+    bits = len(rarity).bit_length() - 1
+    shared = docs.sparkSession.sparkContext.broadcast(rarity)  # 2**COUNTER_BITS bytes
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, place = WordHasher(), shared.value
-        low = np.uint64((1 << (64 - bits)) - 1)
+        low = np.uint64((1 << 56) - 1)
         for b in batches:
             sizes, names, lists = [], [], []
             for s in shingles(b.column(1), hasher, k):
                 n = len(s)
-                keys = (place[(s >> np.uint64(64 - bits)).astype(np.int64)].astype(np.uint64) << np.uint64(64 - bits)) | (s & low)
+                keys = (place[(s >> np.uint64(64 - bits)).astype(np.int64)].astype(np.uint64) << np.uint64(56)) | (s & low)
                 keys.sort()
                 keys = keys[: min(n, first_needed(n, percent) + spare(n, percent)) if n else 0]
                 sizes.append(n)
@@ -152,22 +163,25 @@ def whole_sets(docs: DataFrame, k: int = WORDS) -> DataFrame:
     return docs.select("id", F.col("text").cast("string").alias("text")).mapInArrow(sets, "id long, shingles array<bigint>, parity array<bigint>")
 
 
-def _may_overlap(percent: int):
-    """Whether groups of sizes n, m that meet at places i, j of their prefixes can still have the overlap for percent."""
+def _may_overlap(percent: int) -> Column:
+    """Whether groups of sizes n, m that meet at places i, j of their lists can still have the overlap for percent."""
     need = F.ceil((percent * (F.col("n") + F.col("m"))) / (100 + percent) - F.lit(1e-9))
     most = F.least("i", "j") + F.least(F.col("n") - F.col("i"), F.col("m") - F.col("j"))
-    # Each shingle that only one set has turns one bit of parity: sets differ in as many shingles as in bits, at least. Null: unknown.
+    return (100 * F.least("n", "m") >= percent * F.greatest("n", "m")) & (most >= need)
+
+
+def _near_enough(percent: int) -> Column:
+    """Each shingle that only one set has turns one bit of parity, so sets differ in as many shingles as in bits (x, y), at least. Null: unknown."""
     apart = sum((F.bit_count(F.col(f"x{k}").bitwiseXOR(F.col(f"y{k}"))) for k in range(1, BITS // 64)), F.bit_count(F.col("x0").bitwiseXOR(F.col("y0"))))
-    near = F.coalesce((100 + percent) * apart <= (100 - percent) * (F.col("n") + F.col("m")), F.lit(True))
-    return (100 * F.least("n", "m") >= percent * F.greatest("n", "m")) & (most >= need) & near
+    return F.coalesce((100 + percent) * apart <= (100 - percent) * (F.col("n") + F.col("m")), F.lit(True))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those of pairs (a, b: classes) whose sets are similar enough."""
-    left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("x"))
-    right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("y"))
+    """Those of pairs (a, b: classes, ca, cb: their components) whose sets are similar enough. Each side is joined by itself, so that few pairs fetch few sets."""
+    left = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a")
+    right = pairs.select("a", "b").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
     both = F.size(F.array_intersect("x", "y"))
-    return pairs.join(left, "a").join(right, "b").where(100 * both >= percent * (F.size("x") + F.size("y") - both)).drop("x", "y")
+    return left.join(right, ["a", "b"]).where(100 * both >= percent * (F.size("x") + F.size("y") - both)).drop("x", "y")
 
 
 def linked(docs: DataFrame, percent: int = PERCENT, k: int = WORDS) -> DataFrame:
@@ -178,66 +192,95 @@ def linked(docs: DataFrame, percent: int = PERCENT, k: int = WORDS) -> DataFrame
     one shingle, all their words. Rows with equal ids count as one document's copies: each row is returned. Rows with a null id
     are returned with null class and component. Other columns are ignored. An empty table gives no rows.
     """
-    with scratch.small_batches(docs.sparkSession):  # all work on texts is done in here
-        return _linked(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), percent, k)
+    spark = docs.sparkSession
+    with scratch.small_batches(spark), scratch.scope(spark) as own:  # all work on texts is done in here
+        signed, classes, label = map(own.keep, _linked(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), percent, k))
+    of_class = classes.join(label, F.col("class_id") == F.col("c"), "left").select(*_NAME, "class_id", F.coalesce("component", "class_id").alias("component_id"))
+    out = signed.join(of_class, [signed[c] == of_class[c] for c in _NAME], "left")
+    own_id = lambda c: F.when(F.col("doc_id").isNotNull(), F.coalesce(c, F.col("doc_id")))
+    return out.select(
+        "doc_id", signed["n"].alias("n_shingles"), own_id(F.col("class_id")).alias("class_id"), own_id(F.col("component_id")).alias("component_id")
+    )
 
 
-def _linked(docs: DataFrame, percent: int, k: int) -> DataFrame:
-    signed = scratch.written(signatures(docs, counters(docs, k=k), percent, k), "signatures")
-    usable = signed.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
+#: What names a set.
+_NAME = ["n", "set1", "set2"]
+
 
-    name, shape = ["n", "set1", "set2"], ["n", "list1", "list2"]
-    classes = usable.groupBy(*name).agg(F.min("doc_id").alias("class_id"), F.min("list1").alias("list1"), F.min("list2").alias("list2"))
+def _linked(docs: DataFrame, percent: int, k: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Written tables: the signed rows of docs; their classes (n, set1, set2, class_id); c, component of the classes that may have links."""
+    rarity, mean = levels(docs, k=k)
+    crowd = int(level(np.array([max(CROWD, 4 * mean)]))[0])
+    signed = scratch.written(signatures(docs, rarity, percent, k), "signatures")
+    usable = signed.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
+    shape = ["n", "list1", "list2"]
+    classes = usable.groupBy(*_NAME).agg(F.min("doc_id").alias("class_id"), F.min("list1").alias("list1"), F.min("list2").alias("list2"))
     classes = scratch.written(classes, "classes")
     groups = classes.groupBy(*shape).agg(F.min("class_id").alias("g"), F.count(F.lit(1)).alias("classes"))
-    members = scratch.written(classes.join(groups, shape).select("g", F.col("class_id").alias("c"), "n", "classes"), "members")
-    leaders = members.where("g = c").select("g", F.col("n").alias("size"))
-    # A group's list is that of its first document. Rows of the same id may differ in text: the size tells the right one, or one as good.
-    listed = usable.select("doc_id", "n", "list").join(leaders, [F.col("doc_id") == F.col("g"), F.col("n") == F.col("size")]).select("g", "n", "list")
-
-    # Similar sets share more of their lists than one shingle: all spare ones count. A group with fewer listed shingles that any other
-    # group lists is similar to none; what passes is a small part of the corpus, unless that is full of near copies.
-    tokens = listed.select("g", F.explode("list").alias("token"))
-    met = tokens.select("g", (F.count(F.lit(1)).over(Window.partitionBy("token")) > 1).alias("met")).where("met").groupBy("g").count()
+    members = classes.join(groups, shape).select("g", F.col("class_id").alias("c"), "n", "classes", F.xxhash64(*shape).alias("about"))
+    members = scratch.written(members, "members")
+
+    # Which listed shingles more than one group lists: rows of a group's copies count as one. Shingles of full counters are taken to be
+    # met, so no task gathers them: that may keep a group too many below, never one too few.
+    full = F.shiftrightunsigned("token", 56) >= crowd
+    tokens = usable.select(F.xxhash64(*shape).alias("about"), F.explode("list").alias("token"))
+    by_token = Window.partitionBy("token")
+    several = tokens.where(~full).select("about", (F.min("about").over(by_token) != F.max("about").over(by_token)).alias("met")).where("met")
+    met = several.select("about").union(tokens.where(full).select("about")).groupBy("about").count()
+
+    # Similar sets share more of their lists than one shingle: all spare ones count. A group that meets others in fewer listed shingles
+    # is similar to none; what passes is a small part of the corpus, unless that is full of near copies.
     least = F.ceil(F.lit(percent) * F.col("n") / 100).cast("long")  # a similar set's least size
     enough = 1 + F.least(F.floor(least / SPARE), F.ceil(F.lit(percent) * least / 100) - 1)
-    active = met.join(members.where("g = c").select("g", "n"), "g").where(F.col("count") >= enough).select("g")
-    crowded = members.where("classes > 1").select("g")
-    active = scratch.written(active.union(crowded).distinct(), "active")
-    prefix = F.slice("list", F.lit(1), (F.col("n") - F.ceil(F.lit(percent) * F.col("n") / 100) + 1).cast("int"))
-    postings = listed.join(active, "g").select("g", "n", F.posexplode(prefix).alias("i", "token"))
-    postings = scratch.written(postings, "postings")
-    members = scratch.written(members.join(active, "g").select("g", "c", "n"), "near")
-    texts = docs.join(members.select(F.col("c").alias("id")), F.col("doc_id") == F.col("id")).select("id", "text")
-    sets = scratch.written(whole_sets(texts, k).dropDuplicates(["id"]), "sets")
-
-    alone = members.groupBy("g").agg(F.min("c").alias("id"), F.count(F.lit(1)).alias("classes")).where("classes = 1").select("g", "id")
-    parity = alone.join(sets, "id").select("g", *[F.col("parity")[k].alias(f"x{k}") for k in range(BITS // 64)])
-    parity = scratch.written(parity, "parity")
-    bits = [f"x{k}" for k in range(BITS // 64)]
+    prefix = F.col("n") - F.ceil(F.lit(percent) * F.col("n") / 100) + 1
+    active = members.where("g = c").join(met, "about").where(F.col("count") >= enough)
+    active = scratch.written(active.select("g", "n", enough.alias("enough"), prefix.alias("prefix")), "active")
+    worked = active.select("g").union(members.where("classes > 1").select("g")).distinct()
+    members = scratch.written(members.join(worked, "g").select("g", "c", "n", "classes"), "near")
+    # A group's list is that of its first document. Rows of the same id may differ in text: the size tells the right one, or one as good.
+    leaders = scratch.small(active.select(F.col("g").alias("doc_id"), "n", "enough", "prefix"))
+    lists = usable.select("doc_id", "n", "list").join(leaders, ["doc_id", "n"]).dropDuplicates(["doc_id"])
+    postings = lists.select(F.col("doc_id").alias("g"), "n", "enough", "prefix", F.posexplode("list").alias("i", "token"))
+    postings = scratch.written(postings.select("g", "n", "i", "token", "enough", (F.col("i") < F.col("prefix")).alias("first")), "postings")
+    firsts = scratch.small(scratch.written(members.select(F.col("c").alias("id")), "ids"))
+    sets = whole_sets(docs.join(firsts, F.col("doc_id") == F.col("id")).select("id", "text"), k)
+    repeated = not signed.groupBy("doc_id").count().where("count > 1 AND doc_id IS NOT NULL").isEmpty()
+    sets = scratch.written(sets.dropDuplicates(["id"]) if repeated else sets, "sets")
+
+    bits = range(BITS // 64)
+    alone = members.where("classes = 1").select("g", F.col("c").alias("id"))
+    parity = scratch.written(alone.join(sets, "id").select("g", *[F.col("parity")[b].alias(f"x{b}") for b in bits]), "parity")
+    theirs = parity.select(F.col("g").alias("h"), *[F.col(f"x{b}").alias(f"y{b}") for b in bits])
 
     label = scratch.written(members.select("c", F.col("c").alias("component")), "components")
-    tried, done = None, [active, postings, members, sets, parity]
+    whole = members.select("g", F.col("c").alias("a"))
+    tried = None
     for turn in range(PIVOT_ROUNDS + 1):
         state = members.join(label, "c").groupBy("g").agg(F.min("component").alias("low"), F.max("component").alias("high"))
         state = scratch.written(state, "state")
-        spread = postings.join(state, "g")
-        unsettled = spread.groupBy("token").agg(F.min("low").alias("l"), F.max("high").alias("h")).where("l <> h").select("token")
-        spread = scratch.written(spread.join(unsettled, "token").join(parity, "g", "left"), "unsettled")
+        labelled = postings.join(scratch.small(state), "g")
+        ends = [F.min("low").alias("l"), F.max("high").alias("h")]  # a shingle whose groups are all of one component is settled
         mixed = state.where("low <> high").select("g")
-        whole = members.select("g", F.col("c").alias("a"))
         if turn < PIVOT_ROUNDS:
-            pivot = F.min_by(F.struct(F.col("g").alias("h"), F.col("n").alias("m"), F.col("i").alias("j"), *[F.col(b).alias(f"y{b[1:]}") for b in bits]), F.xxhash64(F.lit(turn), "g"))
-            pivots = spread.groupBy("token").agg(pivot.alias("p")).select("token", "p.*")
-            near = spread.join(pivots, "token").where((F.col("g") != F.col("h")) & _may_overlap(percent)).select("g", "h").distinct()
+            pivot = F.min_by(F.struct(F.col("g").alias("h"), F.col("n").alias("m"), F.col("i").alias("j")), F.xxhash64(F.lit(turn), "g"))
+            pivots = labelled.where("first").groupBy("token").agg(*ends, pivot.alias("p")).where("l <> h").select("token", "p.*")
+            near = postings.where("first").select("g", "n", "i", "token").join(pivots, "token")
+            near = near.where((F.col("g") != F.col("h")) & _may_overlap(percent)).select("g", "h", "n", "m").distinct()
+            near = near.join(parity, "g", "left").join(theirs, "h", "left").where(_near_enough(percent)).select("g", "h")
             # Expand: every class of the one group against a pivot class of the other, and every class against its own group's.
             one = members.groupBy("g").agg(F.min_by("c", F.xxhash64(F.lit(turn), "c")).alias("b"))
             pairs = near.join(whole, "g").join(one.select(F.col("g").alias("h"), "b"), "h").select("a", "b")
             pairs = pairs.union(whole.join(mixed, "g").join(one, "g").select("a", "b"))
         else:
-            other = spread.select("token", F.col("g").alias("h"), F.col("n").alias("m"), F.col("i").alias("j"), F.col("low").alias("low2"), F.col("high").alias("high2"), *[F.col(b).alias(f"y{b[1:]}") for b in bits])
+            unsettled = labelled.groupBy("token").agg(*ends).where("l <> h").select("token")
+            spread = scratch.written(postings.join(unsettled, "token").select("g", "n", "i", "token", "enough", "first"), "unsettled")
+            # The filter by count again: a group with a link to be found meets other components in as many shingles.
+            going = spread.groupBy("g").agg(F.count(F.lit(1)).alias("c"), F.max("enough").alias("e")).where("c >= e").select("g")
+            going = scratch.written(going.join(state, "g").join(parity, "g", "left"), "going")
+            spread = spread.where("first").select("g", "n", "i", "token").join(scratch.small(going, 1 << 18), "g")
+            other = spread.select("token", F.col("g").alias("h"), F.col("n").alias("m"), F.col("i").alias("j"), F.col("low").alias("low2"), F.col("high").alias("high2"), *[F.col(f"x{b}").alias(f"y{b}") for b in bits])
             settled = (F.col("low") == F.col("high")) & (F.col("low2") == F.col("high2")) & (F.col("low") == F.col("low2"))
-            near = spread.join(other, "token").where((F.col("g") < F.col("h")) & ~settled & _may_overlap(percent)).select("g", "h").distinct()
+            near = spread.join(other, "token").where((F.col("g") < F.col("h")) & ~settled & _may_overlap(percent) & _near_enough(percent)).select("g", "h").distinct()
             near = near.union(mixed.select("g", F.col("g").alias("h")))
             pairs = near.join(whole, "g").join(whole.select(F.col("g").alias("h"), F.col("a").alias("b")), "h").select("a", "b")
         x, y = label.select(F.col("c").alias("a"), F.col("component").alias("ca")), label.select(F.col("c").alias("b"), F.col("component").alias("cb"))
@@ -248,23 +291,12 @@ def _linked(docs: DataFrame, percent: int, k: int) -> DataFrame:
         pairs = scratch.written(pairs, "pairs")
         tried = pairs.select("a", "b") if tried is None else tried.union(pairs.select("a", "b"))
         # The links join components as they were; what that connects is found on those alone.
-        new = scratch.written(_verified(pairs, sets, percent).select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct(), "verified")
-        done += [state, spread, pairs, new]
+        new = scratch.written(_verified(scratch.small(pairs, 1 << 21), sets, percent).select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct(), "verified")
         if not new.isEmpty():
-            found = components(new).withColumnRenamed("component", "joined")
+            found = components(new).select("node", F.col("component").alias("joined"))
             label = label.join(found, F.col("component") == F.col("node"), "left").select("c", F.coalesce("joined", "component").alias("component"))
             label = scratch.written(label, "components")
-
-    for used in done:  # nothing that is returned reads them
-        scratch.drop(used.sparkSession, used)
-    of_class = classes.join(label, F.col("class_id") == F.col("c"), "left").select(
-        *name, "class_id", F.coalesce("component", "class_id").alias("component_id")
-    )
-    out = signed.join(of_class, [signed[c] == of_class[c] for c in name], "left")
-    own = lambda c: F.when(F.col("doc_id").isNotNull(), F.coalesce(c, F.col("doc_id")))
-    return out.select(
-        "doc_id", signed["n"].alias("n_shingles"), own(F.col("class_id")).alias("class_id"), own(F.col("component_id")).alias("component_id")
-    )
+    return signed, classes, label
 
 
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

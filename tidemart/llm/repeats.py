@@ -208,7 +208,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
     found = scratch.written(anchored(docs, length, anchor), "anchors")
     often = found.groupBy("g").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("g")
     repeated = scratch.written(found.join(often, "g").withColumn("c", F.xxhash64("g", "e", "left")), "repeated")
-    scratch.drop(spark, found)
+    scratch.drop(found)
     kinds = repeated.groupBy("c").agg(
         F.count(F.lit(1)).alias("times"), F.min("g").alias("g"), F.min(F.struct("key", "lo", "n", "left")).alias("r")
     )

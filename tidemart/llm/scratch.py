@@ -8,18 +8,22 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _own: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share. Only where the session names none (tests), an own one is made."""
+    """The folder that driver and executors share: the one in spark.checkpoint.dir. Where a session names none, a local master (one
+    process on one machine, as in tests) gets a temporary one; any other raises, since nothing tells what its executors share."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
-    if not _own:
-        _own.append("file://" + tempfile.mkdtemp(prefix="tidemart-"))
-    return _own[0]
+    if spark.sparkContext.master.split("[")[0] == "local":
+        if not _own:
+            _own.append("file://" + tempfile.mkdtemp(prefix="tidemart-"))
+        return _own[0]
+    raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
@@ -31,20 +35,63 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return path
 
 
+class Scope:
+    """Tables written while it is the innermost scope. At its end all go but those kept, which pass to the scope around it."""
+
+    def __init__(self) -> None:
+        self.paths: list[str] = []
+        self.kept: list[str] = []
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """df, a table made by written(), outlives the scope."""
+        self.kept += [p for p in self.paths if p == getattr(df, "_scratch_path", None)]
+        return df
+
+
+_scopes: list[Scope] = []
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[Scope]:
+    """Frees what is written inside as soon as nothing reads it any more: at the end. Frames made inside must not be run after that, unless
+    all tables that they read are kept."""
+    own = Scope()
+    _scopes.append(own)
+    try:
+        yield own
+    finally:
+        _scopes.remove(own)
+        if _scopes:
+            _scopes[-1].paths += own.kept
+        for path in set(own.paths) - set(own.kept):
+            _delete(spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a table in the shared folder: cuts the lineage, survives executors."""
     spark = df.sparkSession
     path = new_folder(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    if _scopes:
+        _scopes[-1].paths.append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch_path = path
+    return out
 
 
-def drop(spark: SparkSession, df: DataFrame) -> None:
+def drop(df: DataFrame) -> None:
     """Removes the files of a table made by written() that nothing reads any more."""
-    jvm = spark.sparkContext._jvm
-    for parent in {name.rpartition("/")[0] for name in df.inputFiles()}:
-        target = jvm.org.apache.hadoop.fs.Path(parent)
-        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    _delete(df.sparkSession, df._scratch_path)
+
+
+def small(df: DataFrame, rows: int = 1 << 22) -> DataFrame:
+    """df, a written table of narrow rows, to be broadcast if it has at most so many rows; a larger one is joined by shuffling."""
+    return F.broadcast(df) if df.count() <= rows else df
 
 
 @contextmanager

@@ -18,7 +18,7 @@ import pyarrow as pa
 from tidemart.llm.arrow_text import WordHasher, blocks, utf8
 
 #: Words whose ids a worker keeps; when there are more, it begins anew.
-MEMO_WORDS = 450_000
+MEMO_WORDS = 250_000
 #: Bytes of text whose distinct words are looked up together.
 BLOCK_BYTES = 1 << 21
 # Latin letters, of which each is one composed character, then perhaps other ASCII characters, which are cut off as one piece of their own.
