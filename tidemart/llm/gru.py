@@ -80,31 +80,35 @@ def _step(v: dict, x: np.ndarray, h: np.ndarray, hidden: int) -> tuple:
 
 
 def _outputs(shape: Shape, v: dict, states: np.ndarray, target: np.ndarray, grad: dict | None):
-    """Sum of log probabilities' parts of each row: log P(class) + log P(member) for frequent words; with grad, also d loss / d states."""
+    """Log probability of each row's target: log P(class) + log P(member) for frequent words; with grad, to which the weights' gradients are
+    added, also d loss / d states. Rows are put in the order of their classes once, so that a class's rows are a slice."""
     cls = class_of(shape, target)
-    logits = states @ v["cls"] + v["cls_b"]
-    np.exp(logits, out=logits)
-    total = logits.sum(1)
-    rows = np.arange(len(target))
-    out = np.log(logits[rows, cls] / total)
-    d_states = None
+    order = np.argsort(cls, kind="stable")
+    cls, target, states = cls[order], target[order], states[order]
+    cuts = np.searchsorted(cls, np.arange(shape.classes + 1))
+    p = states @ v["cls"]
+    p += v["cls_b"]
+    np.exp(p, out=p)
+    total = p @ np.ones(p.shape[1], p.dtype)
+    out, d_states = np.log(p[np.arange(len(cls)), cls] / total), None
     if grad is not None:
-        logits /= total[:, None]
-        logits[rows, cls] -= 1
-        grad["cls"] += states.T @ logits
-        grad["cls_b"] += logits.sum(0)
-        d_states = logits @ v["cls"].T
-    head = np.flatnonzero(target < shape.heads)
-    head = head[np.argsort(cls[head], kind="stable")]
-    cuts = np.searchsorted(cls[head], np.arange(shape.heads // shape.members + 1))
-    for c in range(shape.heads // shape.members):
-        i = head[cuts[c] : cuts[c + 1]]
-        if not len(i):
-            continue
+        # Of the softmax's gradient p / total - (1 at the class), both parts are taken apart: rows are scaled where they are short.
+        scale = (1 / total).astype(p.dtype)
+        grad["cls"] += (states * scale[:, None]).T @ p
+        grad["cls_b"] += scale @ p
+        d_states = p @ v["cls"].T
+        d_states *= scale[:, None]
+        d_states -= v["cls"].T[cls]
+        here = np.flatnonzero(np.diff(cuts))
+        grad["cls"][:, here] -= np.add.reduceat(states, cuts[here]).T
+        grad["cls_b"][here] -= np.diff(cuts)[here]
+    for c in np.flatnonzero(np.diff(cuts[: shape.heads // shape.members + 1])).tolist():
+        i = slice(cuts[c], cuts[c + 1])
         s, m = states[i], target[i] - c * shape.members
-        p = np.exp(s @ v["mem"][c] + v["mem_b"][c])
-        total = p.sum(1)
-        rows = np.arange(len(i))
+        p = s @ v["mem"][c]
+        p += v["mem_b"][c]
+        np.exp(p, out=p)
+        total, rows = p.sum(1), np.arange(len(m))
         out[i] += np.log(p[rows, m] / total)
         if grad is not None:
             p /= total[:, None]
@@ -112,7 +116,9 @@ def _outputs(shape: Shape, v: dict, states: np.ndarray, target: np.ndarray, grad
             grad["mem"][c] += s.T @ p
             grad["mem_b"][c] += p.sum(0)
             d_states[i] += p @ v["mem"][c].T
-    return out, d_states
+    back = np.empty_like(order)
+    back[order] = np.arange(len(order))
+    return out[back], None if d_states is None else d_states[back]
 
 
 def _lanes(texts: list[np.ndarray], lanes: int, end: int):
@@ -140,7 +146,7 @@ def _window(texts: list[np.ndarray], group: list[int], lengths: np.ndarray, at:
     return x, y
 
 
-def log_probabilities(shape: Shape, flat: np.ndarray, texts: list[np.ndarray], lanes: int = 1024, steps: int = 16) -> np.ndarray:
+def log_probabilities(shape: Shape, flat: np.ndarray, texts: list[np.ndarray], lanes: int = 1024, steps: int = 64) -> np.ndarray:
     """For each text (symbols, without end) the natural log probability of it and its end, as far as the model goes. The state is
     carried over all windows of a text."""
     v, out = shape.views(flat), np.zeros(len(texts))
@@ -159,7 +165,7 @@ def log_probabilities(shape: Shape, flat: np.ndarray, texts: list[np.ndarray], l
     return out
 
 
-def train(shape: Shape, flat: np.ndarray, batches, lanes: int = 256, steps: int = 16, rate: float = 0.02, least: int = 1024) -> tuple[np.ndarray, int]:
+def train(shape: Shape, flat: np.ndarray, batches, lanes: int = 512, steps: int = 32, rate: float = 0.02, least: int = 1024) -> tuple[np.ndarray, int]:
     """Fits by Adam on batches (lists of texts), truncating gradients at windows of steps positions while the state goes on. Windows
     are added up to a step of least positions, or to the batch's end: the few lanes of the longest texts make no steps of their own.
     Returns the new weights and the number of positions seen."""

@@ -106,10 +106,11 @@ class Vocabulary:
         """(symbol, count or 0, whether the word is here) of each hash."""
         if not len(self.words):
             return heads + form, np.zeros(len(h), np.int64), np.zeros(len(h), bool)
-        at = np.minimum(np.searchsorted(self.words, h), len(self.words) - 1)
-        here = self.words[at] == h
-        symbol = np.where(here, self.symbols[at], -1)
-        return np.where(symbol >= 0, symbol, heads + form), np.where(here, self.counts[at], 0), here
+        once, back = np.unique(h, return_inverse=True)  # a block has few different words, and looking up costs more than sorting
+        at = np.minimum(np.searchsorted(self.words, once), len(self.words) - 1)
+        here = self.words[at] == once
+        symbol, count = np.where(here, self.symbols[at], -1)[back], np.where(here, self.counts[at], 0)[back]
+        return np.where(symbol >= 0, symbol, heads + form), count, here[back]
 
 
 def part(docs: DataFrame, round_: int, rounds: int, share: float) -> DataFrame:
@@ -156,7 +157,9 @@ def trained(docs: DataFrame, shape: gru.Shape, vocabulary, flat: np.ndarray, rou
 
     parts = part(docs, round_, rounds, share).select(F.col("text").cast("string").alias("text")).mapInArrow(fit, schema)
     out = flat.copy()
-    for r in parts.repartition(8, "chunk").mapInArrow(add, schema).toLocalIterator():  # one model, whatever the input
+    # Tasks' weights come together chunk by chunk, and first those of some tasks each: no reducer gets a part of every task's at once.
+    some = parts.withColumn("part", F.pmod(F.spark_partition_id(), F.lit(64))).repartition("chunk", "part").drop("part")
+    for r in some.mapInArrow(add, schema).repartition("chunk").mapInArrow(add, schema).toLocalIterator():  # one model, whatever the input
         out[r[0] : r[0] + len(r[2])] = np.array(r[2]) / r[1]
     return out
 
