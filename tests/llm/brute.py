@@ -86,22 +86,32 @@ def _xx(*values):
     return h - (1 << 64) if h >= 1 << 63 else h
 
 
+_ENDS = "aeiouAEIOU02468+/=._\\-\u0370-\U0010ffff"
+_space = " \t\n\x0b\f\r"
+_units = re.compile(rf"(?<![^{_space}])[^{_space}]{{1,20}}(?![^{_space}])|[^{_space}{_ENDS}]{{0,11}}[{_ENDS}]|[^{_space}{_ENDS}]{{1,12}}")
+
+
 def order_minhash(text, k=3, l=2, m=64):  # noqa: E741
-    units = re.findall(r"\S{1,8}", text or "")
+    units = _units.findall(text or "")
     n = max(len(units) - k + 1, 1) if units else 0
-    kmers = [_xx(*(units[i + j] if i + j < len(units) else None for j in range(k))) >> 24 for i in range(n)]
-    bits, seen, elements = m.bit_length() - 1, Counter(), []
+    kmers = [_xx(*(units[i + j] if i + j < len(units) else None for j in range(k))) for i in range(n)]
+    seen, ring = Counter(), []
     for at, h in enumerate(kmers):
-        o = seen[h]
+        e = xxhash.xxh64(seen[h].to_bytes(4, "little"), seed=_xx(h) % (1 << 64)).intdigest()
         seen[h] += 1
-        e = xxhash.xxh64(o.to_bytes(4, "little"), seed=_xx(h) % (1 << 64)).intdigest()
-        elements.append((e - (1 << 64) if e >= 1 << 63 else e, at, h))
-    by_bin = {}
-    for e, at, h in sorted(elements):
-        b = (e % (1 << 64)) >> (64 - bits)
-        if len(by_bin.setdefault(b, [])) < l:
-            by_bin[b].append((at, h))
-    return [(b << 48) | (_xx(*[h for _, h in sorted(x)]) & ((1 << 48) - 1)) for b, x in sorted(by_bin.items())]
+        ring.append((e, at, h))
+    ring.sort()
+    out = []
+    for point in range(m if ring else 0):
+        point = (point + m // 2) % m
+        first = next((i for i, x in enumerate(ring) if x[0] >= point * (1 << 64) // m), 0)
+        taken = [ring[(first + j) % len(ring)] for j in range(min(l, len(ring)))]
+        out.append(_xx(*[h for _, h in sorted((at, h) for _, at, h in taken)]))
+    return out
+
+
+def likeness(a, b):
+    return sum(x == y for x, y in zip(a, b)) / max(len(a), len(b)) if a or b else 1.0
 
 
 def sha(text):

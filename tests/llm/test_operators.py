@@ -244,6 +244,48 @@ def test_order_minhash(spark, docs):
     assert near(text, swapped) < near(text, changed)
 
 
+@pytest.mark.parametrize("n", [40, 80, 300])
+def test_moved_blocks_lower_the_likeness(n):
+    # Half of the pairs of chosen elements lie on both sides of the cut and turn around.
+    rng, likes = random.Random(n), []
+    for _ in range(20):
+        w = [f"{rng.getrandbits(40):x}" for _ in range(n)]
+        likes.append(brute.likeness(brute.order_minhash(" ".join(w)), brute.order_minhash(" ".join(w[n // 2 :] + w[: n // 2]))))
+    assert 0.3 < np.mean(likes) < 0.62
+
+
+@pytest.mark.parametrize("alphabet", ["ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "".join(map(chr, range(0x4E00, 0x5200))), "abcdefghijklmnopqrstuvwxyz"])
+def test_one_more_character_in_a_text_without_spaces(alphabet):
+    rng = random.Random(5)
+    for at in (0, 1, 1500):
+        t = "".join(rng.choices(alphabet, k=3000))
+        assert brute.likeness(brute.order_minhash(t), brute.order_minhash(t[:at] + "x" + t[at:])) > 0.8
+
+
+def test_order_minhash_query(spark, docs, tmp_path):
+    (tmp_path / "sf").mkdir()
+    docs.where("doc_id IS NOT NULL").write.parquet(str(tmp_path / "sf" / "documents.parquet"))
+    rows = sorted(docs.collect(), key=lambda r: -r.doc_id)
+    got = by_id(order_minhash.op8_order_minhash(spark, str(tmp_path / "sf")))
+    for r, after in zip(rows, rows[1:] + rows[:1]):
+        text, other = r.text or "", after.text or ""
+        cut = len(text) // 3
+        edited = text[: len(text) - cut] + other[:cut]
+        own, new, next_ = (brute.order_minhash(t) for t in (text, edited, other))
+        g = got[r.doc_id]
+        assert (g.n_chars, g.edited_sha256) == (len(text), brute.sha(edited))
+        assert g.fingerprint == "".join(f"{x % (1 << 64):016x}" for x in own) and g.edited_fingerprint == "".join(f"{x % (1 << 64):016x}" for x in new)
+        assert math.isclose(g.near_edited, brute.likeness(own, new)) and math.isclose(g.near_next, brute.likeness(own, next_))
+
+
+def test_next_document_of_repeated_and_null_ids(spark):
+    d = spark.createDataFrame([(5, "b"), (5, "a"), (None, "n"), (9, None), (None, "m"), (1, "z")], "doc_id long, text string")
+    d = d.withColumn("text", F.coalesce("text", F.lit("")))
+    for parts in (1, 4):
+        got = {(r.doc_id, r.text): r.next_text for r in order_minhash.with_next(d, ["text"], parts).collect()}
+        assert got == {(9, ""): "b", (5, "b"): "a", (5, "a"): "z", (1, "z"): "n", (None, "n"): "m", (None, "m"): ""}
+
+
 def test_next_document(spark, docs):
     rows = sorted(docs.collect(), key=lambda r: -r.doc_id)
     want = {r.doc_id: n.text for r, n in zip(rows, rows[1:] + rows[:1])}
@@ -311,12 +353,49 @@ def test_long_texts_make_no_steps_of_their_own():
     assert seen == 255 * 13 + 9001 and fit(new) > fit(single)
 
 
+def test_probabilities_of_all_continuations_sum_to_one():
+    # Of a text, P(text . symbol) over all symbols, plus P(text . end), is P(text): computed from whole-text scores alone.
+    shape = gru.Shape(heads=8, members=4, forms=2, hidden=3)
+    flat = np.random.default_rng(1).normal(0, 0.5, shape.size()).astype(np.float32)
+    score = lambda texts: gru.log_probabilities(shape, flat, [np.array(t, np.int64) for t in texts])
+
+    def begins(t):  # log P of the symbols of t, without an end: from a plain recurrence
+        v, h, out, x = shape.views(flat.astype(np.float64)), np.zeros(shape.hidden), 0.0, shape.end
+        sigmoid = lambda y: 1 / (1 + np.exp(-y))
+        for y in t:
+            n, g, a = shape.hidden, v["inp"][x], h @ v["rec"]
+            z, r = sigmoid(g[:n] + a[:n]), sigmoid(g[n : 2 * n] + a[n : 2 * n])
+            h = h + z * (np.tanh(g[2 * n :] + r * a[2 * n :]) - h)
+            p = np.exp(h @ v["cls"] + v["cls_b"])
+            c = y // 4 if y < 8 else y - 8 + 2
+            out += np.log(p[c] / p.sum())
+            if y < 8:
+                q = np.exp(h @ v["mem"][c] + v["mem_b"][c])
+                out += np.log(q[y % 4] / q.sum())
+            x = y
+        return out
+
+    for t in ([], [3], [9, 0, 7, 7]):
+        every = [begins([*t, y]) for y in range(shape.symbols)]
+        assert np.isclose(np.exp(every).sum(), np.exp(begins(t)))
+        assert np.isclose(score([t])[0], every[shape.end], atol=1e-4)
+
+
 def test_gradients():
     shape = gru.Shape(heads=8, members=4, forms=2, hidden=3)
     rng = np.random.default_rng(0)
     texts = [rng.integers(0, shape.end, n) for n in (5, 3, 0, 7)]
     flat = gru.initial(shape, np.ones(shape.symbols)).astype(np.float64)
     loss = lambda w: -gru.log_probabilities(shape, w.astype(np.float64), texts, steps=20).sum()
+    # One step of Adam over all positions moves each weight against its gradient's sign, which finite differences give too.
+    one, _ = gru.train(shape, flat.astype(np.float32), [texts], steps=20, rate=1e-3, least=10**9)
+    step, eps = one - flat.astype(np.float32), 1e-4
+    for i in rng.choice(len(flat), 60, replace=False):
+        up, down = flat.copy(), flat.copy()
+        up[i] += eps
+        down[i] -= eps
+        slope = (loss(up) - loss(down)) / (2 * eps)
+        assert abs(slope) < 0.02 or np.sign(step[i]) == -np.sign(slope), (i, slope, step[i])
     trained, seen = gru.train(shape, flat, [texts] * 60, steps=20)
     assert seen == 60 * sum(len(t) + 1 for t in texts) and loss(trained) < 0.6 * loss(flat)
     # Windows carry the state: their length changes nothing in scores.

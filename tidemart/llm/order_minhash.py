@@ -1,11 +1,13 @@
 """Document fingerprints: Order MinHash, with DataFrame functions only.
 
-A text is cut into units (runs of up to eight characters other than white space) and then into k-mers of
-``k`` consecutive units; a text of fewer units has one k-mer of them all. The o-th occurrence of a k-mer
-(o counts from 0) is an element of its own. A hash of (k-mer, o) orders the elements at random and deals
-them out to ``m`` bins. Each bin keeps its ``l`` minimal elements, puts them back in the order of the text
-and hashes that tuple. Two texts agree in a bin if they chose the same k-mers in the same order there, so
-the share of agreeing bins falls with both changed and moved text: it follows edit distance, not only overlap.
+A text is cut into units: words of up to ``WORD`` characters other than white space, and longer runs at places that their
+own characters mark, so that a character put in or left out changes the units around it and no others. ``k`` consecutive
+units are a k-mer; a text of fewer units has one k-mer of them all. The o-th occurrence of a k-mer (o counts from 0) is an
+element of its own, and a hash of (k-mer, o) puts all elements on a ring. From each of ``m`` points of the ring, evenly
+spaced, the next ``l`` elements are chosen, put back in the order of the text, and their tuple is hashed. Two texts agree
+at a point if they chose the same k-mers there in the same order, so the share of agreeing points falls with both changed
+and moved text: it follows edit distance, not only overlap. In texts of few k-mers points share elements, but each still
+has its tuple of l with their order.
 
 All of this happens inside a row: no shuffle, no Python.
 """
@@ -18,12 +20,16 @@ from pyspark.sql import functions as F
 from tidemart.llm.columns import let, positions
 from tidemart.llm.tables import table
 
-#: Bits of a sort key that hold a position; the others hold the hash.
-POSITION_BITS = 24
+#: The longest run that is a unit as it stands.
+WORD = 20
+# In longer runs a unit ends after a character of this class (about every fourth of texts in Latin letters or base64, every one beyond
+# them), or after 12 others.
+_ENDS = "aeiouAEIOU02468+/=._\\-\\x{370}-\\x{10FFFF}"
+_units = rf"(?<!\S)\S{{1,{WORD}}}(?!\S)|[^\s{_ENDS}]{{0,11}}[{_ENDS}]|[^\s{_ENDS}]{{1,12}}"
 
 
 def units(text: Column) -> Column:
-    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"\S{1,8}"), F.lit(0))
+    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(_units), F.lit(0))
 
 
 def _kmers(words: Column, k: int) -> Column:
@@ -37,78 +43,72 @@ def _kmers(words: Column, k: int) -> Column:
     )
 
 
-def _with_position(value: Column, position: Column) -> Column:
-    """A long that sorts by value's upper bits, then by position."""
-    low = (1 << POSITION_BITS) - 1
-    return value.bitwiseAND(F.lit(~low)).bitwiseOR(F.least(position, F.lit(low)).cast("long"))
-
-
 def _numbered(kmers: Column) -> Column:
     """array(struct(kmer, at, occurrence)), sorted by k-mer. Equal k-mers are neighbours after sorting, so an
     occurrence number is the distance from where their run begins."""
-    low = (1 << POSITION_BITS) - 1
-    bare = lambda x: F.shiftright(x, POSITION_BITS)
-    ordered = F.sort_array(F.transform(kmers, _with_position))
+    ordered = F.sort_array(F.transform(kmers, lambda h, at: F.struct(h.alias("kmer"), at.alias("at"))))
 
     def number(s: Column) -> Column:
-        begins = F.filter(positions(F.size(s)), lambda j: (j == 0) | (bare(F.get(s, j)) != bare(F.get(s, j - 1))))
+        begins = F.filter(positions(F.size(s)), lambda j: (j == 0) | (F.get(s, j)["kmer"] != F.get(s, j - 1)["kmer"]))
         counted = let(
             begins,
             lambda b: F.flatten(
                 F.transform(b, lambda at, q: F.sequence(F.lit(0), F.coalesce(F.get(b, q + 1), F.size(s)) - at - 1))
             ),
         )
-        return F.zip_with(
-            s, counted, lambda x, o: F.struct(bare(x).alias("kmer"), x.bitwiseAND(F.lit(low)).alias("at"), o.alias("occurrence"))
-        )
+        return F.zip_with(s, counted, lambda x, o: F.struct(x["kmer"].alias("kmer"), x["at"].alias("at"), o.alias("occurrence")))
 
     return let(ordered, number)
 
 
 def sketch(text: Column, k: int = 3, l: int = 2, m: int = 64) -> Column:  # noqa: E741
-    """array<bigint>: for each bin with an element, in the bins' order, bin << 48 | 48 bits of its tuple's hash.
+    """array<bigint>: the hash of each point's tuple, in the points' order.
 
     m is a power of two. Null and empty texts, and texts of white space alone, have an empty sketch.
     """
     bits = m.bit_length() - 1
     if m != 1 << bits or not 0 < bits < 15:
         raise ValueError("m must be a power of two, 2 to 16384")
-    bin_of = lambda e: F.shiftrightunsigned(e, 64 - bits)
+    part = lambda e: F.shiftrightunsigned(e, 64 - bits).cast("int")  # noqa: E731  of the ring's m parts
     elements = F.transform(
         _numbered(_kmers(units(text), k)),
         lambda x: F.struct(F.xxhash64(x["kmer"], x["occurrence"]).alias("e"), x["at"].alias("at"), x["kmer"].alias("kmer")),
     )
-    # Sorted by hash, a bin's elements are neighbours (the bin is the hash's top bits): those with fewer than l of their bin before them are its minimal ones.
+    # Sorted by hash, a part's elements are neighbours (a signed sort begins in the middle of the ring, at part m / 2). No point takes more
+    # than the first l of a part.
     chosen = let(
         F.sort_array(elements),
-        lambda s: F.filter(s, lambda x, j: (j < l) | (bin_of(x["e"]) != bin_of(F.get(s, j - l)["e"]))),
-    )
-    in_text_order = F.sort_array(
-        F.transform(chosen, lambda x: F.struct(bin_of(x["e"]).alias("bin"), x["at"].alias("at"), x["kmer"].alias("kmer")))
+        lambda s: F.filter(s, lambda x, j: (j < l) | (part(x["e"]) != part(F.get(s, j - l)["e"]))),
     )
+    turn = lambda e: (part(e) + m // 2) % m  # noqa: E731  parts numbered from where the sort begins
 
     def tuples(s: Column) -> Column:
-        same = lambda j, i: F.when(F.get(s, j)["bin"] == F.get(s, i)["bin"], F.get(s, j)["kmer"])
-        first = F.filter(positions(F.size(s)), lambda i: (i == 0) | (F.get(s, i)["bin"] != F.get(s, i - 1)["bin"]))
-        return F.transform(
-            first,
-            lambda i: F.shiftleft(F.get(s, i)["bin"].cast("long"), 48).bitwiseOR(
-                F.xxhash64(*[same(i + j, i) for j in range(l)]).bitwiseAND(F.lit((1 << 48) - 1))
-            ),
-        )
+        # The point of each part takes what comes first at or after it; past the last element, the first of all.
+        firsts = F.filter(positions(F.size(s)), lambda i: (i == 0) | (part(F.get(s, i)["e"]) != part(F.get(s, i - 1)["e"])))
+        before = lambda i: F.when(i == 0, -1).otherwise(turn(F.get(s, i - 1)["e"]))
+        served = F.flatten(F.transform(firsts, lambda i: F.array_repeat(i, turn(F.get(s, i)["e"]) - before(i))))
+        begins = F.concat(served, F.array_repeat(F.lit(0), m - F.size(served)))
+
+        def chained(i: Column) -> Column:
+            taken = F.transform(positions(F.least(F.size(s), F.lit(l))), lambda j: F.get(s, (i + j) % F.size(s)))
+            in_order = F.sort_array(F.transform(taken, lambda x: F.struct(x["at"].alias("at"), x["kmer"].alias("kmer"))))
+            return let(in_order, lambda t: F.xxhash64(*[F.get(t, j)["kmer"] for j in range(l)]))
+
+        return let(begins, lambda b: F.transform(b, chained))
 
-    return let(in_text_order, tuples)
+    none = F.array().cast("array<bigint>")
+    return let(chosen, lambda s: F.when(F.size(s) > 0, tuples(s)).otherwise(none))
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Share of the bins used by either sketch in which both agree: 0 to 1; 1 for two empty sketches."""
-    bins = lambda s: F.transform(s, lambda x: F.shiftright(x, 48))
-    used = F.size(F.array_union(bins(a), bins(b)))
-    return F.when(used == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / used).cast("double")
+    """Share of the points at which two sketches of the same shape agree: 0 to 1; 1 for two empty sketches, 0 for one."""
+    agree = F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda same: same))
+    most = F.greatest(F.size(a), F.size(b))
+    return F.when(most == 0, F.lit(1.0)).otherwise(agree / most).cast("double")
 
 
 def as_text(s: Column) -> Column:
-    """16 hexadecimal digits a bin."""
+    """16 hexadecimal digits a point."""
     return F.array_join(F.transform(s, lambda x: F.lpad(F.lower(F.hex(x)), 16, "0")), "")
 
 
