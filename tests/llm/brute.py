@@ -116,3 +116,20 @@ def likeness(a, b):
 
 def sha(text):
     return hashlib.sha256(text.encode() if isinstance(text, str) else text).hexdigest()
+
+
+_plain = [
+    (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda m: True),
+    (r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda m: all(int(x) <= 255 for x in m.split("."))),
+    (r"[0-9]([\x20-]?[0-9])+", lambda m: 14 <= len(re.findall("[0-9]", m)) <= 19 and _luhn(re.findall("[0-9]", m))),
+    (r"\+[0-9][\x20().0-9-]+[0-9]", lambda m: 10 <= len(re.findall("[0-9]", m)) <= 15),
+]
+
+
+def _luhn(digits):
+    return sum(sum(divmod(int(d) * (1 + i % 2), 10)) for i, d in enumerate(reversed(digits))) % 10 == 0
+
+
+def personal(text):
+    """(start, end, kind) by the base patterns, sorted."""
+    return sorted((*m.span(), k) for k, (p, good) in enumerate(_plain) for m in re.finditer(p, text) if good(m[0]))

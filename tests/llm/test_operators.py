@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import random
 import sys
+import time
 import zlib
 from collections import Counter
 from pathlib import Path
@@ -167,6 +168,53 @@ def test_personal_data_behind_disguises():
     assert found("we met at noon. one two three dots") == [] and found("die Straße at the end of thing") == []
 
 
+def test_personal_data_base_is_the_plain_patterns():
+    rng = random.Random(6)
+    parts = ["a@b.c", "@", ".", "1.2.3.4", "255", "256", "+", "4111 1111 1111 1111", "49927398716123", "-", " ", "(", ")", "joe", "x_y", "%", "12", "7", "+44 20 7946 0958", ".", ".."]
+    for _ in range(4000):
+        t = "".join(rng.choices(parts, k=rng.randrange(1, 14)))
+        assert pii.detect(t) == brute.personal(t), t
+
+
+DISGUISES = [
+    "joe@foo.com", "joe[@]foo[.]com", "joe@foo[.]com", "joe  at  foo  dot  com", "joe (at)\nfoo (dot) com", "joe @ foo . com", "joe&#64;foo.com", "jo\u200be@foo.com",
+    "joe [at] foo.com", "joe.x (at) mail (dot) foo (dot) org", "joe{at}foo{dot}net", "JOE AT FOO DOT COM", "joe arroba foo punto es", "joe (at) foo punkt de", "ｊｏｅ@ｆｏｏ.com",
+    "jоe@foo.com", "joe&commat;foo&period;com",
+]
+
+
+@pytest.mark.parametrize("disguise", DISGUISES)
+def test_disguised_addresses_are_found_whole(disguise):
+    for before, after in (("", ""), ("write to ", " now"), ("é, ", ", or not."), ("(", ")")):
+        t = before + disguise + after
+        base = pii.detect(t)
+        whole = (len(before), len(before) + len(disguise), 0)
+        assert whole in base + pii.hidden(t, base), t
+
+
+def test_spelled_numbers_in_four_languages():
+    lists = ["zero one two three four five six seven eight nine", "null eins zwei drei vier fünf sechs sieben acht neun", "zéro un deux trois quatre cinq six sept huit neuf", "cero uno dos tres cuatro cinco seis siete ocho nueve"]
+    for names in map(str.split, lists):
+        t = "call plus " + " ".join(names[int(d)] for d in "49301234567") + " or"
+        assert [(t[s:e], pii.KINDS[k]) for s, e, k in pii.hidden(t, pii.detect(t))] == [(t[5:-3], "phone")]
+
+
+@pytest.mark.parametrize("clean", [
+    "we met at noon. dot com is a word", "look at the point of it", "at home . and so on", "lunch @ noon . then we go", "f(x) [.] g", "un deux pas", "einen punkt zu", "a (at) b", "price @ 5 . ok", "uno dos tres", "", "@", " at ", "(dot)(at)(dot)",
+])
+def test_clean_texts_stay_clean(clean):
+    assert pii.hidden(clean, pii.detect(clean)) == []
+
+
+def test_very_long_texts_take_time_in_proportion():
+    for unit in (" x dot y a.", "a.", "joe at ", "(at)", "1 2 3 ", "one two ", "a@", "+1 ", " dot ", "\u200b1.", "joe (at) foo (dot) com "):
+        t = unit * (1_000_000 // len(unit))
+        begun = time.process_time()
+        base = pii.detect(t)
+        pii.hidden(t, base)
+        assert time.process_time() - begun < 40, unit
+
+
 def test_personal_data_frames(spark):
     d = spark.createDataFrame([(1, None, 5), (2, "", 5), (3, "a@b.cd x", 5), (3, "a@b.cd x", 5), (4, "no", None)], "doc_id long, text string, base int")
     assert sorted((r.doc_id, len(r.base)) for r in pii.spans(d).collect()) == [(1, 0), (2, 0), (3, 1), (3, 1), (4, 0)]

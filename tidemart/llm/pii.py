@@ -1,17 +1,19 @@
 """Personal data: detection in the text as it stands and, with offsets kept, in the text behind its disguises.
 
 A text passes transducers that each rewrite what they recognise and carry, for every character they emit, where it came
-from: look-alike letters and digits become ASCII ones, spelled digits become digits, and "(at)" or "dot" become @ and dot.
+from: look-alike letters and digits become ASCII ones and unseen characters go, spelled digits (in four languages) become digits, and
+"(at)", "dot" or their character references become @ and dot. Each reads a text once, from tokens of bounded length.
 The same detectors then run over the rewritten text, and what they find in rewritten places is mapped back to the source.
 Spans found in the text as it stands are never changed by this.
 """
 
 from __future__ import annotations
 
-import hashlib
+import bisect
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -90,53 +92,72 @@ LOOK_ALIKES = {
     "S": "Ѕ", "T": "ТΤ", "X": "ХΧ", "Y": "ҮΥ", "Z": "Ζ",
     ".": "․。｡", "-": "‐‑‒–—−", "@": "﹫", "+": "﹢", " ": "   ",
 }
-# Spelled digits.
+# Spelled digits in English, German, French and Spanish.
 DIGIT_WORDS = {
     "zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9",
+    "null": "0", "eins": "1", "zwei": "2", "drei": "3", "vier": "4", "fünf": "5", "sechs": "6", "sieben": "7", "acht": "8", "neun": "9",
+    "zéro": "0", "un": "1", "deux": "2", "trois": "3", "quatre": "4", "cinq": "5", "sept": "7", "huit": "8", "neuf": "9",
+    "cero": "0", "uno": "1", "dos": "2", "tres": "3", "cuatro": "4", "cinco": "5", "seis": "6", "siete": "7", "ocho": "8", "nueve": "9",
 }
+SIGN_WORDS = {"plus": "+", "más": "+", "dot": ".", "point": ".", "punkt": ".", "punto": ".", "dash": "-", "strich": "-", "tiret": "-", "guion": "-"}
+TIMES_WORDS = {"double": 2, "triple": 3, "doppelt": 2, "doble": 2}
+# Words for @ and ., their character references, and ends of domains after which a spelled dot with no brackets counts.
+AT_WORDS, DOT_WORDS = ("at", "arroba", "arobase"), ("dot", "punkt", "punto", "point")
+AT_ENTITIES, DOT_ENTITIES = ("&#64;", "&#x40;", "&commat;"), ("&#46;", "&#x2e;", "&period;")
+DOMAIN_ENDS = frozenset("com org net edu gov info biz io co uk us eu de at ch fr be es it nl pl pt se dk fi no cz ru jp cn in br mx ar au ca example test".split())
+#: Characters that aren't seen: zero-width ones and soft hyphens.
+UNSEEN = "\u200b\u200c\u200d\u2060\ufeff\u00ad"
 
 _look = {ord(x): a for a, xs in LOOK_ALIKES.items() for x in xs}
 _look |= {0xFEE0 + c: chr(c) for c in range(0x21, 0x7F)}  # full-width forms
 _look |= {base + d: str(d) for base in (0x660, 0x6F0, 0x966, 0x1D7CE, 0x1D7D8, 0x1D7E2, 0x1D7EC, 0x1D7F6) for d in range(10)}  # other digits
+_look |= {ord(x): "" for x in UNSEEN}
 _any_look = re.compile("[" + re.escape("".join(map(chr, _look))) + "]")
-_number = "|".join(DIGIT_WORDS)
-_unit = rf"(?:(?:double|triple)[ -])?(?:{_number}|[0-9])"
-_spelled = re.compile(
-    rf"\b(?:plus[ ,-]{{1,2}})?{_unit}(?:(?:[ ,-]{{1,2}}|[ ]?\b(?:dot|point|dash)\b[ ]?){_unit}){{3,}}\b", re.I
+_one_of = lambda words: "|".join(sorted(words, key=len, reverse=True))
+_number = _one_of(DIGIT_WORDS)
+_sign = _one_of(w for w, sign in SIGN_WORDS.items() if sign != "+")
+_plus = _one_of(w for w, sign in SIGN_WORDS.items() if sign == "+")
+_unit = rf"(?:(?:{_one_of(TIMES_WORDS)})[ -])?(?:{_number}|[0-9])"
+_spelled = re.compile(rf"\b(?:(?:{_plus})[ ,-]{{1,2}})?{_unit}(?:(?:[ ,-]{{1,2}}|[ ]?\b(?:{_sign})\b[ ]?){_unit}){{3,}}\b", re.I)
+_spelled_part = re.compile(rf"\b(?:{_plus}|{_one_of(TIMES_WORDS)}|{_sign}|{_number})\b|[0-9]", re.I)
+_any_word = re.compile(rf"\b(?:{_number})[ ,-]{{1,2}}(?:{_number}|{_sign}|{_one_of(TIMES_WORDS)}|[0-9])\b", re.I)
+# Disguises are read from tokens of bounded length, so a text is read once whatever it holds.
+_gap = r"[ \t\r\n]{0,4}"
+_bracketed = lambda words: rf"{_gap}[\[({{<][ ]{{0,2}}(?:{words})[ ]{{0,2}}[\])}}>]{_gap}"
+_apart = lambda words: rf"[ \t]{{1,4}}(?:{words})[ \t]{{1,4}}"
+_tokens = re.compile(
+    "(?P<label>[A-Za-z0-9%+_-]+)"
+    f"|(?P<at>{_bracketed(_one_of(AT_WORDS) + '|@')}|{_one_of(AT_ENTITIES)}|{_apart('@')}|@)|(?P<at_word>{_apart(_one_of(AT_WORDS))})"
+    rf"|(?P<dot>{_bracketed(_one_of(DOT_WORDS) + '|[.]')}|{_one_of(DOT_ENTITIES)}|[.])|(?P<dot_word>{_apart(_one_of(DOT_WORDS) + '|[.]')})"
+    "|(?P<other>.)",
+    re.I | re.S,
 )
-_spelled_part = re.compile(rf"\b(?:plus|double|triple|dot|point|dash|{_number})\b|[0-9]", re.I)
-_any_word = re.compile(rf"\b(?:{_number})\b[ ,-]{{1,2}}", re.I)
-_bracket = r"(?:\[{w}\]|\({w}\)|\{{{w}\}}|<{w}>)"
-_at = rf"(?:[ ]?{_bracket.replace('{w}', '[ ]?at[ ]?')}[ ]?|[ ]at[ ])"
-_dot = rf"(?:[ ]?{_bracket.replace('{w}', '[ ]?dot[ ]?')}[ ]?|[ ]dot[ ]|\.)"
-_disguised = re.compile(
-    rf"(?<![A-Za-z0-9])[A-Za-z0-9%+-]+(?:(?:{_dot}|_)[A-Za-z0-9%+-]+)*?(?P<at>{_at}|@)[A-Za-z0-9-]+(?:{_dot}[A-Za-z0-9-]+)+", re.I
-)
-_any_disguise = re.compile(r"[\[({<] ?(?:at|dot) ?[\])}>]| dot ", re.I)
-_at_token, _dot_token = re.compile(_at, re.I), re.compile(_dot, re.I)
+_any_disguise = re.compile(rf"[\[({{<][ ]{{0,2}}(?:{_one_of(AT_WORDS + DOT_WORDS)}|[@.])[ ]{{0,2}}[\])}}>]|[ \t](?:{_one_of(DOT_WORDS)})[ \t]|[ \t]@[ \t]|{_one_of(AT_ENTITIES + DOT_ENTITIES)}", re.I)
 
 
 class Traced:
     """A text and, for each of its characters, the source's characters [first, last) that it stands for; whether it was rewritten."""
 
     def __init__(self, text: str) -> None:
-        self.text = text
-        self.first, self.last, self.new = range(len(text)), range(1, len(text) + 1), bytes(len(text))
+        self.text, n = text, len(text)
+        self.first, self.last, self.new = np.arange(n), np.arange(1, n + 1), np.zeros(n, bool)
 
     def rewrite(self, edits: list[tuple[int, int, str]]) -> None:
-        """edits: (start, end, replacement), in order and apart. A replacement of several characters stands for all of [start, end)."""
-        text, first, last, new, at = [], [], [], bytearray(), 0
+        """edits: (start, end, replacement), in order and apart. A replacement of several characters stands for all of [start, end); where one
+        is empty, the character after it counts as rewritten."""
+        if not edits:
+            return
+        text, first, last, new, at, before = [], [], [], [], 0, "-"
         for s, e, by in [*edits, (len(self.text), len(self.text), "")]:
             text += [self.text[at:s], by]
-            first += self.first[at:s]
-            last += self.last[at:s]
-            new += self.new[at:s]
-            if by:
-                first += [self.first[s]] * len(by)
-                last += [self.last[e - 1]] * len(by)
-                new += b"\1" * len(by)
-            at = e
-        self.text, self.first, self.last, self.new = "".join(text), first, last, bytes(new)
+            first += [self.first[at:s], np.full(len(by), self.first[s] if by else 0)]
+            last += [self.last[at:s], np.full(len(by), self.last[e - 1] if by else 0)]
+            kept = self.new[at:s].copy()
+            if not before and len(kept):
+                kept[0] = True
+            new += [kept, np.ones(len(by), bool)]
+            at, before = e, by
+        self.text, self.first, self.last, self.new = "".join(text), np.concatenate(first), np.concatenate(last), np.concatenate(new)
 
 
 def look_alikes(t: Traced) -> None:
@@ -146,37 +167,54 @@ def look_alikes(t: Traced) -> None:
 def spelled_digits(t: Traced) -> None:
     edits = []
     for run in _spelled.finditer(t.text):
-        times, at = 1, run.start()
-        if not _any_word.search(run[0] + " "):
+        if not _any_word.search(run[0]):
             continue
+        times, begin = 1, None
         for m in _spelled_part.finditer(t.text, *run.span()):
             word = m[0].lower()
-            if word in ("double", "triple"):
-                times, begin = (2 if word == "double" else 3), at
+            if word in TIMES_WORDS:
+                times, begin = TIMES_WORDS[word], m.start()
                 continue
-            by = {"plus": "+", "dot": ".", "point": ".", "dash": "-"}.get(word) or DIGIT_WORDS.get(word, word) * times
-            if times > 1:
-                at, times = begin, 1
-            edits.append((at if at > run.start() or m.start() == run.start() else m.start(), m.end(), by))
-            at = m.end()
+            by = SIGN_WORDS.get(word) or DIGIT_WORDS.get(word, word) * times
+            at = m.start() if begin is None else begin
+            if edits and run.start() < edits[-1][1] <= at:  # what parts two digits goes with the second
+                at = edits[-1][1]
+            edits.append((at, m.end(), by))
+            times, begin = 1, None
     t.rewrite(edits)
 
 
 def at_and_dot(t: Traced) -> None:
-    edits = []
-    for m in _disguised.finditer(t.text):
-        a, b = m.span("at")
-        plain = t.text[a:b].strip().lower() == "at"
-        dots = [d.span() for part in ((m.start(), a), (b, m.end())) for d in _dot_token.finditer(t.text, *part)]
-        words = [d for d in dots if t.text[slice(*d)] != "."]
-        if plain and not any(s >= b for s, _ in words):
-            continue  # a bare "at" counts only before a domain whose dot is spelled out
-        edits += [(s, e, ".") for s, e in words if e <= a] + ([(a, b, "@")] if t.text[a:b] != "@" else []) + [(s, e, ".") for s, e in words if s >= b]
+    """An address is a label, perhaps more with dots between, an at sign, and two labels or more with dots between. Spelled signs without
+    brackets count only if the domain ends like one, and a bare "at" only before a spelled dot."""
+    tokens = [(m.lastgroup, m.start(), m.end()) for m in _tokens.finditer(t.text)]
+    kind = lambda i: tokens[i][0] if 0 <= i < len(tokens) else "other"
+    dots, edits, end = ("dot", "dot_word"), [], 0
+    for i, (k, s, e) in enumerate(tokens):
+        if k not in ("at", "at_word") or kind(i - 1) != "label" or kind(i + 1) != "label":
+            continue
+        left, right = i - 1, i + 1
+        while left - 2 >= end and kind(left - 1) == "dot" and kind(left - 2) == "label":  # an at sign ends this, so no token is passed twice
+            left -= 2
+        while kind(right + 1) in dots and kind(right + 2) == "label":
+            right += 2
+        bare = k == "at_word"
+        loose = bare or (e - s > 1 and t.text[s:e].strip(" \t") == "@")  # spelled, or with spaces around
+        # A spelled dot after which no known end comes is the text's own: the domain stops before it.
+        while right > i + 1 and tokens[right - 1][0] == "dot_word" and t.text[tokens[right][1] : tokens[right][2]].lower() not in DOMAIN_ENDS:
+            right -= 2
+        inner = tokens[i + 2 : right : 2]
+        last = t.text[tokens[right][1] : tokens[right][2]].lower()
+        if not inner or (bare and not any(d[0] == "dot_word" or d[2] - d[1] > 1 for d in inner)) or (loose and last not in DOMAIN_ENDS):
+            continue
+        signs = [(a, b, ".") for _, a, b in tokens[left + 1 : i : 2]] + [(s, e, "@")] + [(a, b, ".") for _, a, b in inner]
+        edits += [(a, b, by) for a, b, by in signs if t.text[a:b] != by]
+        end = right + 1
     t.rewrite(edits)
 
 
 def hidden(text: str, known: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """Spans of the source that only the rewritten text shows: none lies within a known one of its kind (it may reach beyond one)."""
+    """Spans of the source that only the rewritten text shows: none lies within a known one of its kind (it may reach beyond one). known is sorted."""
     steps = [f for pattern, f in ((_any_look, look_alikes), (_any_word, spelled_digits), (_any_disguise, at_and_dot)) if pattern.search(text)]
     if not steps:
         return []
@@ -185,12 +223,20 @@ def hidden(text: str, known: list[tuple[int, int, int]]) -> list[tuple[int, int,
     t = Traced(text)
     for step in steps:
         step(t)
-    found = []
+    changed = np.concatenate([[0], np.cumsum(t.new)])
+    if not changed[-1]:
+        return []
+    # Spans of one kind don't overlap and come in order, so the last that begins at or before a place is the only one that can hold it.
+    starts = [[s for s, _, k in known if k == kind] for kind in range(len(KINDS))]
+    ends = [[e for _, e, k in known if k == kind] for kind in range(len(KINDS))]
+    found, reach = [], [-1] * len(KINDS)
     for s, e, kind in detect(t.text):
-        if any(t.new[s:e]):
-            a, b = t.first[s], t.last[e - 1]
-            if not any(k == kind and x <= a and b <= y for x, y, k in known + found):
+        if changed[e] > changed[s]:
+            a, b = int(t.first[s]), int(t.last[e - 1])
+            at = bisect.bisect_right(starts[kind], a) - 1
+            if b > reach[kind] and not (at >= 0 and ends[kind][at] >= b):
                 found.append((a, b, kind))
+                reach[kind] = b
     return found
 
 
@@ -261,4 +307,5 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(text(by_place(F.col("base"))), 256).alias("base_sha256"),
         text(by_place(F.concat("base", "added"))).alias("spans"),
         F.size("added").cast("long").alias("n_added"),
+        (F.size("base") + F.size("added")).cast("long").alias("n_spans"),
     )
