@@ -206,7 +206,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
     spark = docs.sparkSession
     levels = [min(x, length - anchor + 1) for x in STEPS]  # the windows of a run share bytes
     found = scratch.written(anchored(docs, length, anchor), "anchors")
-    often = found.groupBy("g").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("g")
+    # Written by itself, so that the join below has no aggregate above its shuffle and Spark can split an anchor that many texts share.
+    often = scratch.written(found.groupBy("g").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("g"), "often")
     repeated = scratch.written(found.join(often, "g").withColumn("c", F.xxhash64("g", "e", "left")), "repeated")
     scratch.drop(found)
     kinds = repeated.groupBy("c").agg(
@@ -214,6 +215,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
     )
     kinds = scratch.written(kinds, "contexts")
     mixed = kinds.groupBy("g").agg(F.count(F.lit(1)).alias("m"), F.min("times").alias("least")).where("m > 1 AND least = 1").select("g")
+    mixed = scratch.written(mixed, "mixed")
     wanted = kinds.join(mixed, "g").select("c", "r.*", F.least("times", F.lit(2)).cast("int").alias("w"))
     wanted = wanted.groupBy("key").agg(F.collect_list(F.struct("c", "lo", "n", "left", "w")).alias("cs"))  # a document's own contexts
 
@@ -309,4 +311,5 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
 def op7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes of every document that are part of a 400-byte string found elsewhere."""
     out = without_repeats(table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    more = [(F.col("n_bytes") - F.col("n_removed")).alias("n_kept"), (F.col("n_removed") > 0).alias("has_repeats")]
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), *more)
