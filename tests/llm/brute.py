@@ -133,3 +133,9 @@ def _luhn(digits):
 def personal(text):
     """(start, end, kind) by the base patterns, sorted."""
     return sorted((*m.span(), k) for k, (p, good) in enumerate(_plain) for m in re.finditer(p, text) if good(m[0]))
+
+
+def ngrams(text):
+    """The different n-grams of 1 to 3 bytes, as the numbers that langid gives them."""
+    b, begin = text.lower().encode(), (0, 1 << 8, (1 << 8) + (1 << 16))
+    return {begin[n - 1] + int.from_bytes(b[i : i + n], "big") for n in (1, 2, 3) for i in range(len(b) - n + 1)}

@@ -365,6 +365,36 @@ def test_language(spark):
     assert langid.fit(odd.limit(0)) is None and langid.predicted(odd, None).where("lang_pred <> 'und'").count() == 0
 
 
+def test_language_is_kernel_ridge_regression(spark):
+    """Against the plain method: kernels of every pair of texts, Nystroem features, ridge regression."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(90).select("doc_id", "text", "lang").where("text IS NOT NULL AND lang IS NOT NULL")
+    docs = docs.union(docs.limit(3))  # repeated rows are one
+    model, rows = langid.fit(docs, landmarks=5), langid.training_rows(docs).toPandas().sort_values(["mark", "lang"], ignore_index=True)
+    texts = {frozenset(brute.ngrams(r.text)): r.text for r in docs.collect()}
+    sets = [set(c) for c in rows["codes"]]
+    kernel = lambda a, b: len(a & b) / math.sqrt(len(a) * len(b))
+    marks = [sets[i] for i in np.flatnonzero(rows.groupby("lang").cumcount() < 5)]
+    k = np.array([[kernel(a, b) for b in marks] for a in marks])
+    values, vectors = np.linalg.eigh(k)
+    keep = values > 1e-6 * values.max()
+    phi = np.array([[kernel(a, b) for b in marks] for a in sets]) @ (vectors[:, keep] / np.sqrt(values[keep]))
+    y = (rows["lang"].to_numpy()[:, None] == np.array(model.languages)).astype(float)
+    d = (1 / y.sum(0))[y.argmax(1)][:, None]
+    w = np.linalg.solve((phi * d).T @ phi + 0.001 * np.eye(phi.shape[1]), (phi * d).T @ y)
+    want = {t: np.clip(s.max(), 0, 1) for t, s in zip((texts[frozenset(s)] for s in sets), phi @ w)}
+    got = {r.text: r.lang_score for r in langid.predicted(docs, model).collect()}
+    assert len(want) > 50 and all(abs(got[t] - s) < 2e-3 for t, s in want.items())
+
+
+def test_language_scores_do_not_depend_on_the_batch(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
+    model = langid.fit(docs)
+    odd = spark.createDataFrame([(1, "is"), (2, "a"), (3, "é"), (4, "the end " * 200_000)], "doc_id long, text string").withColumn("lang_pred", F.lit(1))
+    alone = [langid.predicted(odd.where(f"doc_id = {i}"), model).head() for i in (1, 2, 3, 4)]
+    together = sorted(langid.predicted(odd.coalesce(1), model).collect())
+    assert [(r.doc_id, r.lang_pred, round(r.lang_score, 5)) for r in alone] == [(r.doc_id, r.lang_pred, round(r.lang_score, 5)) for r in together]
+
+
 def test_language_model(spark):
     d = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
     extra = spark.createDataFrame([(100_001, None), (100_002, " \n "), (None, "the the the")], "doc_id long, text string")

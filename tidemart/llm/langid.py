@@ -28,8 +28,8 @@ from tidemart.llm.tables import table
 
 #: Documents of each language that the model is fitted on, and how many of them are landmarks.
 PER_LANGUAGE, LANDMARKS = 600, 64
-#: Languages at most, the most frequent ones first; a bound on the sample.
-MAX_LANGUAGES = 200
+#: What both come to at most over all languages: with many of them each has fewer. As many languages as landmarks can be told apart.
+SAMPLE, ALL_LANDMARKS = 60_000, 4096
 UNKNOWN = "und"
 _letter = re.compile(r"[^\W\d_]")
 
@@ -67,11 +67,9 @@ def presence(data: np.ndarray, offsets: np.ndarray, feature: np.ndarray, univers
     b, off = data[offsets[0] : offsets[-1]], offsets - offsets[0]
     base = np.repeat(np.arange(n, dtype=np.int64) * d, np.diff(off))
     left = np.repeat(off[1:], np.diff(off)) - np.arange(len(b))  # bytes to the row's end
-    for k, code in enumerate(_codes(b)) if len(b) > 2 else ():
+    for k, code in enumerate(_codes(b)):
         inside = left[: len(code)] > k
         out[(base[: len(code)] + feature[code])[inside]] = 1
-    if 0 < len(b) <= 2:
-        out[base + feature[b.astype(np.int32)]] = 1
     return out.reshape(n, d)[:, 1:]
 
 
@@ -99,30 +97,43 @@ def _batch_rows(data: np.ndarray, offsets: np.ndarray, feature: np.ndarray, univ
 
 
 def training_rows(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
-    """About per_language rows of each language: those whose hash of the id is below the language's rate."""
+    """lang, mark, codes (array<int>: the different n-grams of the text) of about per_language texts of each language: those whose hash is below
+    the language's rate. Rows repeated with id and text are one. What a row holds is bounded by the n-grams that there are, not by its text."""
     usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES)
     share = F.least(F.lit(1.0), F.lit(float(per_language)) / F.col("count"))
     mark = F.pmod(F.xxhash64(F.lit(7), "doc_id", "text"), F.lit(1 << 40))
-    return usable.join(F.broadcast(sizes), "lang").withColumn("mark", mark).where(F.col("mark") < share * (1 << 40)).select("lang", "text", "mark")
+    rows = usable.join(F.broadcast(usable.groupBy("lang").count()), "lang").withColumn("mark", mark).where(F.col("mark") < share * (1 << 40))
+    rows = rows.select("lang", "mark", "text").dropDuplicates(["lang", "mark"])
+
+    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in sliced(batches):
+            data, offsets = utf8(pa.array([x.lower() for x in b.column(2).to_pylist()], pa.large_string()))
+            found = [np.unique(np.concatenate(_codes(data[x:y]))).astype(np.int32) for x, y in zip(offsets[:-1], offsets[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, pa.list_(pa.int32()))], names=["lang", "mark", "codes"])
+
+    return rows.mapInArrow(grams, "lang string, mark long, codes array<int>")
 
 
 def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, landmarks: int = LANDMARKS, ridge: float = 0.001) -> Model | None:
-    """docs: doc_id, text, lang. None if no row has both text and lang."""
-    rows = training_rows(docs, per_language).toPandas().sort_values(["mark", "lang", "text"], ignore_index=True)  # bounded by the parameters
-    if rows.empty:
+    """docs: doc_id, text, lang. None if no row has both text and lang. Raises if there are more languages than ALL_LANDMARKS."""
+    named = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col("lang").cast("string").alias("lang"), "doc_id", "text")
+    n_languages = len(named.select("lang").distinct().limit(ALL_LANDMARKS + 1).collect())
+    if not n_languages:
         return None
+    if n_languages > ALL_LANDMARKS:
+        raise ValueError(f"more than {ALL_LANDMARKS} languages")
+    per_language, landmarks = max(1, min(per_language, SAMPLE // n_languages)), max(1, min(landmarks, ALL_LANDMARKS // n_languages))
+    rows = training_rows(named, per_language).toPandas()  # bounded by SAMPLE
+    rows = rows.sort_values(["mark", "lang"], ignore_index=True)
     languages = sorted(rows["lang"].unique())
-    data, offsets = utf8(pa.array([x.lower() for x in rows["text"]], pa.string()))
     chosen = rows.groupby("lang").cumcount().to_numpy() < landmarks
-    seen = np.zeros(BEGIN[3], bool)
-    for i in np.flatnonzero(chosen):
-        for code in _codes(data[offsets[i] : offsets[i + 1]]) if offsets[i + 1] - offsets[i] > 2 else ():
-            seen[code] = True
-    codes = np.flatnonzero(seen)
+    codes = np.unique(np.concatenate([np.zeros(0, np.int64), *rows["codes"][chosen]])).astype(np.int64)
     if not len(codes):
         codes = np.array([32])
-    x = np.concatenate([p for _, p in _batch_rows(data, offsets, features(codes), len(codes))])
+    x = np.zeros((len(rows), len(codes)), np.float32)
+    for i, own in enumerate(rows["codes"]):
+        at = np.minimum(np.searchsorted(codes, own), len(codes) - 1)
+        x[i, at[codes[at] == own]] = 1 / np.sqrt(max(len(own), 1))
     z = x[chosen]
     values, vectors = np.linalg.eigh((z @ z.T).astype(np.float64))
     keep = values > 1e-6 * max(values.max(), 1e-12)
@@ -144,7 +155,7 @@ def predicted(docs: DataFrame, model: Model | None) -> DataFrame:
     docs = docs.drop("lang_pred", "lang_score")
     at, names = docs.columns.index("text"), [*docs.columns, "lang_pred", "lang_score"]
     schema = T.StructType([*docs.schema, T.StructField("lang_pred", T.StringType()), T.StructField("lang_score", T.DoubleType())])
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded: universe x MAX_LANGUAGES
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded: n-grams of the landmarks x languages
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
