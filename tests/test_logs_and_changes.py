@@ -101,3 +101,13 @@ def test_product_facts_fill_what_is_missing(spark):
     f = stats.product_facts(spark.sql("SELECT 1L sku_id, TIMESTAMP'2024-01-01 00:00:00' et, 1L click_ct"))
     r = f.head()
     assert r.click_ct == 1 and r.cart_ct == 0 and r.order_amount == 0 and r._ordered is None
+
+
+def test_order_parsers_take_text_numbers_and_bad_times(spark):
+    good, bad = '{"id": "7", "total_amount": "1.50", "create_time": "2024-01-01 03:04:05"}', '{"id": 8, "total_amount": "x", "create_time": "soon"}'
+    rows = {r.id: r for r in orders.order_infos(raw(spark, good, bad)).collect()}
+    assert (float(rows[7].total_amount), rows[7].create_date, rows[7].create_hour) == (1.5, "2024-01-01", "03") and rows[7].et
+    assert rows[8].total_amount is None and rows[8].et is None
+    assert [r.value for r in orders.without_time(orders.order_details(raw(spark, good, bad))).collect()] == ['{"id":8,"create_time":"soon"}']
+    seen = spark.sql(f"SELECT '{good}' value, TIMESTAMP'2024-02-02 00:00:00' at UNION ALL SELECT '{bad}', TIMESTAMP'2024-02-02 00:00:01'")
+    assert {r.id: str(r.et) for r in orders.payments(seen, "at").collect()} == {7: "2024-01-01 03:04:05", 8: "2024-02-02 00:00:01"}
