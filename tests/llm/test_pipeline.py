@@ -78,3 +78,14 @@ def test_distinct_ngrams_of_texts():
     assert langid.kinds(np.frombuffer(b"".join(texts), np.uint8), offsets).tolist() == want
     for t, n in zip(texts, want, strict=True):
         assert langid.kinds(np.frombuffer(t, np.uint8), np.array([0, len(t)])).tolist() == [n]
+
+
+def test_near_copies_of_repeated_and_null_ids(spark):
+    rng = random.Random(9)
+    one, two, three = (" ".join(f"w{rng.randrange(10**6)}" for _ in range(60)) for _ in range(3))
+    rows = [(5, one), (5, two), (5, one), (3, one + " end"), (9, two), (None, one), (None, one), (7, three), (8, None), (6, "")]
+    docs = spark.createDataFrame([(i, t, "en", 1) for i, t in rows], "doc_id long, text string, lang string, component_id int")
+    out = corpus_pipeline.near_copies(spark, docs, SF)
+    assert out.columns == docs.columns
+    want = [(None, one), (None, one), (3, one + " end"), (5, two), (6, ""), (7, three), (8, None)]
+    assert sorted(((r.doc_id, r.text) for r in out.collect()), key=str) == sorted(want, key=str)
