@@ -6,10 +6,11 @@ The corpus is too large for one suffix array, so windows of 400 bytes that can b
    have equal anchors at equal places. The consecutive windows of one anchor are a context: the text they cover.
 2. Contexts are counted by anchor and content. Anchors that stand once are done. Equal contexts collapse into one with a weight.
 3. Contexts that differ but have the same anchor may share some windows. They are cut into runs of ``steps`` windows, each named by the
-   bytes that all its windows share; runs with the same name are sorted together, and the equal windows among the different ones are
-   found by breadth-first backward extension on their Burrows-Wheeler transform (bwt.py), stopping at 400 bytes.
-4. A name with very many different runs (a passage that half the corpus quotes) is not gathered: its runs are cut finer and dealt out
-   again, down to single windows, which are equal or not.
+   bytes that all its windows share. Equal runs are counted and one of them stands for all, with a weight; the different ones of a name
+   are sorted together, and the equal windows among them are found by breadth-first backward extension on their Burrows-Wheeler
+   transform (bwt.py), stopping at 400 bytes.
+4. A name with very many different runs (a passage that half the corpus quotes) is not gathered: its runs are cut finer where they lie and
+   named anew, down to single windows, which are equal or not.
 
 Names and contents are 64-bit hashes of a polynomial over the bytes; documents are named by a hash of id and text.
 """
@@ -110,11 +111,11 @@ def anchored(docs: DataFrame, length: int, anchor: int) -> DataFrame:
     return docs.select("key", F.col("text").cast("string").alias("text")).mapInArrow(find, "key long, g long, e long, lo long, n int, left int")
 
 
-#: kind 0: windows a to a + n of context c stand elsewhere too. kind 1: a run of n windows of c from window a, whose first begins left bytes
-#: before the anchor; w: 2 if the run is known to stand elsewhere (it serves others), else 1; name, content: hashes.
-RUNS = "kind int, c long, a int, n int, left int, w int, name long, content long, text binary"
+#: A run of n windows of context c from window a, whose first begins left bytes before the anchor; w: 2 if the run is known to stand elsewhere
+#: (it serves others), else 1; name, content: hashes.
+RUNS = "c long, a int, n int, left int, w int, name long, content long, text binary"
 _names = [x.split()[0] for x in RUNS.split(", ")]
-_kinds = [pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
+_kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -132,73 +133,70 @@ def cut_runs(c: int, a: int, n: int, left: int, w: int, text: bytes, steps: int,
         own = np.array([t]), np.array([t + m - 1 + length])
         h = poly.of(sums, *(np.concatenate(x) for x in zip(core, own, strict=True)))
         name, content = mix(h + np.array([part * 7919 + steps, o * 7919 + m], np.uint64)).view(np.int64).tolist()
-        yield 1, c, a + t, m, o, w, name, content, text[t : t + m - 1 + length]
+        yield c, a + t, m, o, w, name, content, text[t : t + m - 1 + length]
         t += m
 
 
-def settle(rows: Iterator[tuple], steps: int, length: int, most_runs: int = MOST_RUNS) -> Iterator[tuple]:
-    """rows: runs sorted by name and content. Yields what is known of them (kind 0) and finer runs of crowded names (kind 1)."""
-    poly, waiting, size = Polynomial(), [], 0
+def transformed(rows: Iterator[tuple], length: int) -> Iterator[tuple]:
+    """rows (name, c, a, w, text): different runs, those of a name one after the other. (c, a, n) of the windows known to stand elsewhere."""
+    waiting, size, current = [], 0, None
 
-    def transformed() -> Iterator[tuple]:
-        for (c, a, _, _, w, _), again in zip(waiting, repeated_windows([r[5] for r in waiting], length), strict=True):
+    def found() -> Iterator[tuple]:
+        for (c, a, w, _), again in zip(waiting, repeated_windows([r[3] for r in waiting], length), strict=True):
             if w == 1:
                 edge = np.flatnonzero(np.diff(again.astype(np.int8), prepend=0, append=0))
                 for s, e in edge.reshape(-1, 2).tolist():
-                    yield 0, c, a + s, e - s, 0, 0, 0, 0, None
-
-    def runs() -> Iterator[tuple]:
-        """(name, row) of each different run; equal ones are reported and come as one of weight 2."""
-        same: list = []
-        for name, content, *row in rows:
-            if same and same[0][:2] == (name, content):
-                same.append((name, content, row))
-                if len(same) > 2 and row[4] == 1:
-                    yield None, row
-                same = same[:2]
-                continue
-            yield from out(same)
-            same = [(name, content, row)]
-        yield from out(same)
-
-    def out(same: list) -> Iterator[tuple]:
-        if len(same) == 2:
-            for _, _, row in same:
-                if row[4] == 1:
-                    yield None, row
-            name, _, row = same[0]
-            yield name, [*row[:4], 2, row[5]]
-        elif same:
-            yield same[0][0], same[0][2]
-
-    group: list = []
-    current, crowded = None, False
-
-    def close() -> Iterator[tuple]:
-        nonlocal waiting, size
-        if not crowded and len(group) > 1 and any(r[4] == 1 for r in group):
-            waiting += group
-            size += sum(len(r[5]) for r in group)
-            if size >= TRANSFORM_BYTES:
-                yield from transformed()
-                waiting, size = [], 0
-
-    for name, row in runs():
-        if name is None:
-            yield 0, row[0], row[1], row[2], 0, 0, 0, 0, None
-            continue
-        if name != current:
-            yield from close()
-            group, current, crowded = [], name, False
-        group.append(row)
-        if crowded or len(group) > most_runs:
-            crowded = True
-            for c, a, n, left, w, text in group:
-                yield from cut_runs(c, a, n, left, w, text, steps, length, poly)
-            group = []
-    yield from close()
+                    yield c, a + s, e - s
+
+    for name, *row in rows:
+        if name != current and size >= TRANSFORM_BYTES:
+            yield from found()
+            waiting, size = [], 0
+        current = name
+        waiting.append(row)
+        size += len(row[3])
     if waiting:
-        yield from transformed()
+        yield from found()
+
+
+def settled(runs: DataFrame, steps: int, length: int, most_runs: int) -> tuple[DataFrame, DataFrame]:
+    """runs, a written table, which goes: (c, a, n) of the windows found to stand elsewhere, and finer runs of crowded names.
+
+    Equal runs are counted without their texts, so that one that many contexts share is a sum, and the first of them stands for all. Only the
+    texts of names with different runs, some of them not known yet, move on: each by its own (c, a), and then those of names with at most most_runs
+    together. Crowded names are cut where their runs lie, and no task gathers them.
+    """
+    keys = runs.groupBy("name", "content").agg(F.count(F.lit(1)).alias("times"), F.max("w").alias("w"), F.min(F.struct("c", "a")).alias("first"))
+    keys = scratch.written(keys, "run_kinds")
+    unknown = (F.col("times") == 1) & (F.col("w") == 1)
+    names = keys.groupBy("name").agg(F.count(F.lit(1)).alias("different"), F.max(unknown).alias("open")).where("different > 1 AND open")
+    names = scratch.written(names.select("name", "different"), "run_names")
+    first = keys.join(names, "name").select("first.*", F.when(F.col("times") > 1, 2).otherwise(F.col("w")).alias("w"), "different")
+    first = scratch.written(first, "first_runs")
+    ours = scratch.written(runs.drop("w", "content").join(first, ["c", "a"]), "open_runs")
+
+    def transform(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (r for b in batches for r in zip(*(b.column(k).to_pylist() for k in range(b.num_columns)), strict=True))
+        found = list(transformed(rows, length))  # three numbers a span
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*found, strict=True), _kinds[:3], strict=True)], names=_names[:3])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        poly = Polynomial()
+        for b in batches:
+            for at in range(0, b.num_rows, 1000):
+                part = b.slice(at, 1000)
+                rows = zip(*(part.column(k).to_pylist() for k in range(part.num_columns)), strict=True)
+                yield _batch([x for r in rows for x in cut_runs(*r, steps, length, poly)])
+
+    few = ours.where(F.col("different") <= most_runs).select("name", "c", "a", "w", "text").repartition("name").sortWithinPartitions("name")
+    equal = runs.where("w = 1").join(keys.where("times > 1").select("name", "content"), ["name", "content"]).select("c", "a", "n")
+    known = scratch.written(equal.union(few.mapInArrow(transform, "c long, a int, n int")), "known")
+    crowded = ours.where(F.col("different") > most_runs).select("c", "a", "n", "left", "w", "text")
+    finer = scratch.written(crowded.mapInArrow(cut, RUNS), "runs")
+    for done in (runs, keys, names, first, ours):
+        scratch.drop(done)
+    return known, finer
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, most_runs: int = MOST_RUNS) -> DataFrame:
@@ -229,31 +227,13 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
                     rows += cut_runs(x["c"], 0, x["n"], x["left"], x["w"], part, levels[0], length, poly)
                 yield _batch(rows)
 
-    def next_runs(steps: int):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            rows = (r for b in batches for r in zip(*(b.column(k).to_pylist() for k in range(b.num_columns)), strict=True))
-            held, size = [], 0
-            for r in settle(rows, steps, length, most_runs):
-                held.append(r)
-                size += 64 + len(r[8] or b"")
-                if size > 4_000_000:
-                    yield _batch(held)
-                    held, size = [], 0
-            if held:
-                yield _batch(held)
-
-        return run
-
-    runs = docs.join(wanted, "key").select(F.col("text").cast("binary").alias("text"), "cs").mapInArrow(first_runs, RUNS)
-    known = None
-    for steps in [*levels[1:], 1]:
-        sorted_ = runs.select("name", "content", "c", "a", "n", "left", "w", "text").repartition("name").sortWithinPartitions("name", "content")
-        level = scratch.written(sorted_.mapInArrow(next_runs(steps), RUNS), "runs")
-        now = level.where("kind = 0").select("c", "a", "n")
-        known = now if known is None else known.union(now)
-        runs = level.where("kind = 1")
+    runs = scratch.written(docs.join(wanted, "key").select(F.col("text").cast("binary").alias("text"), "cs").mapInArrow(first_runs, RUNS), "runs")
+    known, runs = settled(runs, levels[1], length, most_runs)
+    for steps in [*levels[2:], 1]:
         if runs.isEmpty():
             break
+        more, runs = settled(runs, steps, length, most_runs)
+        known = known.union(more)
     whole = repeated.join(kinds.where("times > 1").select("c"), "c").select("key", F.col("lo").alias("s"), (F.col("lo") + F.col("n") - 1 + length).alias("e"))
     part = known.join(kinds.select("c", F.col("r.key").alias("key"), F.col("r.lo").alias("lo")), "c")
     part = part.select("key", (F.col("lo") + F.col("a")).alias("s"), (F.col("lo") + F.col("a") + F.col("n") - 1 + length).alias("e"))
