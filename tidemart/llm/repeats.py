@@ -189,7 +189,9 @@ def settled(runs: DataFrame, steps: int, length: int, most_runs: int) -> tuple[D
                 rows = zip(*(part.column(k).to_pylist() for k in range(part.num_columns)), strict=True)
                 yield _batch([x for r in rows for x in cut_runs(*r, steps, length, poly)])
 
-    few = ours.where(F.col("different") <= most_runs).select("name", "c", "a", "w", "text").repartition("name").sortWithinPartitions("name")
+    # Transforms take far longer than their bytes suggest: the number is stated, so that Spark doesn't bring small partitions together.
+    tasks = int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    few = ours.where(F.col("different") <= most_runs).select("name", "c", "a", "w", "text").repartition(tasks, "name").sortWithinPartitions("name")
     equal = runs.where("w = 1").join(keys.where("times > 1").select("name", "content"), ["name", "content"]).select("c", "a", "n")
     known = scratch.written(equal.union(few.mapInArrow(transform, "c long, a int, n int")), "known")
     crowded = ours.where(F.col("different") > most_runs).select("c", "a", "n", "left", "w", "text")
