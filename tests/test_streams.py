@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import shutil
 import random
 import time
 
@@ -306,6 +307,26 @@ def test_change_stream_reaches_facts_and_dimensions_once(spark, tmp_path):
     assert [tuple(r) for r in sinks.dim_snapshot(spark, str(tmp_path / "dims2"), "dim_users", "id,name,age").collect()] == [("7", "n2", "3")]
 
 
+def test_dimension_is_read_from_its_last_state_and_later_batches(spark, tmp_path):
+    schema = "sink_table string, sink_pk string, after map<string,string>, seq bigint"
+    batches = [[("dim_a", "id", {"id": str(k), "v": str(b), f"c{b % 3}": str(b)}, b) for k in range(b, b + 3)] + [("dim_b", "key", {"key": "1", "v": None if b == 5 else "x"}, 0)] for b in range(8)]
+    plain, settling = str(tmp_path / "plain"), str(tmp_path / "settling")
+    for root, every in (plain, 0), (settling, 3):
+        sink = sinks.dim_sink(root, every)
+        for b, rows in enumerate(batches):
+            sink(spark.createDataFrame(rows, schema), b)
+            sink(spark.createDataFrame(rows, schema), b)  # replayed
+    read = lambda root: [sorted(map(tuple, sinks.dim_snapshot(spark, root, *of).collect())) for of in (("dim_a", "id,v,c0,c1,c2"), ("dim_b", "key,v", "key"), ("dim_c", "id"))]
+    assert sinks.settled(spark, plain) == 0 and sinks.settled(spark, settling) == 6 and sinks.settled(spark, settling, 5) == 3
+    assert read(plain) == read(settling) and len(read(plain)[0]) == 10 and read(plain)[1] == [("1", "x")]
+    for b in range(6):  # nothing reads what the state holds
+        shutil.rmtree(f"{settling}/changes/batch={b:012d}")
+    assert read(plain) == read(settling)
+    sinks.settle(spark, settling, 8)
+    shutil.rmtree(f"{settling}/changes")
+    assert read(plain) == read(settling)
+
+
 def test_catalog_tables_are_made_once(spark):
     sinks.ensure_dim_table(spark, "dim_t", "id,name")
     sinks.ensure_dim_table(spark, "dim_t", "id,name")

@@ -80,28 +80,68 @@ def fan_out(*sinks: tuple[Callable[[DataFrame], DataFrame], Batch]) -> Batch:
 
 
 # Dimension tables -----------------------------------------------------------------------------------------------------
-# A dimension is its history of changes (pk, seq, values), one folder a batch below changes/sink_table=..., read as the fold of all. Writing
-# costs what the batch holds, not what the table holds; replaying a batch overwrites its own folder. compact() folds the past into one batch.
+# A dimension is its history of changes (pk, seq, values), one folder a batch below changes/batch=.../sink_table=... Writing costs what the batch
+# holds, not what the table holds; replaying a batch overwrites its own folder. Once in a number of batches the sink folds all before the batch
+# into a state below states/, which is never written again once a row below marks/ says that it is whole. Readers fold the newest whole
+# state and the batches since.
 
 _CHANGES = "pk string, seq bigint, values map<string,string>, sink_table string, batch string"
+_STATES = "pk string, seq bigint, values map<string,string>, sink_table string, until string"
+_SHIFT = 1 << 32
 
 
-def dim_sink(root: str) -> Batch:
-    """Routed dimension changes (sink_table, sink_pk, after, and seq if they have it; else the batch is their order)."""
+def dim_sink(root: str, every: int = 100) -> Batch:
+    """Routed dimension changes (sink_table, sink_pk, after, and seq if they have it; else the batch is their order). Each every-th batch folds
+    the past (never, if every is 0)."""
 
     def write(df: DataFrame, batch_id: int) -> None:
         seq = F.col("seq") if "seq" in df.columns else F.lit(0)
-        rows = df.select("sink_table", F.try_element_at("after", F.col("sink_pk")).alias("pk"), (F.lit(batch_id) * F.lit(1 << 32) + seq).alias("seq"), F.col("after").alias("values"))
+        rows = df.select("sink_table", F.try_element_at("after", F.col("sink_pk")).alias("pk"), (F.lit(batch_id) * F.lit(_SHIFT) + seq).alias("seq"), F.col("after").alias("values"))
         rows.where("pk IS NOT NULL").write.mode("overwrite").partitionBy("sink_table").parquet(_place(f"{root}/changes", batch_id))
+        if every and batch_id and batch_id % every == 0:
+            settle(df.sparkSession, root, batch_id)
 
     return write
 
 
-def dim_changes(spark: SparkSession, root: str) -> DataFrame:
+def _read(spark: SparkSession, path: str, schema: str) -> DataFrame:
     try:
-        return spark.read.schema(_CHANGES).parquet(f"{root}/changes")
+        return spark.read.schema(schema).parquet(path)
     except AnalysisException:  # nothing was written so far
-        return spark.createDataFrame([], _CHANGES)
+        return spark.createDataFrame([], schema)
+
+
+def settled(spark: SparkSession, root: str, until: int | None = None) -> int:
+    """Before which batch the newest whole state ends that goes no further than until; 0 if there is none."""
+    marks = _read(spark, f"{root}/marks", "batch bigint")
+    return (marks if until is None else marks.where(F.col("batch") <= until)).agg(F.max("batch")).first()[0] or 0
+
+
+def dim_changes(spark: SparkSession, root: str, until: int | None = None) -> DataFrame:
+    """pk, seq, values, sink_table: what folds to the dimensions as they are, or were before batch until."""
+    columns = ["pk", "seq", "values", "sink_table"]
+    since = settled(spark, root, until)
+    rows = _read(spark, f"{root}/changes", _CHANGES).where(F.col("batch") >= f"{since:012d}")  # folders before aren't read
+    if until is not None:
+        rows = rows.where(F.col("batch") < f"{until:012d}")
+    if not since:
+        return rows.select(columns)
+    return spark.read.schema(_STATES).parquet(f"{root}/states").where(F.col("until") == f"{since:012d}").select(columns).union(rows.select(columns))
+
+
+def _state(changes: DataFrame) -> DataFrame:
+    """changes folded, all tables at once; seq is a row's last."""
+    cells = changes.select("sink_table", "pk", "seq", F.explode("values").alias("k", "v"))
+    newest = cells.groupBy("sink_table", "pk", "k").agg(F.max_by(F.struct("v"), F.struct("seq", "v")).alias("c"), F.max("seq").alias("seq"))
+    values = F.map_from_entries(F.collect_list(F.struct("k", F.col("c.v").alias("v"))))  # a row's columns
+    return newest.groupBy("sink_table", "pk").agg(F.max("seq").alias("seq"), values.alias("values"))
+
+
+def settle(spark: SparkSession, root: str, until: int) -> None:
+    """Folds the batches before until, unless that was done: reads the state before and the batches since. Batches so folded may be removed."""
+    if settled(spark, root, until) < until:
+        _state(dim_changes(spark, root, until)).write.mode("overwrite").partitionBy("sink_table").parquet(f"{root}/states/until={until:012d}")
+        spark.range(until, until + 1).select(F.col("id").alias("batch")).coalesce(1).write.mode("append").parquet(f"{root}/marks")
 
 
 def dim_schema(columns: str, pk: str | None = None) -> T.StructType:
@@ -125,9 +165,4 @@ def dim_snapshot(spark: SparkSession, root: str, table: str, columns: str, pk: s
 
 def compact(spark: SparkSession, root: str, until: int, to: str) -> None:
     """Writes the fold of the batches before until, as one batch of a new root; copy later batches beside it and switch readers over."""
-    past = dim_changes(spark, root).where(F.col("seq") < until * (1 << 32))
-    last = past.groupBy("sink_table", "pk").agg(F.max("seq").alias("seq"))
-    cells = past.select("sink_table", "pk", "seq", F.explode("values").alias("k", "v"))
-    newest = cells.groupBy("sink_table", "pk", "k").agg(F.max_by(F.struct("v"), F.struct("seq", "v")).alias("c"))
-    rows = newest.groupBy("sink_table", "pk").agg(F.map_from_entries(F.collect_list(F.struct("k", F.col("c.v").alias("v")))).alias("values"))
-    rows.join(last, ["sink_table", "pk"]).write.mode("overwrite").partitionBy("sink_table").parquet(_place(f"{to}/changes", until - 1))
+    _state(dim_changes(spark, root, until)).write.mode("overwrite").partitionBy("sink_table").parquet(_place(f"{to}/changes", until - 1))
