@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemart.llm import chat, decontaminate, langid, lm, ngram_join, order_minhash, packing, pii, repeats, token_files
+from tidemart.llm import (
+    chat, decontaminate, filter_audit, langid, lm, mixing, ngram_join, order_minhash, packing, pii, repeats, token_files, whitening,
+)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,8 +23,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_order_minhash": order_minhash.op8_order_minhash,
         "op9_chat_snapshots": chat.op9_chat_snapshots,
         "op10_language_id": langid.op10_language_id,
+        "op11_mix": mixing.op11_mix,
+        "op12_filter_audit": filter_audit.op12_filter_audit,
+        "op13_whiten": whitening.op13_whiten,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_decontaminate": decontaminate.OP6_SQL, "op9_chat_snapshots": chat.OP9_SQL}
+    return {"op6_decontaminate": decontaminate.OP6_SQL, "op9_chat_snapshots": chat.OP9_SQL, "op12_filter_audit": filter_audit.OP12_SQL}
