@@ -134,7 +134,7 @@ def test_nothing_to_whiten(spark, rows):
 
 def test_large_entries_and_few_dimensions(spark):
     """Products beyond doubles and longs stay exact; one dimension has one component."""
-    big = [(i, [float((i * 7919 % 13) * 10**9 + i), float(i)], 1, "") for i in range(20)]
+    big = [(i, [float((i * 7919 % 13) * 10**9 + i), float(i * 10**6)], 1, "") for i in range(20)]
     got = whitening.whitened(spark.createDataFrame(big, SCHEMA)).collect()
     want = plain(big)
     assert sorted((r.vec_id, r.component, int(r.deviation)) for r in got) == sorted((i, k, v[1]) for (i, k), v in want.items())
