@@ -1,0 +1,178 @@
+"""Sinks: replayed batches, failures between partitions, late rows; and the sources and helpers that no query uses."""
+
+from __future__ import annotations
+
+import json
+
+import pytest
+from pyspark.sql import functions as F
+
+from tidemart.functions.scalars import camel
+from tidemart.operators import dims, orders
+from tidemart.sources import jdbc, sinks, topics
+from tidemart.streaming import jobs
+
+
+
+
+@pytest.fixture
+def derby(spark, request):
+    spark.sparkContext._jvm.java.lang.System.setProperty("derby.stream.error.file", "/dev/null")
+    url = f"jdbc:derby:memory:{request.node.name.replace('[', '_').replace(']', '')};create=true"
+    with jdbc.transaction(spark, url) as c:
+        jdbc.execute(c, "CREATE TABLE facts (id BIGINT, name VARCHAR(50), amount DECIMAL(16, 2), made_at TIMESTAMP)")
+    return url
+
+
+def stored(spark, url, table="facts"):
+    rows = spark.read.format("jdbc").options(url=url, dbtable=table).load().collect()
+    return sorted((r.ID, r.NAME, str(r.AMOUNT)) for r in rows) if table == "facts" else rows
+
+
+def some(spark, begin, n=40):
+    df = spark.range(begin, begin + n, 1, 4)
+    return df.select("id", F.concat(F.lit("n"), F.col("id") % 3).alias("name"), F.expr("cast(id / 4 as decimal(16,2)) AS amount"), F.current_timestamp().alias("made_at"), F.lit("x").alias("_transient"))
+
+
+def wanted(spark, *begins):
+    return sorted((r.id, r.name, str(r.amount)) for b in begins for r in some(spark, b).collect())
+
+
+COLUMNS = ["id", "name", "amount", "made_at"]
+
+
+def test_batches_reach_the_database_once(spark, derby):
+    sink = jdbc.once_sink(derby, "facts", COLUMNS, "q")
+    for batch in (0, 0, 1, 0, 1):
+        sink(some(spark, batch * 100), batch)
+    assert stored(spark, derby) == wanted(spark, 0, 100)
+    jdbc.once_sink(derby, "facts", COLUMNS, "another")(some(spark, 200), 0)  # streams have batches of their own
+    assert stored(spark, derby) == wanted(spark, 0, 100, 200)
+    sink(some(spark, 300).limit(0), 2)
+    assert stored(spark, derby, "facts_staging") == [] and len(stored(spark, derby, "facts_batches")) == 4
+
+
+def test_a_batch_that_fails_between_partitions_leaves_nothing(spark, derby):
+    sink = jdbc.once_sink(derby, "facts", COLUMNS, "q")
+    broken = some(spark, 0).withColumn("amount", F.when(F.col("id") == 35, F.raise_error(F.lit("lost")).cast("decimal(16,2)")).otherwise(F.col("amount")))
+    with pytest.raises(Exception, match="lost"):
+        sink(broken, 0)
+    assert stored(spark, derby) == []
+    sink(some(spark, 0), 0)
+    assert stored(spark, derby) == wanted(spark, 0)
+
+
+def test_a_failed_move_is_rolled_back(spark, derby):
+    sink = jdbc.once_sink(derby, "facts", COLUMNS, "q")
+    long_name = some(spark, 0).withColumn("name", F.when(F.col("id") == 7, F.lit("y" * 40)).otherwise(F.col("name")))
+    sink.prepare(spark)
+    with jdbc.transaction(spark, derby) as c:
+        jdbc.execute(c, "ALTER TABLE facts ADD CONSTRAINT short CHECK (length(name) < 30)")
+    with pytest.raises(Exception):  # noqa: B017 the database's own
+        sink(long_name, 0)
+    assert stored(spark, derby) == [] and not sink.done(spark, 0)
+    sink(some(spark, 0), 0)
+    assert stored(spark, derby) == wanted(spark, 0)
+
+
+def test_a_partition_written_by_two_tasks_counts_once(spark, derby):
+    sink = jdbc.once_sink(derby, "facts", COLUMNS, "q")
+    sink.prepare(spark)
+    for attempt in ("lost", "kept", "kept"):  # an earlier try, and a second run of the same tasks
+        sink.stage(some(spark, 0), 0, attempt)
+    sink.move(spark, 0, "kept")
+    assert stored(spark, derby) == wanted(spark, 0)
+    with pytest.raises(Exception):  # noqa: B017 a second driver
+        sink.move(spark, 0, "kept")
+    assert stored(spark, derby) == wanted(spark, 0)
+
+
+def test_stream_into_the_database(spark, derby, tmp_path):
+    (tmp_path / "in").mkdir()
+    for i in range(3):
+        (tmp_path / "in" / f"{i}.txt").write_text("".join(json.dumps({"id": 10 * i + k, "name": "s", "amount": 1.5}) + "\n" for k in range(10)))
+    for _ in range(2):  # the second time from the beginning: the checkpoint was lost, the ledger wasn't
+        raw = topics.topic_source(spark, "in", kind="files", root=str(tmp_path), maxFilesPerTrigger="1")
+        rows = raw.select(F.from_json("value", "id long, name string, amount decimal(16,2)").alias("r")).select("r.*")
+        job = jobs.Job(rows, jdbc.once_sink(derby, "facts", COLUMNS[:3], "stream"), str(tmp_path / f"checkpoint{_}"))
+        assert job.start(once=True).awaitTermination(100)
+    assert [r[0] for r in stored(spark, derby)] == list(range(30))
+
+
+def test_plain_jdbc_sink_and_source(spark, derby):
+    sinks.jdbc_sink(derby, "facts", COLUMNS)(some(spark, 0), 0)
+    back = topics.jdbc_table(spark, derby, "facts", partitionColumn="ID", lowerBound="0", upperBound="40", numPartitions="4")
+    assert back.rdd.getNumPartitions() == 4
+    envelopes = topics.snapshot_source(back, "shop", "facts").collect()
+    assert sorted(int(r.after["ID"]) for r in envelopes) == list(range(40)) and {r.type for r in envelopes} == {"insert"}
+
+
+# Late rows --------------------------------------------------------------------------------------------------------------
+
+
+def test_late_rows_are_an_output(spark, tmp_path):
+    at = lambda *seconds: spark.createDataFrame([(s, None if s is None else s * 1000) for s in seconds], "s int, ms long").withColumn("et", F.timestamp_millis("ms"))
+    split = sinks.late_split(str(tmp_path / "split"), "10 seconds", sinks.table_sink(str(tmp_path / "good")), sinks.table_sink(str(tmp_path / "late")))
+    batches = [at(100, 5, None), at(200, 91, 90, 89), at(10, 189, 190, 191), at(300)]
+    for i in (0, 1, 2, 2, 1, 3):  # some replayed
+        split(batches[i], i)
+    read = lambda name: sorted((r.s for r in spark.read.parquet(str(tmp_path / name)).collect()), key=str)
+    assert read("good") == sorted([100, 5, 200, 91, 191, 300], key=str)
+    assert read("late") == sorted([None, 90, 89, 10, 189, 190], key=str)
+    assert sorted(map(tuple, sinks.late_counts(spark, str(tmp_path / "split")).collect())) == [(0, 2, 1), (1, 2, 2), (2, 1, 3), (3, 1, 0)]
+
+
+# What no query uses -------------------------------------------------------------------------------------------------------
+
+
+def test_topic_sink_replays(spark, tmp_path):
+    sink = sinks.topic_sink("t", root=str(tmp_path))
+    for batch, text in ((0, "a"), (1, "b"), (0, "a")):
+        sink(spark.createDataFrame([(text, 1)], "value string, n int"), batch)
+    back = topics.topic_source(spark, "t/*", kind="files", streaming=False, root=str(tmp_path))
+    assert sorted(r.value for r in back.collect()) == ["a", "b"]
+
+
+def test_json_table(spark, tmp_path):
+    (tmp_path / "t").mkdir()
+    (tmp_path / "t" / "a.txt").write_text('{"ts": 1500, "page": {"item": "x"}}\n{"ts": null}\nbroken\n')
+    schema = "ts long, page map<string,string>"
+    rowtime = F.timestamp_seconds(F.floor(F.col("ts") / 1000))
+    table = topics.json_table(topics.topic_source(spark, "t", kind="files", streaming=False, root=str(tmp_path)), schema, rowtime)
+    assert sorted((r.ts, r.page and r.page["item"], r.et and r.et.second) for r in table.collect() if r.ts) == [(1500, "x", 1)] and table.count() == 3
+    live = topics.json_table(topics.topic_source(spark, "t", kind="files", root=str(tmp_path)), schema, rowtime, "3 seconds")
+    assert live.schema["et"].metadata["spark.watermarkDelayMs"] == 3000
+
+
+def test_fan_out_and_transient_columns(spark, tmp_path):
+    df = spark.createDataFrame([(k, "s") for k in range(10)], "id int, _set string")
+    odd = lambda d: sinks.without_transient(d.where("id % 2 = 1"))
+    sink = sinks.fan_out((odd, sinks.table_sink(str(tmp_path / "odd"))), (lambda d: d, sinks.table_sink(str(tmp_path / "all"))))
+    for _ in range(2):
+        sink(df, 0)
+    assert sorted(r.id for r in spark.read.parquet(str(tmp_path / "odd")).collect()) == [1, 3, 5, 7, 9]
+    assert spark.read.parquet(str(tmp_path / "odd")).columns == ["id", "batch"] and spark.read.parquet(str(tmp_path / "all")).count() == 10
+
+
+def test_console_sink(spark, capsys):
+    sinks.console_sink(5)(spark.createDataFrame([("shown",)], "value string"), 0)
+    assert "shown" in capsys.readouterr().out
+
+
+def test_first_non_null_merge(spark):
+    a = spark.createDataFrame([(1, None, "a"), (2, "b", None), (3, None, None), (None, "n", None)], "id int, x string, y string")
+    b = spark.createDataFrame([(1, "o", "p"), (2, "q", None), (4, "r", "s")], "id int, x string, y string")
+    got = orders.first_non_null_merge(a, b, "id").collect()
+    assert sorted((r.id or 0, r.x, r.y) for r in got) == [(0, "n", None), (1, "o", "a"), (2, "b", None), (3, None, None)]
+
+
+def test_renamed_camel(spark):
+    assert dims.renamed_camel(spark.createDataFrame([(1, 2, 3)], "user_name int, ID int, tm__id int")).columns == [camel(c) for c in ("user_name", "ID", "tm__id")]
+    assert camel("category3_name") == "category3Name"
+
+
+def test_dim_join_with_columns_of_its_own_names(spark):
+    facts = spark.createDataFrame([(1, "k", "m", "old", "d"), (2, "k", "m", "old", "d")], "id int, _key string, _met string, name string, _dim_name string")
+    dim = spark.createDataFrame([("1", "new")], "ID string, NAME string")
+    got = sorted(map(tuple, dims.dim_join(facts, dim, "id", "ID", {"name": "NAME"}).collect()))
+    assert got == [(1, "k", "m", "new", "d"), (2, "k", "m", "old", "d")]

@@ -10,7 +10,7 @@ import time
 
 from pyspark.sql import functions as F
 
-from tidemart.operators import logs, orders, stats, visits
+from tidemart.operators import cdc, logs, orders, stats, visits
 from tidemart.sources import sinks, topics
 from tidemart.streaming import jobs
 
@@ -300,8 +300,8 @@ def test_change_stream_reaches_facts_and_dimensions_once(spark, tmp_path):
     assert [(r.sink_table, json.loads(r.value)) for r in got] == [("dwd_orders", {"id": "1", "x": "a"})]
     state = lambda: [tuple(r) for r in sinks.dim_snapshot(spark, str(tmp_path / "dims"), "dim_users", "id,name,age").collect()]
     assert state() == [("7", "n2", "3")]
-    again = spark.createDataFrame([("dim_users", "id", {"id": "7", "name": "n2"})], "sink_table string, sink_pk string, after map<string,string>")
-    dim(again, 2)  # the batch that was written last, replayed
+    last = cdc.dimensions(cdc.routed(topics.change_source(topics.topic_source(spark, "topic", kind="files", streaming=False, root=str(tmp_path), pathGlobFilter="2.txt")), config(spark)))
+    dim(last, 2)  # the batch that was written last, replayed
     assert state() == [("7", "n2", "3")]
     sinks.compact(spark, str(tmp_path / "dims"), 100, str(tmp_path / "dims2"))
     assert [tuple(r) for r in sinks.dim_snapshot(spark, str(tmp_path / "dims2"), "dim_users", "id,name,age").collect()] == [("7", "n2", "3")]
@@ -309,7 +309,7 @@ def test_change_stream_reaches_facts_and_dimensions_once(spark, tmp_path):
 
 def test_dimension_is_read_from_its_last_state_and_later_batches(spark, tmp_path):
     schema = "sink_table string, sink_pk string, after map<string,string>, seq bigint"
-    batches = [[("dim_a", "id", {"id": str(k), "v": str(b), f"c{b % 3}": str(b)}, b) for k in range(b, b + 3)] + [("dim_b", "key", {"key": "1", "v": None if b == 5 else "x"}, 0)] for b in range(8)]
+    batches = [[("dim_a", "id", {"id": str(k), "v": str(b), f"c{b % 3}": str(b)}, b) for k in range(b, b + 3)] + [("dim_b", "key", {"key": "1", "v": None if b == 5 else "x"}, b)] for b in range(8)]
     plain, settling = str(tmp_path / "plain"), str(tmp_path / "settling")
     for root, every in (plain, 0), (settling, 3):
         sink = sinks.dim_sink(root, every)

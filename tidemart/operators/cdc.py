@@ -5,23 +5,28 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemart.functions import order
+
 
 def normalized(changes: DataFrame) -> DataFrame:
-    """changes (topic 'server.database.table', value: a change record with before, after, op) as database, tableName, type, before, after.
+    """changes (topic 'server.database.table', value: a change record with before, after, op, and its source) as database, tableName, type, before,
+    after, seq. seq is the place in the log that the record's source names, else seq of changes (its place in the topic), else null.
 
     Missing images become empty maps. Operations: c, create and r (snapshot read) are 'insert', u 'update', d 'delete', others stay in lower case.
     """
-    r = F.from_json("value", "before map<string,string>, after map<string,string>, op string")
+    r = F.from_json("value", f"before map<string,string>, after map<string,string>, op string, source {order.SOURCE}")
+    kept = ["seq"] if "seq" in changes.columns else []
     op = F.lower(F.col("r.op"))
     kind = F.when(op.isin("c", "create", "r", "read"), "insert").when(op == "u", "update").when(op == "d", "delete").otherwise(op)
     part = F.split("topic", r"\.")
     empty = F.create_map().cast("map<string,string>")
-    return changes.select("topic", r.alias("r")).select(
+    return changes.select("topic", r.alias("r"), *kept).select(
         F.get(part, F.lit(1)).alias("database"),
         F.get(part, F.lit(2)).alias("tableName"),
         kind.alias("type"),
         F.coalesce("r.before", empty).alias("before"),
         F.coalesce("r.after", empty).alias("after"),
+        F.coalesce(order.in_log(F.col("r.source")), *kept).alias("seq"),
     )
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemart.functions.scalars import camel
@@ -38,7 +38,33 @@ def dim_join(facts: DataFrame, dim: DataFrame, fact_key: str, dim_key: str, colu
     how='left' keeps facts without a dimension row, with nulls (or their own values); 'inner' drops them. dim has one row per key. Whether it
     is broadcast is left to Spark, which knows its size.
     """
-    d = dim.select(F.col(dim_key).cast("string").alias("_key"), F.lit(True).alias("_met"), *[F.col(c).alias(f"_dim_{n}") for n, c in columns.items()])
-    met = facts.join(d, F.col(fact_key).cast("string") == F.col("_key"), how)
-    new = {n: F.when(F.col("_met"), F.col(f"_dim_{n}")).otherwise(F.col(n)) if n in facts.columns else F.col(f"_dim_{n}") for n in columns}
-    return met.withColumns(new).drop("_key", "_met", *[f"_dim_{n}" for n in columns])
+    taken = {*facts.columns, *columns}
+    key, met_ = fresh("_key", taken), fresh("_met", taken)
+    held = {n: fresh(f"_dim_{n}", taken) for n in columns}
+    d = dim.select(F.col(dim_key).cast("string").alias(key), F.lit(True).alias(met_), *[F.col(c).alias(held[n]) for n, c in columns.items()])
+    met = facts.join(d, F.col(fact_key).cast("string") == F.col(key), how)
+    new = {n: F.when(F.col(met_), F.col(held[n])).otherwise(F.col(n)) if n in facts.columns else F.col(held[n]) for n in columns}
+    return met.withColumns(new).drop(key, met_, *held.values())
+
+
+def as_of_join(facts: DataFrame, versions: DataFrame, fact_key: str, dim_key: str, columns: dict[str, str]) -> DataFrame:
+    """facts (et) with columns {new: dimension's} of the last version (dim_key, et, seq) that isn't later; of versions of one time the last by seq.
+
+    A version holds until the next of its key, so each fact meets one: an equi-join with a range, whose busy keys Spark splits as in any other. Facts
+    without a version have nulls; columns that facts have are replaced.
+    """
+    w = Window.partitionBy("_k").orderBy("_from", "seq")
+    v = versions.where(F.col(dim_key).isNotNull() & F.col("et").isNotNull())
+    v = v.select(F.col(dim_key).cast("string").alias("_k"), F.col("et").alias("_from"), "seq", *[F.col(c).alias(f"_dim_{n}") for n, c in columns.items()])
+    v = v.withColumn("_to", F.lead("_from").over(w)).where("_to IS NULL OR _to > _from").drop("seq")
+    held = facts.drop(*[n for n in columns if n not in (fact_key, "et")])
+    within = (F.col(fact_key).cast("string") == F.col("_k")) & (F.col("et") >= F.col("_from")) & (F.col("_to").isNull() | (F.col("et") < F.col("_to")))
+    met = held.join(v, within, "left")
+    return met.select(*held.columns, *[F.col(f"_dim_{n}").alias(n) for n in columns])
+
+
+def fresh(name: str, taken: set[str]) -> str:
+    """name, or with underscores after it what none of taken is."""
+    while name in taken:
+        name += "_"
+    return name

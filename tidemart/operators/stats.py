@@ -118,9 +118,19 @@ def _least_ts() -> Column:
     return F.unix_millis(F.min("et").cast("timestamp")).alias("ts")
 
 
-def distinct_count(c: str, streaming: bool) -> Column:
-    """Exact distinct count of a window's ids, nulls apart. Streams keep a window's set of ids, as they can't count distinct."""
-    return (F.size(F.collect_set(c)) if streaming else F.count_distinct(c)).cast("long")
+def with_distinct(facts: DataFrame, size: str, keys: list[str], ids: dict[str, str], sums: list[str]) -> DataFrame:
+    """window, keys, the sums of columns, {new: exact number of different values of an id column}, nulls apart, and the least event time as ts.
+
+    A row has one of the ids at most. Rows are first summed by (kind, id), then by keys: two aggregates one after the other, which on
+    streams are two operators with a state row for each id, spread over all partitions, in place of one growing set in the state of a key.
+    """
+    kinds = F.coalesce(*[F.when(F.col(c).isNotNull(), n) for n, c in ids.items()])
+    marked = facts.withColumns({"_kind": kinds, "_id": F.coalesce(*ids.values())})
+    total = lambda c, kind: F.sum(c).cast(kind).alias(c)
+    added = [total(c, facts.schema[c].dataType) for c in sums]
+    once = marked.groupBy(_window(size), *keys, "_kind", "_id").agg(*added, F.min("et").alias("et"))
+    counts = [F.count(F.when(F.col("_kind") == n, F.lit(1))).alias(n) for n in ids]
+    return once.groupBy("window", *keys).agg(*added, *counts, _least_ts())
 
 
 def visitor_stats(facts: DataFrame, size: str = "10 seconds") -> DataFrame:
@@ -131,18 +141,7 @@ def visitor_stats(facts: DataFrame, size: str = "10 seconds") -> DataFrame:
 
 def product_stats(facts: DataFrame, dims: dict[str, DataFrame], size: str = "10 seconds", how: str = "left") -> DataFrame:
     """Aggregates by product first, then joins the dimensions, which depend on the product alone. dims: sku, spu, trademark, category3."""
-    sums = [F.sum(c).alias(c) for c in _counts] + [F.sum(c).cast(schemas.MONEY).alias(c) for c in _amounts]
-    if facts.isStreaming:
-        ids = [distinct_count(c, True).alias(n) for n, c in _distinct.items()]
-        out = facts.groupBy(_window(size), "sku_id").agg(*sums, *ids, _least_ts())
-    else:
-        # A fact has one id at most, so ids are made distinct as (kind, id) by one grouping more: counting three columns' distinct
-        # values at once would have Spark write each fact four times.
-        kinds = F.coalesce(*[F.when(F.col(c).isNotNull(), n) for n, c in _distinct.items()])
-        marked = facts.withColumns({"_kind": kinds, "_id": F.coalesce(*_distinct.values())})
-        once = marked.groupBy(_window(size), "sku_id", "_kind", "_id").agg(*sums, F.min("et").alias("et"))
-        ids = [F.count(F.when(F.col("_kind") == n, F.lit(1))).alias(n) for n in _distinct]
-        out = once.groupBy("window", "sku_id").agg(*sums, *ids, _least_ts())
+    out = with_distinct(facts, size, ["sku_id"], _distinct, [*_counts, *_amounts])
     out = out.select(*_bounds(), *[c for c in out.columns if c != "window"])
     names = {"sku_name": "SKU_NAME", "sku_price": "PRICE", "spu_id": "SPU_ID", "tm_id": "TM_ID", "category3_id": "CATEGORY3_ID"}
     out = dim_join(out, dims["sku"], "sku_id", "ID", names, how)
@@ -155,9 +154,8 @@ def product_stats(facts: DataFrame, dims: dict[str, DataFrame], size: str = "10
 
 def province_stats(wide: DataFrame, amount_col: str = "split_total_amount", size: str = "10 seconds") -> DataFrame:
     keys = schemas.PROVINCE_STATS[2:7]
-    out = wide.groupBy(_window(size), *keys).agg(
-        F.sum(amount_col).cast(schemas.MONEY).alias("order_amount"), distinct_count("order_id", wide.isStreaming).alias("order_count"), _least_ts()
-    )
+    rows = wide.select("et", *keys, F.col(amount_col).cast(schemas.MONEY).alias("order_amount"), F.col("order_id").cast("long").alias("_ordered"))
+    out = with_distinct(rows, size, keys, {"order_count": "_ordered"}, ["order_amount"])
     return out.select(*_bounds(), *schemas.PROVINCE_STATS[2:])
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemart.functions.scalars import blank, day_text, event_time
+from tidemart.operators.patterns import Pattern, matched
 
 
 def is_entry(last_page_id: Column) -> Column:
@@ -23,10 +24,8 @@ def unique_visits(pages: DataFrame, *tiebreak: str) -> DataFrame:
 
 def user_jumps(pages: DataFrame, *tiebreak: str, within_ms: int = 10_000) -> DataFrame:
     """pages (common, page, ts): entry pages that the visitor left at once. An entry page counts if the mid's next page comes within_ms later or more,
-    not at all, or is an entry page itself."""
-    w = Window.partitionBy("common.mid").orderBy("ts", *tiebreak)
-    entry = is_entry(F.col("page.last_page_id"))
-    next_ts, next_entry = F.lead("ts").over(w), F.lead(entry).over(w)
-    keyed = pages.where(F.col("common.mid").isNotNull() & F.col("ts").isNotNull())
-    bounced = entry & (next_ts.isNull() | (next_ts - F.col("ts") >= within_ms) | next_entry)
-    return keyed.withColumn("_jump", bounced).where("_jump").drop("_jump")
+    not at all, or is an entry page itself: matches of bounce() and those that time out."""
+    columns = pages.columns
+    marked = pages.withColumns({"_mid": F.col("common.mid"), "_entry": is_entry(F.col("page.last_page_id"))})
+    pattern = Pattern((("_entry", 2),), within_ms)
+    return matched(marked, pattern, "_mid", "ts", *tiebreak).select(*columns)

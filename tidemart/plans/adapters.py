@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemart import schemas
+from tidemart.functions import order
+from tidemart.sources.handover import Chunks
 
 
 class Tables:
@@ -148,6 +150,33 @@ class Tables:
         as_json = lambda df: df.select("topic", F.to_json(F.struct("after", "op")).alias("value"))
         return as_json(o).unionByName(as_json(c))
 
+    def positioned_changes(self) -> DataFrame:
+        """topic, value: updates of customers with their places in twelve log files, in no order; every third comes twice."""
+        key = F.col("o_orderkey")
+        source = F.struct(F.concat(F.lit("bin."), (key * 7919 % 12 + 1).cast("string")).alias("file"), (key * 10).alias("pos"), F.lit(0).alias("row"))
+        # Fields that are null aren't written: a partial update.
+        after = F.struct(
+            F.col("o_custkey").cast("string").alias("id"), F.when(key % 2 == 0, F.col("o_orderstatus")).alias("status"), F.when(key % 3 != 0, F.col("o_orderpriority")).alias("priority")
+        )
+        rows = self.orders.select(F.explode(F.expr("if(o_orderkey % 3 = 0, array(1, 2), array(1))")), after.alias("after"), source.alias("source"))
+        return rows.select(F.lit("mysql.shop.user_info").alias("topic"), F.to_json(F.struct("after", "source", F.lit("u").alias("op"))).alias("value"))
+
+    def order_log(self) -> DataFrame:
+        """id, seq, type, part: a table's log. Each line of an order is a change of it, the seventh deletes it; positions run over all orders line by line."""
+        at = order.position(0, "", F.col("l_linenumber").cast("bigint") * 10_000_000 + F.col("l_orderkey"), F.col("l_partkey"))
+        kind = F.when(F.col("l_linenumber") == 7, "delete").when(F.col("l_linenumber") == 1, "insert").otherwise("update")
+        return self.lineitem.select(F.col("l_orderkey").alias("id"), at.alias("seq"), kind.alias("type"), F.col("l_partkey").alias("part"))
+
+    def order_load(self, chunks: Chunks) -> tuple[DataFrame, DataFrame]:
+        """(rows with chunk, marks): that table, loaded while it changed. Each row is as it was at some time between its chunk's marks."""
+        low = (F.lit(1) + F.col("chunk") % 6) * 10_000_000 + F.col("chunk") * 1000
+        bounds = [low, low + 12_000_000]
+        marks = self.spark.range(len(chunks)).select(F.col("id").cast("int").alias("chunk")).withColumns({"low": order.numbered(bounds[0]), "high": order.numbered(bounds[1])})
+        log = self.order_log().withColumn("chunk", chunks.of(F.col("id")))
+        seen = bounds[0] + F.col("id") * 7919 % 12_000_000
+        last = log.where(F.col("seq.pos") <= seen).groupBy("id", "chunk").agg(F.max_by(F.struct("type", "part"), "seq").alias("r"))
+        return last.where("r.type <> 'delete'").select("id", "chunk", "r.part"), marks
+
     def routing(self) -> DataFrame:
         names = ", ".join(x.split()[0] for x in schemas.ROUTING.split(", "))
         none = "CAST(NULL AS STRING)"

@@ -7,9 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemart import schemas
+from tidemart.functions import order
 from tidemart.functions.scalars import age, day_text, event_time
-from tidemart.operators import cdc, dims, logs, orders, stats, visits
+from tidemart.operators import cdc, dims, logs, orders, patterns, stats, visits
 from tidemart.plans.adapters import Tables
+from tidemart.sources import handover
 
 HOUR, DAY = "1 hour", "1 day"
 #: On these tables visitors' pages are hours apart, lines ship days after the order.
@@ -162,6 +165,29 @@ def dim_fold(t: Tables) -> DataFrame:
     return dims.as_table(dims.folded(changes), ["id", "status", "priority"])
 
 
+@query(
+    """WITH u AS (SELECT *, (o_orderkey * 7919 % 12 + 1) * 1000000000000 + o_orderkey AS pos FROM orders)
+    SELECT CAST(o_custkey AS VARCHAR) AS id, arg_max(o_orderstatus, pos) FILTER (o_orderkey % 2 = 0) AS status, arg_max(o_orderpriority, pos) FILTER (o_orderkey % 3 <> 0) AS priority
+    FROM u GROUP BY o_custkey"""
+)
+def cdc_ordered_fold(t: Tables) -> DataFrame:
+    """Change records in no order, some twice, normalised, routed and folded by their places in the log."""
+    names = ", ".join(x.split()[0] for x in schemas.ROUTING.split(", "))
+    config = t.spark.sql(f"SELECT * FROM VALUES ('user_info', 'update', 'hbase', 'dim_user_info', 'id,status,priority', 'id', CAST(NULL AS STRING)) AS t({names})")
+    rows = cdc.dimensions(cdc.routed(cdc.without_deletes(cdc.normalized(t.positioned_changes())), config))
+    changes = rows.select(F.try_element_at("after", F.col("sink_pk")).alias("pk"), "seq", F.col("after").alias("values"))
+    return dims.as_table(dims.folded(changes), ["id", "status", "priority"])
+
+
+@query("SELECT id, part FROM (SELECT l_orderkey AS id, arg_max(l_partkey, l_linenumber * 1000000000 + l_partkey) AS part, max(l_linenumber) AS last FROM lineitem GROUP BY l_orderkey) WHERE last <> 7")
+def cdc_handover(t: Tables) -> DataFrame:
+    """A table loaded in chunks while it changed, and its log: the rows that are there in the end."""
+    keys = t.lineitem.agg(F.min("l_orderkey"), F.max("l_orderkey")).first()
+    chunks = handover.Chunks(keys[0], keys[1], max(1, (keys[1] - keys[0]) // 20))
+    rows, marks = t.order_load(chunks)
+    return handover.state(handover.handed_over(rows, marks, t.order_log(), chunks, "id", order.FIRST), "id")
+
+
 # Visits -----------------------------------------------------------------------------------------------------------------
 
 
@@ -175,6 +201,25 @@ def user_jump(t: Tables) -> DataFrame:
     return visits.user_jumps(t.page_logs(), "event_id", within_ms=JUMP_MS).select("event_id", "common.mid", "ts")
 
 
+_HALF_DAY = 12 * 3_600_000
+
+
+@query(
+    f"""WITH {_E}, r AS (SELECT event_id, user_id, ms, event_type IN ('view', 'click') AS h0, lead(event_type IN ('view', 'click'), 1) OVER w AS h1, lead(ms, 1) OVER w AS t1,
+      lead(coalesce(event_type NOT IN ('view', 'click'), false), 2) OVER w AS h2, lead(ms, 2) OVER w AS t2 FROM e WINDOW w AS (PARTITION BY user_id ORDER BY ms, event_id)),
+    o AS (SELECT *, CASE WHEN t1 IS NULL OR t1 - ms >= {_HALF_DAY} THEN 'timed_out' WHEN NOT h1 THEN NULL WHEN t2 IS NULL OR t2 - ms >= {_HALF_DAY} THEN 'timed_out' WHEN h2 THEN 'matched' END AS outcome,
+      CASE WHEN t1 IS NULL OR t1 - ms >= {_HALF_DAY} THEN 1 WHEN t2 IS NULL OR t2 - ms >= {_HALF_DAY} THEN 2 ELSE 3 END AS met FROM r WHERE h0)
+    SELECT event_id, CAST(user_id AS VARCHAR) AS mid, outcome, met, CASE met WHEN 1 THEN ms WHEN 2 THEN t1 ELSE t2 END AS until FROM o WHERE outcome IS NOT NULL"""
+)
+def pattern_match(t: Tables) -> DataFrame:
+    """Two events of looking, right after them one of doing, within half a day; or the time passed before."""
+    looks = F.coalesce(F.col("event_type").isin("view", "click"), F.lit(False))
+    does = F.coalesce(~F.col("event_type").isin("view", "click"), F.lit(False))
+    rows = t.event_rows().select("event_id", F.col("user_id").cast("string").alias("mid"), "ms", looks.alias("looks"), does.alias("does"))
+    out = patterns.matched(rows, patterns.Pattern((("looks", 2), ("does", 1)), _HALF_DAY), "mid", "ms", "event_id")
+    return out.select("event_id", "mid", F.col("_outcome").alias("outcome"), F.col("_met").alias("met"), F.col("_until").alias("until"))
+
+
 # Orders -----------------------------------------------------------------------------------------------------------------
 
 
@@ -241,6 +286,17 @@ def user_age(t: Tables) -> DataFrame:
     return born.select(F.col("ID").cast("bigint").alias("c_custkey"), age(F.col("BIRTHDAY"), F.lit("2024-01-01").cast("date")).alias("user_age"))
 
 
+@query(
+    """WITH v AS (SELECT l_partkey, l_shipdate AS since, max(l_orderkey * 10 + l_linenumber) AS returned FROM lineitem WHERE l_returnflag = 'R' GROUP BY ALL)
+    SELECT l_orderkey * 10 + l_linenumber AS detail_id, returned FROM lineitem ASOF LEFT JOIN v ON lineitem.l_partkey = v.l_partkey AND lineitem.l_shipdate >= v.since"""
+)
+def dim_as_of(t: Tables) -> DataFrame:
+    """Each line with the last line of its product that had been sent back when it was shipped."""
+    rows = t.lineitem.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("detail_id"), "l_partkey", "l_returnflag", F.col("l_shipdate").cast("timestamp").alias("et"))
+    versions = rows.where("l_returnflag = 'R'").withColumn("seq", F.col("detail_id"))
+    return dims.as_of_join(rows, versions, "l_partkey", "l_partkey", {"returned": "detail_id"}).select("detail_id", "returned")
+
+
 # Statistics -------------------------------------------------------------------------------------------------------------
 
 _CLICKS = "SELECT CAST(item AS BIGINT) AS sku_id, make_timestamp(ts * 1000) AS et, 0 AS display_ct, 1 AS click_ct FROM pages WHERE page_id = 'good_detail'"

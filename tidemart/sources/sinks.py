@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemart.functions import order
 from tidemart.operators.dims import as_table, folded
 
 Batch = Callable[[DataFrame, int], None]
@@ -48,7 +49,7 @@ def table_sink(path: str) -> Batch:
 
 
 def jdbc_sink(url: str, table: str, columns: list[str], batchsize: int = 5000, **options: str) -> Batch:
-    """Rows by column name, transient columns left out; at least once."""
+    """Rows by column name, transient columns left out; at least once. sources/jdbc.py has the sink that writes each once."""
 
     def write(df: DataFrame, _: int) -> None:
         df.select(*columns).write.format("jdbc").options(url=url, dbtable=table, batchsize=batchsize, **options).mode("append").save()
@@ -79,24 +80,52 @@ def fan_out(*sinks: tuple[Callable[[DataFrame], DataFrame], Batch]) -> Batch:
     return write
 
 
+def late_split(root: str, delay: str, on_time: Batch, late: Batch) -> Batch:
+    """Rows (et) by whether they come before the watermark of the batches before, as a stateful step after it would see them: those not later than it
+    are late. Rows without et are late. What each batch has seen is kept below root, also its counts of both, so a replayed batch is split alike."""
+
+    def write(df: DataFrame, batch_id: int) -> None:
+        spark = df.sparkSession
+        seen = _read(spark, f"{root}/seen", "last timestamp, on_time bigint, late bigint, batch string")
+        before = seen.where(F.col("batch") < f"{batch_id:012d}").agg(F.max("last").alias("last"))
+        mark = before.select((F.col("last") - F.expr(f"INTERVAL {delay}")).alias("mark")).first()["mark"]
+        fits = F.col("et").isNotNull() if mark is None else F.coalesce(F.col("et").cast("timestamp") > F.lit(mark), F.lit(False))
+        kept = df.withColumn("_fits", fits).persist()
+        try:
+            on_time(kept.where("_fits").drop("_fits"), batch_id)
+            late(kept.where("NOT _fits").drop("_fits"), batch_id)
+            counts = kept.agg(F.max(F.col("et").cast("timestamp")).alias("last"), F.count(F.when(F.col("_fits"), 1)).alias("on_time"), F.count(F.when(~F.col("_fits"), 1)).alias("late"))
+            counts.write.mode("overwrite").parquet(_place(f"{root}/seen", batch_id))
+        finally:
+            kept.unpersist()
+
+    return write
+
+
+def late_counts(spark: SparkSession, root: str) -> DataFrame:
+    """batch, on_time, late of a late_split()."""
+    return _read(spark, f"{root}/seen", "last timestamp, on_time bigint, late bigint, batch string").select(F.col("batch").cast("bigint").alias("batch"), "on_time", "late")
+
+
 # Dimension tables -----------------------------------------------------------------------------------------------------
 # A dimension is its history of changes (pk, seq, values), one folder a batch below changes/batch=.../sink_table=... Writing costs what the batch
 # holds, not what the table holds; replaying a batch overwrites its own folder. Once in a number of batches the sink folds all before the batch
 # into a state below states/, which is never written again once a row below marks/ says that it is whole. Readers fold the newest whole
-# state and the batches since.
+# state and the batches since. What counts is a change's place in its source (seq), not the batch that brought it, so a state keeps each value's seq.
 
-_CHANGES = "pk string, seq bigint, values map<string,string>, sink_table string, batch string"
-_STATES = "pk string, seq bigint, values map<string,string>, sink_table string, until string"
-_SHIFT = 1 << 32
+_CHANGES = f"pk string, seq {order.SEQ}, values map<string,string>, sink_table string, batch string"
+_STATES = f"pk string, seq {order.SEQ}, values map<string,string>, sink_table string, until string"
 
 
 def dim_sink(root: str, every: int = 100) -> Batch:
-    """Routed dimension changes (sink_table, sink_pk, after, and seq if they have it; else the batch is their order). Each every-th batch folds
-    the past (never, if every is 0)."""
+    """Routed dimension changes (sink_table, sink_pk, after, seq: a position, or a number). Each every-th batch folds the past (never, if every
+    is 0). Raises if changes come without seq: their order would be left to chance."""
 
     def write(df: DataFrame, batch_id: int) -> None:
-        seq = F.col("seq") if "seq" in df.columns else F.lit(0)
-        rows = df.select("sink_table", F.try_element_at("after", F.col("sink_pk")).alias("pk"), (F.lit(batch_id) * F.lit(_SHIFT) + seq).alias("seq"), F.col("after").alias("values"))
+        if "seq" not in df.columns:
+            raise ValueError("changes of dimensions need seq, as topic_source, normalized and snapshot_source give it")
+        seq = F.col("seq") if isinstance(df.schema["seq"].dataType, T.StructType) else order.numbered(F.col("seq"))
+        rows = df.select("sink_table", F.try_element_at("after", F.col("sink_pk")).alias("pk"), seq.alias("seq"), F.col("after").alias("values"))
         rows.where("pk IS NOT NULL").write.mode("overwrite").partitionBy("sink_table").parquet(_place(f"{root}/changes", batch_id))
         if every and batch_id and batch_id % every == 0:
             settle(df.sparkSession, root, batch_id)
@@ -130,11 +159,11 @@ def dim_changes(spark: SparkSession, root: str, until: int | None = None) -> Dat
 
 
 def _state(changes: DataFrame) -> DataFrame:
-    """changes folded, all tables at once; seq is a row's last."""
+    """changes folded, all tables at once: a row for each key and position that some value of it still has."""
     cells = changes.select("sink_table", "pk", "seq", F.explode("values").alias("k", "v"))
     newest = cells.groupBy("sink_table", "pk", "k").agg(F.max_by(F.struct("v"), F.struct("seq", "v")).alias("c"), F.max("seq").alias("seq"))
-    values = F.map_from_entries(F.collect_list(F.struct("k", F.col("c.v").alias("v"))))  # a row's columns
-    return newest.groupBy("sink_table", "pk").agg(F.max("seq").alias("seq"), values.alias("values"))
+    values = F.map_from_entries(F.collect_list(F.struct("k", F.col("c.v").alias("v")))).alias("values")  # at most a row's columns
+    return newest.groupBy("sink_table", "pk", "seq").agg(values).select("pk", "seq", "values", "sink_table")
 
 
 def settle(spark: SparkSession, root: str, until: int) -> None:

@@ -1,4 +1,4 @@
-"""Stateful processors per visitor: flag repair, first visit of a day, bounces.
+"""Stateful processors per key: flag repair, first visit of a day, sequence patterns.
 
 Input rows have mid, ts (milliseconds), the columns that a processor names, and value, which comes back as it is. Each equals its batch form on
 rows that are not late; rows of one micro-batch may come in any order and are put in order of (ts, value) first.
@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from tidemart.operators.patterns import Pattern
+
 DAY_MS = 86_400_000
 
 
@@ -59,46 +61,57 @@ class FirstVisit(StatefulProcessor):
         pass
 
 
-class Bounces(StatefulProcessor):
-    """Emits entry pages followed within within_ms by nothing or by another entry page. Pages wait until the watermark has passed them, so each is
-    judged by the page that really follows it."""
+class Matches(StatefulProcessor):
+    """Emits rows that begin a match of a pattern, or time out, with outcome and met. Rows wait until the watermark has passed them, so each is judged by
+    those that really follow it, whatever order they came in; a row goes when it is judged and no match before it is open."""
 
-    def __init__(self, within_ms: int = 10_000) -> None:
-        self.within_ms = within_ms
+    def __init__(self, pattern: Pattern) -> None:
+        self.pattern = pattern
+        self.columns = list(dict.fromkeys(pattern.conditions))
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", "ts long, entry boolean, value string")
+        self.waiting = handle.getListState("waiting", "ts long, meets array<boolean>, value string, judged boolean")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         watermark = timerValues.getCurrentWatermarkInMs()
-        for ts, entry, value in _in_order(rows)[["ts", "entry", "value"]].itertuples(index=False):
+        for ts, value, *meets in _in_order(rows)[["ts", "value", *self.columns]].itertuples(index=False):
             if ts > watermark or watermark <= 0:
-                self.waiting.appendValue((int(ts), bool(entry), value))
-                for at in (int(ts), int(ts) + self.within_ms):
+                self.waiting.appendValue((int(ts), [bool(m) for m in meets], value, False))
+                for at in {int(ts), int(ts) + (self.pattern.within_ms or 0)}:
                     self.handle.registerTimer(at)
-        yield pd.DataFrame({"mid": [], "ts": [], "value": []}).astype({"mid": "str", "ts": "int64", "value": "str"})
+        yield _found([])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        now, out, left = timerValues.getCurrentWatermarkInMs(), [], []
-        pages = sorted(self.waiting.get(), key=lambda p: (p[0], p[2]))
-        for i, (ts, entry, value) in enumerate(pages):
-            after = pages[i + 1] if i + 1 < len(pages) and pages[i + 1][0] <= now else None
-            if ts > now or (after is None and now < ts + self.within_ms):
-                left.append((ts, entry, value))
-            elif entry and (after is None or after[0] - ts >= self.within_ms or after[1]):
-                out.append((key[0], ts, value))
-        if len(left) != len(pages):
+        now, out = timerValues.getCurrentWatermarkInMs(), []
+        held = sorted(self.waiting.get(), key=lambda p: (p[0], p[2]))
+        past = [(ts, dict(zip(self.columns, meets, strict=True))) for ts, meets, _, _ in held if ts <= now]
+        left, changed = [], False
+        for i, (ts, meets, value, judged) in enumerate(held):
+            result = None if ts > now else self.pattern.outcome(past, i, now)
+            if result is not None and not judged:
+                changed = True
+                if result[0]:
+                    out.append((key[0], ts, value, *result))
+            if result is None or left:  # an open match may still need what follows its first row
+                left.append((ts, meets, value, result is not None))
+            else:
+                changed = True
+        if changed:
             if left:
                 self.waiting.put(left)
             else:
                 self.waiting.clear()
-        yield pd.DataFrame(out, columns=["mid", "ts", "value"]).astype({"mid": "str", "ts": "int64", "value": "str"})
+        yield _found(out)
 
     def close(self) -> None:
         pass
 
 
+def _found(rows: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=["mid", "ts", "value", "outcome", "met"]).astype({"mid": "str", "ts": "int64", "value": "str", "outcome": "str", "met": "int32"})
+
+
 def repaired_is_new(rows: DataFrame) -> DataFrame:
     """rows (mid, ts, is_new, value), with the flag as it was in was."""
     return rows.groupBy("mid").transformWithStateInPandas(RepairIsNew(), "mid string, ts long, was string, is_new string, value string", "append", "none")
@@ -110,6 +123,11 @@ def unique_visits(rows: DataFrame, forget: bool = True) -> DataFrame:
     return rows.groupBy("mid").transformWithStateInPandas(FirstVisit(forget), "mid string, ts long, value string", "append", "processingTime" if forget else "none")
 
 
+def matches(rows: DataFrame, pattern: Pattern) -> DataFrame:
+    """rows (mid, ts, the pattern's boolean columns, value, and et with a watermark): mid, ts, value of rows that begin a match or time out, outcome, met."""
+    return rows.groupBy("mid").transformWithStateInPandas(Matches(pattern), "mid string, ts long, value string, outcome string, met int", "append", "eventTime")
+
+
 def user_jumps(rows: DataFrame, within_ms: int = 10_000) -> DataFrame:
-    """rows (mid, ts, entry, value, and et with a watermark)."""
-    return rows.groupBy("mid").transformWithStateInPandas(Bounces(within_ms), "mid string, ts long, value string", "append", "eventTime")
+    """rows (mid, ts, entry, value, and et with a watermark): an entry page and right after it another, or no page in time."""
+    return matches(rows, Pattern((("entry", 2),), within_ms)).select("mid", "ts", "value")
