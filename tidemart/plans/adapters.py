@@ -158,7 +158,8 @@ class Tables:
         after = F.struct(
             F.col("o_custkey").cast("string").alias("id"), F.when(key % 2 == 0, F.col("o_orderstatus")).alias("status"), F.when(key % 3 != 0, F.col("o_orderpriority")).alias("priority")
         )
-        rows = self.orders.select(F.explode(F.expr("if(o_orderkey % 3 = 0, array(1, 2), array(1))")), after.alias("after"), source.alias("source"))
+        rows = self.orders.select(after.alias("after"), source.alias("source"), key.alias("key"))
+        rows = rows.withColumn("time", F.explode(F.expr("sequence(1, if(key % 3 = 0, 2, 1))")))
         return rows.select(F.lit("mysql.shop.user_info").alias("topic"), F.to_json(F.struct("after", "source", F.lit("u").alias("op"))).alias("value"))
 
     def order_log(self) -> DataFrame:

@@ -179,7 +179,7 @@ def cdc_ordered_fold(t: Tables) -> DataFrame:
     return dims.as_table(dims.folded(changes), ["id", "status", "priority"])
 
 
-@query("SELECT id, part FROM (SELECT l_orderkey AS id, arg_max(l_partkey, l_linenumber * 1000000000 + l_partkey) AS part, max(l_linenumber) AS last FROM lineitem GROUP BY l_orderkey) WHERE last <> 7")
+@query("SELECT id, part FROM (SELECT l_orderkey AS id, arg_max(l_partkey, CAST(l_linenumber AS BIGINT) * 1000000000 + l_partkey) AS part, max(l_linenumber) AS last FROM lineitem GROUP BY l_orderkey) WHERE last <> 7")
 def cdc_handover(t: Tables) -> DataFrame:
     """A table loaded in chunks while it changed, and its log: the rows that are there in the end."""
     keys = t.lineitem.agg(F.min("l_orderkey"), F.max("l_orderkey")).first()
