@@ -16,3 +16,11 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 def positions(size: Column) -> Column:
     """array(0, ..., size - 1); empty for 0."""
     return F.when(size > 0, F.sequence(F.lit(0), size - 1)).otherwise(F.array().cast("array<int>"))
+
+
+def fresh(name: str, columns: list[str]) -> str:
+    """name, or with underscores after it what none of columns is called, in whatever case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

@@ -81,16 +81,25 @@ def word_counts(docs: DataFrame, n_forms: int) -> DataFrame:
 
 
 def frequent(counts: DataFrame, most: int = FREQUENT) -> DataFrame:
-    """The words of counts (word, form, c) with the highest counts, at most `most`: all from a count on. A table of how many words have about
-    which count (16 steps from a count to twice it) tells where to begin, so nothing is sorted."""
+    """The words of counts (word, form, c) with the highest counts, most of them, or all if there are fewer. A table of how many words have about
+    which count (16 steps from a count to twice it) tells where to begin, so nothing is sorted; of the step that doesn't fit whole those
+    words are taken whose hash is below a bound that a second table of 4096 parts tells: at most a part too few."""
     step = F.floor(F.log2("c") * 16)
-    begin, held = None, 0
+    begin, room, at = None, most, None
     for at, n in sorted(map(tuple, counts.groupBy(step.alias("step")).count().collect()), reverse=True):  # about a thousand rows, whatever the input
-        held += n
-        if held > most:
+        if n > room:
             break
-        begin = at
-    return counts.where(step >= begin) if begin is not None else counts.limit(0)
+        begin, room = at, room - n
+    else:
+        return counts
+    part = F.pmod(F.xxhash64("word"), F.lit(1 << 12))
+    bound = 0
+    for p, n in sorted(map(tuple, counts.where(step == at).groupBy(part.alias("part")).count().collect())):
+        if n > room:
+            break
+        bound, room = p + 1, room - n
+    taken = (step == at) & (part < bound)
+    return counts.where(taken if begin is None else taken | (step >= begin))
 
 
 class Vocabulary:

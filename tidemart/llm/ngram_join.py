@@ -34,8 +34,9 @@ from tidemart.llm.tables import table
 
 #: The similarity is PERCENT / 100 or more.
 PERCENT, WORDS = 90, 3
-#: Counters have 2**COUNTER_BITS entries, of 4 bytes in the tasks that count and of one byte (a level) elsewhere, whatever the input.
-COUNTER_BITS = 22
+#: Counters have 16 entries a document, rounded up to a power of two within 2**COUNTER_BITS and 2**MOST_BITS: of 4 bytes in the tasks that count and of
+#: one byte (a level) elsewhere.
+COUNTER_BITS, MOST_BITS = 22, 26
 #: Levels of counts to a doubling (64 doublings fit into a byte).
 STEPS = 4
 #: Shingles whose counter has this many documents and four times the mean are taken to be met without being gathered.
@@ -45,6 +46,8 @@ PIVOT_ROUNDS = 1
 BITS = 512
 #: A SPARE-th of a set's shingles are listed beyond the prefix.
 SPARE = 10
+#: Groups of a shingle that one task of the last round compares with as many others.
+CROSS = 1024
 _CHUNK = 1 << 14
 
 
@@ -96,7 +99,7 @@ def levels(docs: DataFrame, bits: int = COUNTER_BITS, k: int = WORDS) -> tuple[n
     parts = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(count, schema)
     reducers = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     out, total = np.zeros(1 << bits, np.uint8), 0
-    for c, n, t in parts.repartition(reducers, "chunk").mapInArrow(add, schema).toLocalIterator():  # 2**bits bytes, whatever the input
+    for c, n, t in parts.repartition(reducers, "chunk").mapInArrow(add, schema).toLocalIterator():  # 2**bits bytes, 64 MB at most
         out[c : c + _CHUNK] = np.frombuffer(zlib.decompress(bytes(n)), np.uint8)
         total += t
     return out, total >> bits
@@ -121,7 +124,7 @@ def signatures(docs: DataFrame, rarity: np.ndarray, percent: int = PERCENT, k: i
     first: the prefix and some spare ones), list1, list2 (128 bits that name the list). A shingle's place in the order: its
     counter's level (its first byte), then the last 56 bits of its hash."""
     bits = len(rarity).bit_length() - 1
-    shared = docs.sparkSession.sparkContext.broadcast(rarity)  # 2**COUNTER_BITS bytes
+    shared = docs.sparkSession.sparkContext.broadcast(rarity)  # 2**MOST_BITS bytes at most
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, place = WordHasher(), shared.value
@@ -185,17 +188,33 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def linked(docs: DataFrame, percent: int = PERCENT, k: int = WORDS) -> DataFrame:
-    """docs (doc_id: unique bigint, text): doc_id, n_shingles, class_id (smallest id with the same set), component_id (smallest
+    """docs (doc_id: bigint, text): doc_id, n_shingles, class_id (smallest id with the same set), component_id (smallest
     id reachable by links).
 
     Null, empty and white-space texts have the empty set: n_shingles 0, linked with nothing. Texts of fewer than k words have
-    one shingle, all their words. Rows with equal ids count as one document's copies: each row is returned. Rows with a null id
-    are returned with null class and component. Other columns are ignored. An empty table gives no rows.
+    one shingle, all their words. Each row is a document of its own, also where ids repeat: rows with one id and different texts may be
+    in different components, and each has the smallest id of its own. Rows with a null id are returned with null class and component.
+    Other columns are ignored. An empty table gives no rows.
     """
     spark = docs.sparkSession
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     with scratch.small_batches(spark), scratch.scope(spark) as own:  # all work on texts is done in here
-        signed, classes, label = map(own.keep, _linked(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), percent, k))
-    of_class = classes.join(label, F.col("class_id") == F.col("c"), "left").select(*_NAME, "class_id", F.coalesce("component", "class_id").alias("component_id"))
+        names = None
+        if not docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").isEmpty():
+            # Ids that repeat can't name rows: numbers do, once they are written down.
+            row = F.when(F.col("doc_id").isNotNull(), F.monotonically_increasing_id())
+            numbered = scratch.written(docs.withColumn("row", row), "numbered")
+            docs, names = numbered.select(F.col("row").alias("doc_id"), "text"), numbered.where("row IS NOT NULL").select("row", F.col("doc_id").alias("own"))
+        signed, classes, label = map(own.keep, _linked(docs, percent, k))
+        of_class = classes.join(label, F.col("class_id") == F.col("c"), "left").select(*_NAME, "class_id", F.coalesce("component", "class_id").alias("component_id"))
+        if names is not None:
+            signed = own.keep(scratch.written(signed.join(names, F.col("doc_id") == F.col("row"), "left").select("own", *_NAME), "named"))
+            least = signed.where("own IS NOT NULL").groupBy(*_NAME).agg(F.min("own").alias("least"))
+            of_class = scratch.written(of_class.join(least, _NAME), "named_classes")
+            first = of_class.groupBy("component_id").agg(F.min("least").alias("first"))
+            of_class = of_class.join(first, "component_id").select(*_NAME, F.col("least").alias("class_id"), F.col("first").alias("component_id"))
+            of_class = own.keep(scratch.written(of_class, "named_classes"))
+            signed = signed.withColumnRenamed("own", "doc_id")
     out = signed.join(of_class, [signed[c] == of_class[c] for c in _NAME], "left")
     own_id = lambda c: F.when(F.col("doc_id").isNotNull(), F.coalesce(c, F.col("doc_id")))
     return out.select(
@@ -208,8 +227,8 @@ _NAME = ["n", "set1", "set2"]
 
 
 def _linked(docs: DataFrame, percent: int, k: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Written tables: the signed rows of docs; their classes (n, set1, set2, class_id); c, component of the classes that may have links."""
-    rarity, mean = levels(docs, k=k)
+    """Written tables: the signed rows of docs (doc_id unique where not null); their classes (n, set1, set2, class_id); c, component of the classes that may have links."""
+    rarity, mean = levels(docs, min(MOST_BITS, max(COUNTER_BITS, (16 * docs.count()).bit_length())), k)
     crowd = int(level(np.array([max(CROWD, 4 * mean)]))[0])
     signed = scratch.written(signatures(docs, rarity, percent, k), "signatures")
     usable = signed.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
@@ -237,15 +256,13 @@ def _linked(docs: DataFrame, percent: int, k: int) -> tuple[DataFrame, DataFrame
     active = scratch.written(active.select("g", "n", enough.alias("enough"), prefix.alias("prefix")), "active")
     worked = active.select("g").union(members.where("classes > 1").select("g")).distinct()
     members = scratch.written(members.join(worked, "g").select("g", "c", "n", "classes"), "near")
-    # A group's list is that of its first document. Rows of the same id may differ in text: the size tells the right one, or one as good.
-    leaders = scratch.small(active.select(F.col("g").alias("doc_id"), "n", "enough", "prefix"))
-    lists = usable.select("doc_id", "n", "list").join(leaders, ["doc_id", "n"]).dropDuplicates(["doc_id"])
+    leaders = scratch.small(active.select(F.col("g").alias("doc_id"), "enough", "prefix"))  # a group's list is that of its first document
+    lists = usable.select("doc_id", "n", "list").join(leaders, "doc_id")
     postings = lists.select(F.col("doc_id").alias("g"), "n", "enough", "prefix", F.posexplode("list").alias("i", "token"))
     postings = scratch.written(postings.select("g", "n", "i", "token", "enough", (F.col("i") < F.col("prefix")).alias("first")), "postings")
     firsts = scratch.small(scratch.written(members.select(F.col("c").alias("id")), "ids"))
     sets = whole_sets(docs.join(firsts, F.col("doc_id") == F.col("id")).select("id", "text"), k)
-    repeated = not signed.groupBy("doc_id").count().where("count > 1 AND doc_id IS NOT NULL").isEmpty()
-    sets = scratch.written(sets.dropDuplicates(["id"]) if repeated else sets, "sets")
+    sets = scratch.written(sets, "sets")
 
     bits = range(BITS // 64)
     alone = members.where("classes = 1").select("g", F.col("c").alias("id"))
@@ -272,15 +289,22 @@ def _linked(docs: DataFrame, percent: int, k: int) -> tuple[DataFrame, DataFrame
             pairs = near.join(whole, "g").join(one.select(F.col("g").alias("h"), "b"), "h").select("a", "b")
             pairs = pairs.union(whole.join(mixed, "g").join(one, "g").select("a", "b"))
         else:
-            unsettled = labelled.groupBy("token").agg(*ends).where("l <> h").select("token")
-            spread = scratch.written(postings.join(unsettled, "token").select("g", "n", "i", "token", "enough", "first"), "unsettled")
+            blocks = F.ceil(F.count(F.when(F.col("first"), 1)) / CROSS).cast("int")
+            unsettled = labelled.groupBy("token").agg(*ends, F.greatest(blocks, F.lit(1)).alias("blocks")).where("l <> h").select("token", "blocks")
+            spread = scratch.written(postings.join(unsettled, "token").select("g", "n", "i", "token", "enough", "first", "blocks"), "unsettled")
             # The filter by count again: a group with a link to be found meets other components in as many shingles.
             going = spread.groupBy("g").agg(F.count(F.lit(1)).alias("c"), F.max("enough").alias("e")).where("c >= e").select("g")
             going = scratch.written(going.join(state, "g").join(parity, "g", "left"), "going")
-            spread = spread.where("first").select("g", "n", "i", "token").join(scratch.small(going, 1 << 18), "g")
-            other = spread.select("token", F.col("g").alias("h"), F.col("n").alias("m"), F.col("i").alias("j"), F.col("low").alias("low2"), F.col("high").alias("high2"), *[F.col(f"x{b}").alias(f"y{b}") for b in bits])
+            spread = spread.where("first").select("g", "n", "i", "token", "blocks").join(scratch.small(going, 1 << 18), "g")
+            # A shingle's groups are dealt to blocks, and each two blocks (and each with itself) meet under a key of their own.
+            block = F.pmod(F.xxhash64("g"), F.col("blocks")).cast("int")
+            one = spread.withColumn("p", block).withColumn("q", F.explode(F.sequence("p", F.col("blocks") - 1)))
+            other = spread.withColumn("q", block).withColumn("p", F.explode(F.sequence(F.lit(0), "q")))
+            other = other.select("token", "p", "q", F.col("g").alias("h"), F.col("n").alias("m"), F.col("i").alias("j"), F.col("low").alias("low2"), F.col("high").alias("high2"), *[F.col(f"x{b}").alias(f"y{b}") for b in bits])
             settled = (F.col("low") == F.col("high")) & (F.col("low2") == F.col("high2")) & (F.col("low") == F.col("low2"))
-            near = spread.join(other, "token").where((F.col("g") < F.col("h")) & ~settled & _may_overlap(percent) & _near_enough(percent)).select("g", "h").distinct()
+            apart = (F.col("p") < F.col("q")) | (F.col("g") < F.col("h"))
+            near = one.join(other, ["token", "p", "q"]).where(apart & ~settled & _may_overlap(percent) & _near_enough(percent))
+            near = near.select(F.least("g", "h").alias("g"), F.greatest("g", "h").alias("h")).distinct()
             near = near.union(mixed.select("g", F.col("g").alias("h")))
             pairs = near.join(whole, "g").join(whole.select(F.col("g").alias("h"), F.col("a").alias("b")), "h").select("a", "b")
         x, y = label.select(F.col("c").alias("a"), F.col("component").alias("ca")), label.select(F.col("c").alias("b"), F.col("component").alias("cb"))

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,7 +49,8 @@ class Scope:
         return df
 
 
-_scopes: list[Scope] = []
+#: The scopes that are open, of this thread (or task of an event loop) alone.
+_scopes: ContextVar[tuple[Scope, ...]] = ContextVar("scopes", default=())
 
 
 @contextmanager
@@ -56,13 +58,14 @@ def scope(spark: SparkSession) -> Iterator[Scope]:
     """Frees what is written inside as soon as nothing reads it any more: at the end. Frames made inside must not be run after that, unless
     all tables that they read are kept."""
     own = Scope()
-    _scopes.append(own)
+    around = _scopes.get()
+    _scopes.set((*around, own))
     try:
         yield own
     finally:
-        _scopes.remove(own)
-        if _scopes:
-            _scopes[-1].paths += own.kept
+        _scopes.set(around)
+        if around:
+            around[-1].paths += own.kept
         for path in set(own.paths) - set(own.kept):
             _delete(spark, path)
 
@@ -77,8 +80,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_folder(spark, name)
     df.write.parquet(path)
-    if _scopes:
-        _scopes[-1].paths.append(path)
+    if _scopes.get():
+        _scopes.get()[-1].paths.append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch_path = path
     return out
