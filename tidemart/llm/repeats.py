@@ -12,7 +12,8 @@ The corpus is too large for one suffix array, so windows of 400 bytes that can b
 4. A name with very many different runs (a passage that half the corpus quotes) is not gathered: its runs are cut finer where they lie and
    named anew, down to single windows, which are equal or not.
 
-Names and contents are 64-bit hashes of a polynomial over the bytes; documents are named by a hash of id and text.
+What decides that bytes go is named by 128 bits: contents by two hashes, each a polynomial over the bytes with a base and values of its own;
+documents by two hashes of id and text; a kind of context by a number that it gets when it is written. Names of 64 bits only bring things together.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemart.llm import scratch
@@ -40,12 +41,12 @@ _POSITION = np.uint64((1 << 21) - 1)
 
 
 class Polynomial:
-    """Hashes of substrings modulo 2**64: an odd base, random values of the bytes."""
+    """Hashes of substrings modulo 2**64: an odd base, random values of the bytes. other: a second one, with other values."""
 
-    def __init__(self) -> None:
-        rng = np.random.default_rng(20240301)
+    def __init__(self, other: bool = False) -> None:
+        rng = np.random.default_rng(20250607 if other else 20240301)
         self.value = rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        self.base = 0xD1342543DE82EF95
+        self.base = 0xAEF17502108EF2D9 if other else 0xD1342543DE82EF95
         self.power = self.unpower = np.zeros(0, np.uint64)
 
     def sums(self, b: np.ndarray) -> np.ndarray:
@@ -64,8 +65,8 @@ class Polynomial:
         return mix((sums[last] - sums[first]) * self.unpower[first])
 
 
-def contexts(b: np.ndarray, poly: Polynomial, length: int, anchor: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """(anchor's hash, content's hash, first window, windows, bytes from there to the anchor) of the contexts of one text."""
+def contexts(b: np.ndarray, poly: Polynomial, second: Polynomial, length: int, anchor: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """(anchor's hash, content's two hashes, first window, windows, bytes from there to the anchor) of the contexts of one text."""
     w = length - anchor + 1
     for at in range(0, len(b) - length + 1, PART):
         part = b[at : at + PART + length - 1]
@@ -82,49 +83,57 @@ def contexts(b: np.ndarray, poly: Polynomial, length: int, anchor: int) -> Itera
         first = np.flatnonzero(np.diff(place, prepend=-1))
         n = np.diff(first, append=len(place))
         p = place[first]
-        yield grams[p], poly.of(sums, first, first + n - 1 + length), first + at, n, p - first
+        end = first + n - 1 + length
+        yield grams[p], poly.of(sums, first, end), second.of(second.sums(part), first, end), first + at, n, p - first
 
 
 def anchored(docs: DataFrame, length: int, anchor: int) -> DataFrame:
     """All contexts of docs (key, text)."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        poly = Polynomial()
+        poly, second = Polynomial(), Polynomial(other=True)
         for b in batches:
             data, off = utf8(b.column(1))
-            keys, held, size = b.column(0).to_numpy(), [], 0
+            held, size = [], 0
             for i in np.flatnonzero(np.diff(off) >= length).tolist():
-                for found in contexts(data[off[i] : off[i + 1]], poly, length, anchor):
-                    held.append((np.full(len(found[0]), keys[i]), *found))
+                for found in contexts(data[off[i] : off[i + 1]], poly, second, length, anchor):
+                    held.append((np.full(len(found[0]), i), *found))
                     size += len(found[0])
                 if size > 50_000:
-                    yield batch(held)
+                    yield batch(b.column(0), held)
                     held, size = [], 0
             if held:
-                yield batch(held)
+                yield batch(b.column(0), held)
 
-    def batch(held: list) -> pa.RecordBatch:
-        k, g, e, lo, n, left = (np.concatenate(x) for x in zip(*held, strict=True))
-        cols = [pa.array(k), pa.array(g.view(np.int64)), pa.array(e.view(np.int64)), pa.array(lo), pa.array(n.astype(np.int32)), pa.array(left.astype(np.int32))]
-        return pa.RecordBatch.from_arrays(cols, names=["key", "g", "e", "lo", "n", "left"])
+    def batch(keys: pa.Array, held: list) -> pa.RecordBatch:
+        i, g, e, e2, lo, n, left = (np.concatenate(x) for x in zip(*held, strict=True))
+        hashes = [pa.array(x.view(np.int64)) for x in (g, e, e2)]
+        cols = [keys.take(pa.array(i)), *hashes, pa.array(lo), pa.array(n.astype(np.int32)), pa.array(left.astype(np.int32))]
+        return pa.RecordBatch.from_arrays(cols, names=["key", "g", "e", "e2", "lo", "n", "left"])
 
-    return docs.select("key", F.col("text").cast("string").alias("text")).mapInArrow(find, "key long, g long, e long, lo long, n int, left int")
+    schema = "key struct<a: long, b: long>, g long, e long, e2 long, lo long, n int, left int"
+    return docs.select("key", F.col("text").cast("string").alias("text")).mapInArrow(find, schema)
 
 
 #: A run of n windows of context c from window a, whose first begins left bytes before the anchor; w: 2 if the run is known to stand elsewhere
-#: (it serves others), else 1; name, content: hashes.
-RUNS = "c long, a int, n int, left int, w int, name long, content long, text binary"
+#: (it serves others), else 1; name, content, content2: hashes.
+RUNS = "c long, a int, n int, left int, w int, name long, content long, content2 long, text binary"
 _names = [x.split()[0] for x in RUNS.split(", ")]
-_kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
+_kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), _kinds, strict=True)], names=_names)
 
 
-def cut_runs(c: int, a: int, n: int, left: int, w: int, text: bytes, steps: int, length: int, poly: Polynomial) -> Iterator[tuple]:
+#: Runs with the same three are equal.
+_EQUAL = ["name", "content", "content2"]
+
+
+def cut_runs(c: int, a: int, n: int, left: int, w: int, text: bytes, steps: int, length: int, poly: Polynomial, second: Polynomial) -> Iterator[tuple]:
     """The runs of at most steps windows of a context or run; a window's place relative to the anchor decides where it belongs."""
-    sums, t = poly.sums(np.frombuffer(text, np.uint8)), 0
+    raw, t = np.frombuffer(text, np.uint8), 0
+    sums, sums2 = poly.sums(raw), second.sums(raw)
     while t < n:
         o = left - t  # this window begins o bytes before the anchor
         part = o // steps
@@ -132,8 +141,9 @@ def cut_runs(c: int, a: int, n: int, left: int, w: int, text: bytes, steps: int,
         core = np.array([left - part * steps]), np.array([left - ((part + 1) * steps - 1) + length])
         own = np.array([t]), np.array([t + m - 1 + length])
         h = poly.of(sums, *(np.concatenate(x) for x in zip(core, own, strict=True)))
-        name, content = mix(h + np.array([part * 7919 + steps, o * 7919 + m], np.uint64)).view(np.int64).tolist()
-        yield c, a + t, m, o, w, name, content, text[t : t + m - 1 + length]
+        h = np.append(h, second.of(sums2, *own))
+        name, content, content2 = mix(h + np.array([part * 7919 + steps, o * 7919 + m, o * 7919 + m], np.uint64)).view(np.int64).tolist()
+        yield c, a + t, m, o, w, name, content, content2, text[t : t + m - 1 + length]
         t += m
 
 
@@ -166,14 +176,14 @@ def settled(runs: DataFrame, steps: int, length: int, most_runs: int) -> tuple[D
     texts of names with different runs, some of them not known yet, move on: each by its own (c, a), and then those of names with at most most_runs
     together. Crowded names are cut where their runs lie, and no task gathers them.
     """
-    keys = runs.groupBy("name", "content").agg(F.count(F.lit(1)).alias("times"), F.max("w").alias("w"), F.min(F.struct("c", "a")).alias("first"))
+    keys = runs.groupBy(*_EQUAL).agg(F.count(F.lit(1)).alias("times"), F.max("w").alias("w"), F.min(F.struct("c", "a")).alias("first"))
     keys = scratch.written(keys, "run_kinds")
     unknown = (F.col("times") == 1) & (F.col("w") == 1)
     names = keys.groupBy("name").agg(F.count(F.lit(1)).alias("different"), F.max(unknown).alias("open")).where("different > 1 AND open")
     names = scratch.written(names.select("name", "different"), "run_names")
     first = keys.join(names, "name").select("first.*", F.when(F.col("times") > 1, 2).otherwise(F.col("w")).alias("w"), "different")
     first = scratch.written(first, "first_runs")
-    ours = scratch.written(runs.drop("w", "content").join(first, ["c", "a"]), "open_runs")
+    ours = scratch.written(runs.drop("w", "content", "content2").join(first, ["c", "a"]), "open_runs")
 
     def transform(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = (r for b in batches for r in zip(*(b.column(k).to_pylist() for k in range(b.num_columns)), strict=True))
@@ -182,17 +192,17 @@ def settled(runs: DataFrame, steps: int, length: int, most_runs: int) -> tuple[D
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*found, strict=True), _kinds[:3], strict=True)], names=_names[:3])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        poly = Polynomial()
+        poly, second = Polynomial(), Polynomial(other=True)
         for b in batches:
             for at in range(0, b.num_rows, 1000):
                 part = b.slice(at, 1000)
                 rows = zip(*(part.column(k).to_pylist() for k in range(part.num_columns)), strict=True)
-                yield _batch([x for r in rows for x in cut_runs(*r, steps, length, poly)])
+                yield _batch([x for r in rows for x in cut_runs(*r, steps, length, poly, second)])
 
     # Transforms take far longer than their bytes suggest: the number is stated, so that Spark doesn't bring small partitions together.
     tasks = int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     few = ours.where(F.col("different") <= most_runs).select("name", "c", "a", "w", "text").repartition(tasks, "name").sortWithinPartitions("name")
-    equal = runs.where("w = 1").join(keys.where("times > 1").select("name", "content"), ["name", "content"]).select("c", "a", "n")
+    equal = runs.where("w = 1").join(keys.where("times > 1").select(*_EQUAL), _EQUAL).select("c", "a", "n")
     known = scratch.written(equal.union(few.mapInArrow(transform, "c long, a int, n int")), "known")
     crowded = ours.where(F.col("different") > most_runs).select("c", "a", "n", "left", "w", "text")
     finer = scratch.written(crowded.mapInArrow(cut, RUNS), "runs")
@@ -201,6 +211,10 @@ def settled(runs: DataFrame, steps: int, length: int, most_runs: int) -> tuple[D
     return known, finer
 
 
+#: Contexts with the same four are equal: the anchor, the content, and where in it the anchor is.
+_KIND = ["g", "e", "e2", "left"]
+
+
 def repeated_spans(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, most_runs: int = MOST_RUNS) -> DataFrame:
     """docs (key, text): key, s, e: bytes [s, e) of the text are windows that stand elsewhere too. Spans may overlap."""
     spark = docs.sparkSession
@@ -208,25 +222,23 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
     found = scratch.written(anchored(docs, length, anchor), "anchors")
     # Written by itself, so that the join below has no aggregate above its shuffle and Spark can split an anchor that many texts share.
     often = scratch.written(found.groupBy("g").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("g"), "often")
-    repeated = scratch.written(found.join(often, "g").withColumn("c", F.xxhash64("g", "e", "left")), "repeated")
+    repeated = scratch.written(found.join(often, "g"), "repeated")
     scratch.drop(found)
-    kinds = repeated.groupBy("c").agg(
-        F.count(F.lit(1)).alias("times"), F.min("g").alias("g"), F.min(F.struct("key", "lo", "n", "left")).alias("r")
-    )
-    kinds = scratch.written(kinds, "contexts")
+    kinds = repeated.groupBy(*_KIND).agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("key", "lo", "n")).alias("r"))
+    kinds = scratch.written(kinds.withColumn("c", F.monotonically_increasing_id()), "contexts")
     mixed = kinds.groupBy("g").agg(F.count(F.lit(1)).alias("m"), F.min("times").alias("least")).where("m > 1 AND least = 1").select("g")
     mixed = scratch.written(mixed, "mixed")
-    wanted = kinds.join(mixed, "g").select("c", "r.*", F.least("times", F.lit(2)).cast("int").alias("w"))
+    wanted = kinds.join(mixed, "g").select("c", "r.*", "left", F.least("times", F.lit(2)).cast("int").alias("w"))
     wanted = wanted.groupBy("key").agg(F.collect_list(F.struct("c", "lo", "n", "left", "w")).alias("cs"))  # a document's own contexts
 
     def first_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        poly = Polynomial()
+        poly, second = Polynomial(), Polynomial(other=True)
         for b in batches:
             for text, cs in zip(b.column(0), b.column(1), strict=True):
                 raw, rows = memoryview(text.as_buffer()), []
                 for x in cs.as_py():
                     part = bytes(raw[x["lo"] : x["lo"] + x["n"] - 1 + length])
-                    rows += cut_runs(x["c"], 0, x["n"], x["left"], x["w"], part, levels[0], length, poly)
+                    rows += cut_runs(x["c"], 0, x["n"], x["left"], x["w"], part, levels[0], length, poly, second)
                 yield _batch(rows)
 
     runs = scratch.written(docs.join(wanted, "key").select(F.col("text").cast("binary").alias("text"), "cs").mapInArrow(first_runs, RUNS), "runs")
@@ -236,7 +248,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
             break
         more, runs = settled(runs, steps, length, most_runs)
         known = known.union(more)
-    whole = repeated.join(kinds.where("times > 1").select("c"), "c").select("key", F.col("lo").alias("s"), (F.col("lo") + F.col("n") - 1 + length).alias("e"))
+    whole = repeated.join(kinds.where("times > 1").select(*_KIND), _KIND).select("key", F.col("lo").alias("s"), (F.col("lo") + F.col("n") - 1 + length).alias("e"))
     part = known.join(kinds.select("c", F.col("r.key").alias("key"), F.col("r.lo").alias("lo")), "c")
     part = part.select("key", (F.col("lo") + F.col("a")).alias("s"), (F.col("lo") + F.col("a") + F.col("n") - 1 + length).alias("e"))
     return whole.union(part)
@@ -259,7 +271,11 @@ def merged(spans: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(starts, lists), pa.array(ends, lists)], names=["key", "starts", "ends"])
 
     gathered = spans.groupBy("key").agg(F.collect_list(F.struct("s", "e")).alias("x"))  # one document's spans
-    return gathered.mapInArrow(merge, "key long, starts array<bigint>, ends array<bigint>")
+    return gathered.mapInArrow(merge, "key struct<a: long, b: long>, starts array<bigint>, ends array<bigint>")
+
+
+def _document() -> Column:
+    return F.struct(F.xxhash64("doc_id", "text").alias("a"), F.xxhash64(F.lit(2), "doc_id", "text").alias("b"))
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, most_runs: int = MOST_RUNS) -> DataFrame:
@@ -268,11 +284,13 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
     Texts are judged as they come in. Null and empty texts, and those shorter than length, lose nothing. Rows with equal id and text are
     copies of each other; each is returned. Other columns are ignored. An empty table gives no rows.
     """
-    d = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).select(F.xxhash64("doc_id", "text").alias("key"), "doc_id", "text")
-    spans = merged(repeated_spans(d.where(F.octet_length("text") >= length).select("key", "text"), length, anchor, most_runs))
+    d = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).select(_document().alias("key"), "doc_id", "text")
+    with scratch.scope(docs.sparkSession) as own:
+        spans = merged(repeated_spans(d.where(F.octet_length("text") >= length).select("key", "text"), length, anchor, most_runs))
+        spans = own.keep(scratch.written(spans, "spans"))
     raw = F.col("text").cast("binary")
 
-    def kept(bounds) -> F.Column:
+    def kept(bounds) -> Column:
         part = lambda p: F.substring(raw, (p["e"] + 1).cast("int"), (p["s"] - p["e"]).cast("int"))
         return F.aggregate(bounds, F.lit(b""), lambda acc, p: F.concat(acc, part(p)))
 
