@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemart.llm import decontaminate, langid, ngram_join, packing, pii, scratch, tokens
+from tidemart.llm.columns import fresh
 from tidemart.llm.tables import table
 
 #: Below this score no language is a fit. Texts of fewer characters than SHORT hold too few n-grams for that: a clean word can score as low as random letters.
@@ -44,31 +45,34 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component stays, the one with the smallest id. Rows with a null id are in no component and stay. If an id occurs
     more than once, a row is known by its id and text: equal rows are copies, others are judged by their texts like any other documents."""
+    key = fresh("_key", docs.columns)
     repeated = not docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").isEmpty()
-    keyed = docs.withColumn("_key", F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id", "text")) if repeated else F.col("doc_id"))
+    keyed = docs.withColumn(key, F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id", "text")) if repeated else F.col("doc_id"))
     with scratch.scope(spark) as own:
-        linked = ngram_join.linked(keyed.select(F.col("_key").alias("doc_id"), "text"), PERCENT, WORDS)
-        linked = linked.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("_key"), "component_id").distinct()
+        rows = keyed.select(F.col(key).alias("doc_id"), "text")
+        linked = ngram_join.linked(rows.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]) if repeated else rows, PERCENT, WORDS)
+        linked = linked.where("doc_id IS NOT NULL").select(F.col("doc_id").alias(key), "component_id")
         if repeated:
-            named = linked.join(keyed.select("_key", "doc_id").distinct(), "_key")
-            first = named.groupBy("component_id").agg(F.min(F.struct("doc_id", "_key")).alias("first"))
-            go = linked.join(first, "component_id").where("_key <> first._key").select("_key")
+            named = linked.join(keyed.select(key, "doc_id").distinct(), key)
+            first = named.groupBy("component_id").agg(F.min(F.struct("doc_id", key)).alias("first"))
+            go = linked.join(first, "component_id").where(F.col(key) != F.col(f"first.{key}")).select(key)
         else:
-            go = linked.where("component_id <> _key").select("_key")
+            go = linked.where(F.col("component_id") != F.col(key)).select(key)
         go = own.keep(scratch.written(go, "copies"))
-    kept = keyed.join(scratch.small(go), "_key", "left_anti")
+    kept = keyed.join(scratch.small(go), key, "left_anti")
     if repeated:
-        kept = kept.where("_key IS NULL").union(kept.where("_key IS NOT NULL").dropDuplicates(["_key"]))
+        kept = kept.where(F.col(key).isNull()).union(kept.where(F.col(key).isNotNull()).dropDuplicates([key]))
     return kept.select(*docs.columns)
 
 
 def benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of whose words a twentieth or more lies in benchmark windows go. Null and empty texts have no words and stay."""
+    key = fresh("_key", docs.columns)
     with scratch.scope(spark) as own:
         found = decontaminate.hits(docs, table(spark, sf_dir, "benchmark"))
-        bad = found.where(decontaminate.contaminated()).select(F.col("key").alias("_key")).distinct()
+        bad = found.where(decontaminate.contaminated()).select(F.col("key").alias(key)).distinct()
         bad = own.keep(scratch.written(bad, "contaminated"))
-    return docs.withColumn("_key", decontaminate.row_key()).join(scratch.small(bad), "_key", "left_anti").select(*docs.columns)
+    return docs.withColumn(key, decontaminate.row_key()).join(scratch.small(bad), key, "left_anti").select(*docs.columns)
 
 
 def personal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
