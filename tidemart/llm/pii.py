@@ -1,8 +1,9 @@
 """Personal data: detection in the text as it stands and, with offsets kept, in the text behind its disguises.
 
 A text passes transducers that each rewrite what they recognise and carry, for every character they emit, where it came
-from: look-alike letters and digits become ASCII ones and unseen characters go, spelled digits (in four languages) become digits, and
-"(at)", "dot" or their character references become @ and dot. Each reads a text once, from tokens of bounded length.
+from: character references become characters, look-alike letters and digits ASCII ones and unseen characters go, spelled digits (in four
+languages) become digits, "(at)", "_dot_" or their references become @ and dot, dots of numeric addresses lose brackets and spaces, and
+letters among digits become the digits they look like. Each reads a text once, from tokens of bounded length.
 The same detectors then run over the rewritten text, and what they find in rewritten places is mapped back to the source.
 Spans found in the text as it stands are never changed by this.
 """
@@ -117,7 +118,7 @@ _one_of = lambda words: "|".join(sorted(words, key=len, reverse=True))  # noqa:
 _number = _one_of(DIGIT_WORDS)
 _sign = _one_of(w for w, sign in SIGN_WORDS.items() if sign != "+")
 _plus = _one_of(w for w, sign in SIGN_WORDS.items() if sign == "+")
-_unit = rf"(?:(?:{_one_of(TIMES_WORDS)})[ -])?(?:{_number}|[0-9])"
+_unit = rf"(?:(?:{_one_of(TIMES_WORDS)})[ -])?(?:{_number}|[0-9]{{1,19}})"
 _spelled = re.compile(rf"\b(?:(?:{_plus})[ ,-]{{1,2}})?{_unit}(?:(?:[ ,-]{{1,2}}|[ ]?\b(?:{_sign})\b[ ]?){_unit}){{3,}}\b", re.I)
 _spelled_part = re.compile(rf"\b(?:{_plus}|{_one_of(TIMES_WORDS)}|{_sign}|{_number})\b|[0-9]", re.I)
 _any_word = re.compile(rf"\b(?:{_number})[ ,-]{{1,2}}(?:{_number}|{_sign}|{_one_of(TIMES_WORDS)}|[0-9])\b", re.I)
@@ -135,6 +136,30 @@ _tokens = re.compile(
 _any_disguise = re.compile(rf"[\[({{<][ ]{{0,2}}(?:{_one_of(AT_WORDS + DOT_WORDS)}|[@.])[ ]{{0,2}}[\])}}>]|[ \t](?:{_one_of(DOT_WORDS)})[ \t]|[ \t]@[ \t]|{_one_of(AT_ENTITIES + DOT_ENTITIES)}", re.I)
 
 
+# Character references of printable ASCII characters.
+_reference = re.compile(r"&#(?:0{0,4}([0-9]{2,3})|[xX]0{0,4}([0-9a-fA-F]{2}));")
+# An address with its signs between dashes, underlines, stars and the like, or with its @ as a URL writes it.
+_mark = r"[ ]?[-_*|~][ ]?"
+_label = r"[A-Za-z0-9]{1,63}"
+_marked = re.compile(
+    rf"(?<![A-Za-z0-9])(?:{_label}[.%+])?{_label}(?P<at>{_mark}(?:{_one_of(AT_WORDS)}){_mark}|%40)"
+    rf"(?P<domain>{_label}(?:(?:{_mark}(?:{_one_of(DOT_WORDS)}){_mark}|[.-]){_label}){{0,5}}(?:{_mark}(?:{_one_of(DOT_WORDS)}){_mark}|[.])(?P<end>[A-Za-z]{{2,63}}))(?![A-Za-z0-9])",
+    re.I,
+)
+_marked_dot = re.compile(rf"{_mark}(?:{_one_of(DOT_WORDS)}){_mark}", re.I)
+_any_mark = re.compile(rf"%40|[-_*|~][ ]?(?:{_one_of(AT_WORDS)})[ ]?[-_*|~]", re.I)
+# Four numbers with dots between that are spelled, in brackets, or have spaces around; or with spaces between a number's digits.
+_dotted = rf"(?:{_bracketed(_one_of(DOT_WORDS) + '|[.]')}|{_one_of(DOT_ENTITIES)}|{_apart(_one_of(DOT_WORDS) + '|[.]')}|[.])"
+_spaced = r"[0-9](?:[ ]?[0-9]){0,2}"
+_address = re.compile(rf"(?<![0-9.])(?<![0-9][ ]){_spaced}(?:{_dotted}{_spaced}){{3}}(?![ ]?[0-9])(?!{_dotted}[0-9])", re.I)
+_address_part = re.compile(rf"(?P<dot>{_dotted})|[ ]", re.I)
+_any_address = re.compile(rf"[0-9](?:[ \t]{{0,4}}[\[({{<]|[ \t]{{1,4}}(?:[.]|{_one_of(DOT_WORDS)})|{_one_of(DOT_ENTITIES)})", re.I)
+# Letters that are written for digits.
+DIGIT_LETTERS = {"O": "0", "o": "0", "l": "1", "I": "1"}
+_mixed = re.compile(r"(?<![A-Za-z0-9])(?:\+[0-9OolI][ ().0-9OolI-]{8,24}[0-9OolI]|[0-9OolI](?:[ -]?[0-9OolI]){13,18})(?![A-Za-z0-9])")
+_any_mixed = re.compile(r"[0-9][ -]?[OolI][ -]?[0-9OolI]|(?<![A-Za-z])[OolI][0-9]{2}")
+
+
 class Traced:
     """A text and, for each of its characters, the source's characters [first, last) that it stands for; whether it was rewritten."""
 
@@ -213,13 +238,59 @@ def at_and_dot(t: Traced) -> None:
     t.rewrite(edits)
 
 
+def references(t: Traced) -> None:
+    edits = []
+    for m in _reference.finditer(t.text):
+        code = int(m[1]) if m[1] else int(m[2], 16)
+        if 0x20 <= code < 0x7F:
+            edits.append((m.start(), m.end(), chr(code)))
+    t.rewrite(edits)
+
+
+def marked_signs(t: Traced) -> None:
+    """Only before a domain that ends like one, so that words which happen to stand between dashes are left alone."""
+    edits = []
+    for m in _marked.finditer(t.text):
+        if m["end"].lower() in DOMAIN_ENDS:
+            edits.append((*m.span("at"), "@"))
+            edits += [(*d.span(), ".") for d in _marked_dot.finditer(t.text, *m.span("domain"))]
+    t.rewrite(edits)
+
+
+def address_dots(t: Traced) -> None:
+    edits = []
+    for m in _address.finditer(t.text):
+        for x in _address_part.finditer(t.text, *m.span()):
+            by = "." if x["dot"] else ""
+            if x[0] != by:
+                edits.append((*x.span(), by))
+    t.rewrite(edits)
+
+
+def digit_letters(t: Traced) -> None:
+    """Letters in what could be a number of ten digits and more of which most are digits already."""
+    edits = []
+    for m in _mixed.finditer(t.text):
+        letters = [i for i in range(*m.span()) if t.text[i] in DIGIT_LETTERS]
+        if letters and 2 * len(letters) < len(_digits.findall(m[0])):
+            edits += [(i, i + 1, DIGIT_LETTERS[t.text[i]]) for i in letters]
+    t.rewrite(edits)
+
+
+#: In this order, each with a pattern that is in every text it can change.
+_steps = [
+    (re.compile("&#"), references), (_any_look, look_alikes), (_any_word, spelled_digits), (_any_disguise, at_and_dot), (_any_mark, marked_signs),
+    (_any_address, address_dots), (_any_mixed, digit_letters),
+]
+
+
 def hidden(text: str, known: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """Spans of the source that only the rewritten text shows: none lies within a known one of its kind (it may reach beyond one). known is sorted."""
-    steps = [f for pattern, f in ((_any_look, look_alikes), (_any_word, spelled_digits), (_any_disguise, at_and_dot)) if pattern.search(text)]
+    steps = [f for pattern, f in _steps if pattern.search(text)]
     if not steps:
         return []
-    if steps[0] is look_alikes:  # may bring the others' words to light
-        steps = [look_alikes, spelled_digits, at_and_dot]
+    if steps[0] in (references, look_alikes):  # they may bring the others' words to light
+        steps = [f for _, f in _steps]
     t = Traced(text)
     for step in steps:
         step(t)
