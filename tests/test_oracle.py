@@ -19,7 +19,7 @@ def rows(cols, data, order):
 @pytest.mark.parametrize("name", sorted(catalog.queries()))
 def test_matches_sql(spark, name):
     con = duckdb.connect()
-    for t in "region nation customer supplier part orders lineitem events".split():
+    for t in "region nation customer supplier part orders lineitem events documents".split():
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     df = catalog.queries()[name](spark, SF)
     want = con.sql(catalog.oracle_sql()[name])

@@ -51,8 +51,8 @@ def _within(left: DataFrame, right: DataFrame, key: Column, before: str, after:
     return left.join(right, key & span)
 
 
-def order_wide(infos: DataFrame, details: DataFrame, bound: str = "5 SECONDS") -> DataFrame:
-    """Order lines with their orders, within bound of each other; et is the order's. Columns that neither has are null."""
+def order_wide(infos: DataFrame, details: DataFrame, bound: str = "5 SECONDS", keep: tuple[str, ...] = ()) -> DataFrame:
+    """Order lines with their orders, within bound of each other; et is the order's. Columns that neither has are null. keep: more columns of the orders."""
     d = details.select(
         F.col("id").alias("detail_id"), "order_id", "sku_id", "order_price", "sku_num", "sku_name", "split_total_amount", "split_activity_amount",
         "split_coupon_amount", F.col("et").alias("ret"),
@@ -60,7 +60,7 @@ def order_wide(infos: DataFrame, details: DataFrame, bound: str = "5 SECONDS") -
     met = _within(infos, d, F.col("id") == F.col("order_id"), bound, bound).drop("expire_time", "operate_time")
     money, text = F.lit(None).cast(schemas.MONEY), F.lit(None).cast("string")
     met = met.withColumns({"split_feight_fee": money, "expire_time": text, "operate_time": text})
-    return met.select(*[c for c in schemas.ORDER_WIDE if c in met.columns], "et")
+    return met.select(*[c for c in schemas.ORDER_WIDE if c in met.columns], "et", *keep)
 
 
 def payment_wide(payments_: DataFrame, wide: DataFrame, before: str = "15 MINUTES") -> DataFrame:

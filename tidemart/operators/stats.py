@@ -1,16 +1,16 @@
 """Statistics: facts of each kind, their unions, and tumbling windows over them.
 
-Facts carry their event time in et. On streams, call withWatermark on the union before the statistics. ts of a result is the least event time
-of its window in milliseconds.
+Facts carry their event time in et. On streams, call withWatermark on the union before the statistics. ts of a result is in milliseconds: the least
+event time of its window, or on demand the time of its computation.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemart import schemas
-from tidemart.functions.scalars import event_time, keywords, time_text
+from tidemart.functions.scalars import day_text, event_time, keywords, time_text
 from tidemart.operators.dims import dim_join
 from tidemart.operators.logs import displays
 from tidemart.operators.visits import is_entry
@@ -46,6 +46,25 @@ def visitor_facts(pages: DataFrame, visits: DataFrame, jumps: DataFrame) -> Data
     return both.na.fill(0, ["pv_ct", "sv_ct", "dur_sum", "uv_ct", "uj_ct"])
 
 
+def visitor_page_facts(pages: DataFrame, *tiebreak: str, within_ms: int = 10_000) -> DataFrame:
+    """What visitor_facts() makes of pages, their first visits and bounces, with all measures of a page in one row: for tables, on which one shuffle and
+    sort by visitor tells both. Pages without a visitor or a time are views only; those without a visitor are dealt to many tasks."""
+    mid, ts = F.col("common.mid"), F.col("ts")
+    known = mid.isNotNull() & ts.isNotNull()
+    rows = pages.withColumns({
+        "_mid": mid, "_deal": F.when(mid.isNull(), F.xxhash64(ts, *tiebreak)), "_entry": is_entry(F.col("page.last_page_id")), "_day": day_text(event_time(ts)),
+    })
+    w = Window.partitionBy("_mid", "_deal").orderBy("ts", *tiebreak)
+    before = F.last(F.when(F.col("_entry"), F.col("_day")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    follows, again = F.lead("ts").over(w), F.lead("_entry").over(w)
+    rows = rows.withColumns({
+        "_first": known & F.col("_entry") & ~F.col("_day").eqNullSafe(before), "_left": known & F.col("_entry") & (follows.isNull() | (follows - ts >= within_ms) | again),
+    })
+    one = lambda c: F.when(F.col(c), _n(1)).otherwise(_n(0))
+    measures = [_n(1).alias("pv_ct"), one("_entry").alias("sv_ct"), F.coalesce(F.col("page.during_time"), _n(0)).alias("dur_sum"), one("_first").alias("uv_ct"), one("_left").alias("uj_ct")]
+    return rows.select(*_visitor, event_time(ts).alias("et"), *measures)
+
+
 # Facts of products --------------------------------------------------------------------------------------------------
 
 
@@ -86,6 +105,31 @@ def comment_facts(comments: DataFrame) -> DataFrame:
     return comments.select("sku_id", "et", _n(1).alias("comment_ct"), good.alias("good_comment_ct"))
 
 
+def order_and_payment_facts(wide: DataFrame, paid_at: str, before: str = "15 MINUTES", amount_col: str = "split_total_amount") -> DataFrame:
+    """What order_facts() and payment_facts() make of order lines and of their orders' payments, in one pass: paid_at, a column of wide, holds the times
+    of the order's payments (array; null: none), of which those count that come up to before after the order."""
+    late = F.expr(f"INTERVAL {before}")
+    due = F.filter(F.coalesce(paid_at, F.array().cast("array<timestamp>")), lambda t: (t >= F.col("et")) & (t <= F.col("et") + late))
+    ordered = F.array(F.struct(F.lit(True).alias("ordered"), F.col("et").alias("et")))
+    both = F.concat(ordered, F.transform(due, lambda t: F.struct(F.lit(False).alias("ordered"), t.alias("et"))))
+    rows = wide.withColumn("_f", F.explode(both))
+    mine = lambda c, yes: F.when(F.col("_f.ordered") if yes else ~F.col("_f.ordered"), F.col(c))
+    return rows.select(
+        "sku_id", F.col("_f.et").alias("et"), mine("sku_num", True).alias("order_sku_num"), mine(amount_col, True).alias("order_amount"), mine("order_id", True).alias("_ordered"),
+        mine(amount_col, False).alias("payment_amount"), mine("order_id", False).alias("_paid"),
+    )
+
+
+def facts_of(rows: DataFrame, *facts: tuple[Column, Column, dict[str, Column]]) -> DataFrame:
+    """Facts of several kinds from one pass over rows (et): each is (condition, product ids: array<bigint>, {measure: value}). Where one table brings what
+    would else be topics of their own."""
+    names = list(dict.fromkeys(n for _, _, measures in facts for n in measures))
+    one = lambda m: lambda sku: F.struct(sku.alias("sku_id"), *[m.get(n, _n(0)).cast("long").alias(n) for n in names])
+    none = F.array().cast("array<struct<sku_id: bigint, " + ", ".join(f"{n}: bigint" for n in names) + ">>")
+    parts = [F.when(holds, F.transform(skus, one(m))).otherwise(none) for holds, skus, m in facts]
+    return rows.select("et", F.explode(F.concat(*parts)).alias("_f")).select("et", "_f.*")
+
+
 _counts = ["display_ct", "click_ct", "favor_ct", "cart_ct", "order_sku_num", "comment_ct", "good_comment_ct"]
 _amounts = ["order_amount", "payment_amount", "refund_amount"]
 _distinct = {"order_ct": "_ordered", "paid_order_ct": "_paid", "refund_order_ct": "_refunded"}
@@ -114,12 +158,15 @@ def _bounds() -> list[Column]:
     return [time_text(F.col("window.start")).alias("stt"), time_text(F.col("window.end")).alias("edt")]
 
 
-def _least_ts() -> Column:
-    return F.unix_millis(F.min("et").cast("timestamp")).alias("ts")
+def _ts(ts: str) -> Column:
+    """ts of a result: 'event', the least event time of its window (the same whenever it is computed), or 'computed', the time at which it is."""
+    if ts not in ("event", "computed"):
+        raise ValueError("ts is 'event' or 'computed'")
+    return (F.unix_millis(F.min("et").cast("timestamp")) if ts == "event" else F.max(F.unix_millis(F.current_timestamp()))).alias("ts")
 
 
-def with_distinct(facts: DataFrame, size: str, keys: list[str], ids: dict[str, str], sums: list[str]) -> DataFrame:
-    """window, keys, the sums of columns, {new: exact number of different values of an id column}, nulls apart, and the least event time as ts.
+def with_distinct(facts: DataFrame, size: str, keys: list[str], ids: dict[str, str], sums: list[str], ts: str = "event") -> DataFrame:
+    """window, keys, the sums of columns, {new: exact number of different values of an id column}, nulls apart, and ts.
 
     A row has one of the ids at most. Rows are first summed by (kind, id), then by keys: two aggregates one after the other, which on
     streams are two operators with a state row for each id, spread over all partitions, in place of one growing set in the state of a key.
@@ -130,18 +177,18 @@ def with_distinct(facts: DataFrame, size: str, keys: list[str], ids: dict[str, s
     added = [total(c, facts.schema[c].dataType) for c in sums]
     once = marked.groupBy(_window(size), *keys, "_kind", "_id").agg(*added, F.min("et").alias("et"))
     counts = [F.count(F.when(F.col("_kind") == n, F.lit(1))).alias(n) for n in ids]
-    return once.groupBy("window", *keys).agg(*added, *counts, _least_ts())
+    return once.groupBy("window", *keys).agg(*added, *counts, _ts(ts))
 
 
-def visitor_stats(facts: DataFrame, size: str = "10 seconds") -> DataFrame:
+def visitor_stats(facts: DataFrame, size: str = "10 seconds", ts: str = "event") -> DataFrame:
     measures = [F.sum(c).alias(c) for c in ("uv_ct", "pv_ct", "sv_ct", "uj_ct", "dur_sum")]
-    out = facts.groupBy(_window(size), "vc", "ch", "ar", "is_new").agg(*measures, _least_ts())
+    out = facts.groupBy(_window(size), "vc", "ch", "ar", "is_new").agg(*measures, _ts(ts))
     return out.select(*_bounds(), *schemas.VISITOR_STATS[2:])
 
 
-def product_stats(facts: DataFrame, dims: dict[str, DataFrame], size: str = "10 seconds", how: str = "left") -> DataFrame:
+def product_stats(facts: DataFrame, dims: dict[str, DataFrame], size: str = "10 seconds", how: str = "left", ts: str = "event") -> DataFrame:
     """Aggregates by product first, then joins the dimensions, which depend on the product alone. dims: sku, spu, trademark, category3."""
-    out = with_distinct(facts, size, ["sku_id"], _distinct, [*_counts, *_amounts])
+    out = with_distinct(facts, size, ["sku_id"], _distinct, [*_counts, *_amounts], ts)
     out = out.select(*_bounds(), *[c for c in out.columns if c != "window"])
     names = {"sku_name": "SKU_NAME", "sku_price": "PRICE", "spu_id": "SPU_ID", "tm_id": "TM_ID", "category3_id": "CATEGORY3_ID"}
     out = dim_join(out, dims["sku"], "sku_id", "ID", names, how)
@@ -152,10 +199,10 @@ def product_stats(facts: DataFrame, dims: dict[str, DataFrame], size: str = "10
     return out.withColumns(money).select(*schemas.PRODUCT_STATS)
 
 
-def province_stats(wide: DataFrame, amount_col: str = "split_total_amount", size: str = "10 seconds") -> DataFrame:
+def province_stats(wide: DataFrame, amount_col: str = "split_total_amount", size: str = "10 seconds", ts: str = "event") -> DataFrame:
     keys = schemas.PROVINCE_STATS[2:7]
     rows = wide.select("et", *keys, F.col(amount_col).cast(schemas.MONEY).alias("order_amount"), F.col("order_id").cast("long").alias("_ordered"))
-    out = with_distinct(rows, size, keys, {"order_count": "_ordered"}, ["order_amount"])
+    out = with_distinct(rows, size, keys, {"order_count": "_ordered"}, ["order_amount"], ts)
     return out.select(*_bounds(), *schemas.PROVINCE_STATS[2:])
 
 
@@ -172,6 +219,6 @@ def split_keywords(phrases: DataFrame) -> DataFrame:
     return phrases.select(F.explode(keywords(F.col("full_word"))).alias("keyword"), "et")
 
 
-def keyword_stats(words: DataFrame, size: str = "10 seconds", source: str = "search") -> DataFrame:
-    out = words.groupBy(_window(size), "keyword").agg(F.count(F.lit(1)).alias("ct"), _least_ts())
+def keyword_stats(words: DataFrame, size: str = "10 seconds", source: str = "search", ts: str = "event") -> DataFrame:
+    out = words.groupBy(_window(size), "keyword").agg(F.count(F.lit(1)).alias("ct"), _ts(ts))
     return out.select("keyword", "ct", F.lit(source).alias("source"), *_bounds(), "ts")

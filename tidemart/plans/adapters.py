@@ -23,8 +23,8 @@ class Tables:
         k = F.get_json_object("props", "$.k").cast("bigint")
         return self.events.withColumns({"k": k, "et": F.col("ts").cast("timestamp")}).withColumn("ms", F.unix_millis("et"))
 
-    def page_logs(self) -> DataFrame:
-        """common, page, start, displays, ts and event_id, a unique id of the record."""
+    def page_logs(self, *more: str) -> DataFrame:
+        """common, page, start, displays, ts and event_id, a unique id of the record; more: columns of event_rows()."""
         kind = F.col("event_type")
 
         def by_kind(**values: Column) -> Column:
@@ -51,7 +51,7 @@ class Tables:
         start = F.when(F.col("event_id") % 11 == 0, F.struct(F.lit("icon").alias("entry"), F.col("k").alias("loading_time")))
         return self.event_rows().select(
             common.alias("common"), page.alias("page"), start.alias("start"),
-            F.transform(F.sequence(F.lit(0), (F.col("k") % 3).cast("int")), show).alias("displays"), F.col("ms").alias("ts"), "event_id",
+            F.transform(F.sequence(F.lit(0), (F.col("k") % 3).cast("int")), show).alias("displays"), F.col("ms").alias("ts"), "event_id", *more,
         )
 
     def raw_logs(self) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidemart import schemas
 from tidemart.functions import order
 from tidemart.functions.scalars import age, day_text, event_time
-from tidemart.operators import cdc, dims, logs, orders, patterns, stats, visits
+from tidemart.operators import cdc, dims, logs, orders, patterns, stats, visits, words
 from tidemart.plans.adapters import Tables
 from tidemart.sources import handover
 
@@ -323,6 +323,24 @@ def click_display_facts(t: Tables) -> DataFrame:
 
 
 def _product_facts(t: Tables) -> DataFrame:
+    """The facts of product_facts_union in one pass over events and one over lines with their orders and payments."""
+    kind, sku = F.col("event_type"), F.array(F.col("event_id") % 200)
+    one = F.lit(1).cast("long")
+    shown = F.transform(F.filter("displays", lambda d: d["item_type"] == "sku_id"), lambda d: d["item"].try_cast("long"))
+    clicked = (F.col("page.page_id") == "good_detail") & (F.col("page.item_type") == "sku_id")
+    of_events = stats.facts_of(
+        t.page_logs("event_type", "k", "et"), (F.coalesce(clicked, F.lit(False)), F.array(F.col("page.item").try_cast("long")), {"click_ct": one}), (F.col("displays").isNotNull(), shown, {"display_ct": one}),
+        (kind == "signup", sku, {"favor_ct": one}), (kind == "purchase", sku, {"cart_ct": F.col("k") % 5 + 1}),
+        (kind == "error", sku, {"comment_ct": one, "good_comment_ct": F.when(F.col("k") % 3 == 0, one).otherwise(0)}),
+    )
+    paid = t.payments().groupBy("order_id").agg(F.collect_list("et").alias("_paid_at"))  # an order's payments
+    infos = t.order_infos().join(paid, F.col("id") == F.col("order_id"), "left").drop("order_id")
+    wide = orders.order_wide(infos, t.order_details(), LINE_BOUND, keep=("_paid_at",))
+    return stats.product_facts(of_events, stats.order_and_payment_facts(wide, "_paid_at"), stats.refund_facts(t.refunds()))
+
+
+def _product_topics(t: Tables) -> DataFrame:
+    """The same facts as the union of eight kinds, each from a table of its own."""
     pages, wide = t.page_logs(), _wide(t)
     return stats.product_facts(
         stats.click_facts(pages), stats.display_facts(pages), stats.favor_facts(t.favors()), stats.cart_facts(t.carts()), stats.comment_facts(t.comments()),
@@ -333,11 +351,24 @@ def _product_facts(t: Tables) -> DataFrame:
 @query(f"WITH {_FACTS} SELECT {_SUMS}, {_AMOUNTS}, count(*) AS n FROM f")
 def product_facts_union(t: Tables) -> DataFrame:
     """Control sums of the union of all product facts."""
-    f = _product_facts(t)
+    f = _product_topics(t)
     counts = [F.sum(c).alias(c) for c in ("display_ct", "click_ct", "favor_ct", "cart_ct", "order_sku_num", "comment_ct", "good_comment_ct")]
     return f.agg(*counts, *[F.sum(c).cast("double").alias(c) for c in ("order_amount", "payment_amount", "refund_amount")], F.count(F.lit(1)).alias("n"))
 
 
+_ROWS = ", ".join(f"CAST({c} AS BIGINT) AS {c}" for c in ("display_ct", "click_ct", "favor_ct", "cart_ct", "order_sku_num", "comment_ct", "good_comment_ct"))
+_WORTH = ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in ("order_amount", "payment_amount", "refund_amount"))
+
+
+@query(f"WITH {_FACTS} SELECT sku_id, epoch_us(et) // 1000 AS ms, {_ROWS}, {_WORTH}, CAST(ordered AS BIGINT) AS ordered, CAST(paid_id AS BIGINT) AS paid, CAST(refunded AS BIGINT) AS refunded FROM f")
+def product_facts_rows(t: Tables) -> DataFrame:
+    """The union of all product facts, row by row."""
+    f = _product_topics(t)
+    ids = [F.col(c).alias(c[1:]) for c in ("_ordered", "_paid", "_refunded")]
+    counts = ("display_ct", "click_ct", "favor_ct", "cart_ct", "order_sku_num", "comment_ct", "good_comment_ct")
+    return f.select("sku_id", F.unix_millis("et").alias("ms"), *counts, *[F.col(c).cast("double").alias(c) for c in ("order_amount", "payment_amount", "refund_amount")], *ids)
+
+
 @query(
     f"""WITH {_FACTS}, s AS (SELECT {_bounds('et', 86400)}, sku_id, {_SUMS}, {_AMOUNTS}, count(DISTINCT ordered) AS order_ct, count(DISTINCT paid_id) AS paid_order_ct,
       count(DISTINCT refunded) AS refund_order_ct, min(epoch_us(et) // 1000) AS ts FROM f GROUP BY ALL)
@@ -370,9 +401,7 @@ def visitor_facts_union(t: Tables) -> DataFrame:
     CAST(sum(sv) AS BIGINT) AS sv_ct, CAST(sum(uj) AS BIGINT) AS uj_ct, CAST(sum(dur) AS BIGINT) AS dur_sum, min(ts) AS ts FROM f GROUP BY ALL"""
 )
 def visitor_stats(t: Tables) -> DataFrame:
-    pages = t.page_logs()
-    facts = stats.visitor_facts(pages, visits.unique_visits(pages, "event_id"), visits.user_jumps(pages, "event_id", within_ms=JUMP_MS))
-    return stats.visitor_stats(facts, HOUR)
+    return stats.visitor_stats(stats.visitor_page_facts(t.page_logs(), "event_id", within_ms=JUMP_MS), HOUR)
 
 
 @query(
@@ -396,3 +425,38 @@ def keyword_split(t: Tables) -> DataFrame:
 @query(f"WITH {_PAGES} SELECT keyword, count(*) AS ct, 'search' AS source, {_bounds('et', 3600)}, min(epoch_us(et) // 1000) AS ts FROM ({_WORDS}) GROUP BY ALL")
 def keyword_stats(t: Tables) -> DataFrame:
     return stats.keyword_stats(stats.split_keywords(stats.searched(t.page_logs())), HOUR)
+
+
+# Documents have neither clock nor phrases of searching: one a second, from the events' first day on.
+_TEXTS = "SELECT lower(text) AS t, to_timestamp(1704067200 + doc_id) AT TIME ZONE 'UTC' AS et FROM documents"
+
+
+@query(f"""WITH w AS (SELECT unnest(regexp_extract_all(t, '[a-z0-9]+')) AS keyword, et FROM ({_TEXTS}))
+    SELECT keyword, count(*) AS ct, 'documents' AS source, {_bounds('et', 3600)}, min(epoch_us(et) // 1000) AS ts FROM w GROUP BY ALL""")
+def keyword_documents(t: Tables) -> DataFrame:
+    """Keywords of whole texts, long ones among them."""
+    phrases = t.documents.select(F.col("text").alias("full_word"), F.timestamp_seconds(F.lit(1704067200) + F.col("doc_id")).alias("et"))
+    return stats.keyword_stats(stats.split_keywords(phrases), HOUR, source="documents")
+
+
+_HAN, _LATIN = "红色小大部件金木水火土山川日月天人中国新老高", "abcdefghijklmnopqrstuv"
+
+
+@query(
+    f"""WITH d AS (SELECT DISTINCT translate(lower(substr(p_name, s, l)), '{_LATIN}', '{_HAN}') AS word FROM part, (VALUES (1), (3), (5)) AS a(s), (VALUES (2), (3)) AS b(l) WHERE p_partkey % 2 = 0 AND length(p_name) >= s + l - 1),
+    c AS (SELECT word FROM d WHERE length(regexp_replace(word, '[^{_HAN}]', '', 'g')) = length(word)),
+    p AS (SELECT p_partkey, translate(lower(p_name), '{_LATIN}', '{_HAN}') || ' ' || lower(p_brand) AS t FROM part),
+    k AS (SELECT p_partkey, t, unnest(range(1, length(t) + 1)) AS i FROM p),
+    x AS (SELECT p_partkey, i AS at, substr(t, i, l) AS keyword FROM k, (VALUES (2), (3)) AS b(l) WHERE i + l - 1 <= length(t) AND substr(t, i, l) IN (SELECT word FROM c)),
+    y AS (SELECT p_partkey, i AS at, substr(t, i, 1) AS keyword FROM k WHERE contains('{_HAN}', substr(t, i, 1))
+      AND NOT EXISTS (SELECT 1 FROM x WHERE x.p_partkey = k.p_partkey AND x.at <= k.i AND x.at + length(x.keyword) > k.i)),
+    z AS (SELECT p_partkey, unnest(regexp_extract_all(t, '[a-z0-9]+')) AS keyword FROM p)
+    SELECT keyword, count(*) AS ct FROM (SELECT p_partkey, keyword FROM x UNION ALL SELECT p_partkey, keyword FROM y UNION ALL SELECT p_partkey, keyword FROM z) GROUP BY keyword"""
+)
+def keyword_words(t: Tables) -> DataFrame:
+    """Names of products with letters as Han characters, cut by a dictionary of parts of other names."""
+    text = lambda c: F.translate(F.lower(c), _LATIN, _HAN)
+    pieces = F.array(*[F.when(F.length("p_name") >= s + n - 1, F.substring("p_name", s, n)) for s in (1, 3, 5) for n in (2, 3)])
+    dictionary = t.part.where("p_partkey % 2 = 0").select(F.explode(pieces).alias("word")).select(text("word").alias("word")).where(F.col("word").rlike(f"^[{_HAN}]+$"))
+    phrases = t.part.select("p_partkey", F.concat(text("p_name"), F.lit(" "), F.lower("p_brand")).alias("full_word"))
+    return words.segmented(phrases, dictionary).groupBy("keyword").agg(F.count(F.lit(1)).alias("ct"))

@@ -18,7 +18,7 @@ from tidemart import schemas
 from tidemart.functions.scalars import blank, day_text, event_time
 from tidemart.operators import cdc, logs, orders, stats
 from tidemart.sources.sinks import Batch
-from tidemart.streaming import processors
+from tidemart.streaming import joins, processors
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -87,6 +87,36 @@ def order_wide(infos: DataFrame, details: DataFrame, dims: dict[str, DataFrame]
     return orders.with_all_dims(wide, dims, F.current_date()) if dims else wide
 
 
+def order_wide_enriched(infos: DataFrame, details: DataFrame, dims: Callable[[SparkSession], dict[str, DataFrame]], sink: Batch, how: str = "left", **wide: str) -> tuple[DataFrame, Batch]:
+    """Wide rows, and the sink that joins them with the six dimensions as they are when a batch begins and gives them to sink; dims reads them anew
+    (say, with sinks.dim_snapshot), so a customer's change is seen from the next batch on. An age is as of the batch's day.
+    streaming/joins.py as_of has the value of a row's own time instead."""
+    rows = order_wide(infos, details, **wide)
+
+    def enrich(df: DataFrame, batch_id: int) -> None:
+        sink(orders.with_all_dims(df, dims(df.sparkSession), F.current_date(), how), batch_id)
+
+    return rows, enrich
+
+
+def base_db_late(raw: DataFrame, config: DataFrame, facts: Batch, dims: Batch, audit: Batch, patience_ms: int = 600_000) -> tuple[DataFrame, Batch]:
+    """Like base_db, with the routing table's changes as a stream: a change that comes before its routing row waits for it; audit gets those whose row
+    didn't come in patience_ms."""
+    rows = joins.routed_late(cdc.without_deletes(raw), config, patience_ms)
+
+    def route(df: DataFrame, batch_id: int) -> None:
+        kept = df.persist()
+        try:
+            found = kept.where(F.col("outcome") == joins.ROUTED).drop("outcome")
+            facts(cdc.facts(found), batch_id)
+            dims(cdc.dimensions(found), batch_id)
+            audit(kept.where(F.col("outcome") == joins.EXPIRED), batch_id)
+        finally:
+            kept.unpersist()
+
+    return rows, route
+
+
 def payment_wide(payments: DataFrame, wide: DataFrame, delay: str = "1 second", before: str = "15 MINUTES") -> DataFrame:
     """payments: raw topic; wide: order_wide's rows, or a topic of them read by wide_topic()."""
     return orders.payment_wide(marked(orders.payments(payments), delay), marked(wide, delay), before)

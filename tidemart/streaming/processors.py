@@ -7,11 +7,14 @@ rows that are not late; rows of one micro-batch may come in any order and are pu
 from __future__ import annotations
 
 from collections.abc import Iterator
+from decimal import Decimal
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from tidemart.functions.scalars import time_text
 from tidemart.operators.patterns import Pattern
 
 DAY_MS = 86_400_000
@@ -112,6 +115,56 @@ def _found(rows: list[tuple]) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["mid", "ts", "value", "outcome", "met"]).astype({"mid": "str", "ts": "int64", "value": "str", "outcome": "str", "met": "int32"})
 
 
+class ClockSums(StatefulProcessor):
+    """Sums of measures in tumbling windows of the clock: a row belongs to the window in which it is processed, and a window's sums come out when the
+    clock has passed its end, whether more rows come or not."""
+
+    def __init__(self, keys: list[str], measures: list[str], size_ms: int) -> None:
+        self.keys, self.measures, self.size_ms = keys, measures, size_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.sums = handle.getMapState("sums", "start long", "sums array<decimal(38,6)>")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        now = timerValues.getCurrentProcessingTimeInMs()
+        start = now - now % self.size_ms
+        known = self.sums.containsKey((start,))
+        total = list(self.sums.getValue((start,))[0]) if known else [Decimal(0)] * len(self.measures)
+        for part in rows:
+            for i, m in enumerate(self.measures):
+                total[i] += sum((x for x in part[m] if x is not None), Decimal(0))
+        self.sums.updateValue((start,), (total,))
+        if not known:
+            self.handle.registerTimer(start + self.size_ms)
+        yield self._closed([])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        now = timerValues.getCurrentProcessingTimeInMs()
+        over = sorted((k[0], list(v[0])) for k, v in self.sums.iterator() if k[0] + self.size_ms <= now)
+        for start, _ in over:
+            self.sums.removeKey((start,))
+        yield self._closed([(*key, start, start + self.size_ms, now, *total) for start, total in over])
+
+    def _closed(self, rows: list[tuple]) -> pd.DataFrame:
+        out = pd.DataFrame(rows, columns=[*self.keys, "start", "end", "ts", *self.measures], dtype=object)
+        return out.astype(dict.fromkeys(("start", "end", "ts"), "int64"))
+
+    def close(self) -> None:
+        pass
+
+
+def clock_sums(rows: DataFrame, keys: list[str], measures: list[str], size_ms: int = 10_000) -> DataFrame:
+    """rows (keys as text, numbers to be summed): stt, edt (texts), keys, ts (milliseconds at which the window was closed) and the sums, of the type that
+    sums of measures have. For measures without an event time, or whose time doesn't matter; such a query never comes to an end by itself."""
+    texts = [F.col(k).cast("string").alias(k) for k in keys]
+    numbers = rows.select(*texts, *[F.col(m).cast("decimal(38,6)").alias(m) for m in measures])
+    schema = ", ".join([f"{k} string" for k in keys] + ["start long", "end long", "ts long"] + [f"{m} decimal(38,6)" for m in measures])
+    out = numbers.groupBy(*keys).transformWithStateInPandas(ClockSums(keys, measures, size_ms), schema, "append", "processingTime")
+    bounds = [time_text(F.timestamp_millis(c)).alias(n) for c, n in (("start", "stt"), ("end", "edt"))]
+    return out.select(*bounds, *keys, "ts", *[F.col(m).cast(rows.schema[m].dataType).alias(m) for m in measures])
+
+
 def repaired_is_new(rows: DataFrame) -> DataFrame:
     """rows (mid, ts, is_new, value), with the flag as it was in was."""
     return rows.groupBy("mid").transformWithStateInPandas(RepairIsNew(), "mid string, ts long, was string, is_new string, value string", "append", "none")
