@@ -115,3 +115,19 @@ def test_frequent_words_of_a_flat_top(spark):
         assert len(got) >= min(most, 5011) - 20
     few = spark.createDataFrame([(i, -1, 5) for i in range(6)], "word long, form long, c long")
     assert 2 <= lm.frequent(few, 3).count() <= 3
+
+
+def test_many_languages(spark):
+    """Two hundred languages: each of its own syllables. The driver holds landmarks and sums of their size alone."""
+    from tidemart.llm import langid
+
+    rng = random.Random(12)
+    rows = []
+    for k in range(200):
+        own = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyzäöüéèñ", k=rng.randrange(2, 5))) for _ in range(30)]
+        rows += [(1000 * k + i, " ".join(rng.choices(own, k=25)), f"l{k}") for i in range(12)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(df.where("doc_id % 1000 < 9"))
+    assert len(model.languages) == 200 and model.weights.shape == (len(model.codes), 200)
+    got = langid.predicted(df.where("doc_id % 1000 >= 9"), model).collect()
+    assert sum(r.lang == r.lang_pred for r in got) >= 0.98 * len(got) == 588

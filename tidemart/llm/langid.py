@@ -7,8 +7,9 @@ the inverse root of their own kernel matrix, and kernel ridge regression is fitt
 landmarks matter for those values, so the universe is theirs.
 
 Fitting uses a bounded sample: about ``per_language`` documents of each language, chosen by a hash of the id, of which the
-first ``landmarks`` of each are landmarks. Everything is scored. The product of landmark features and weights is taken once,
-so scoring a batch is one matrix product of its presence matrix.
+first ``landmarks`` of each are landmarks. The driver gets those alone; tasks map the sample and add up the normal equations, whose
+size is that of the landmarks. Everything is scored. The product of landmark features and weights is taken once, so scoring a batch
+is one matrix product of its presence matrix.
 """
 
 from __future__ import annotations
@@ -19,17 +20,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemart.llm import scratch
 from tidemart.llm.arrow_text import blocks, sliced, utf8
 from tidemart.llm.tables import table
 
 #: Documents of each language that the model is fitted on, and how many of them are landmarks.
 PER_LANGUAGE, LANDMARKS = 600, 64
 #: What both come to at most over all languages: with many of them each has fewer. As many languages as landmarks can be told apart.
-SAMPLE, ALL_LANDMARKS = 60_000, 4096
+SAMPLE, ALL_LANDMARKS = 60_000, 2048
 UNKNOWN = "und"
 _letter = re.compile(r"[^\W\d_]")
 
@@ -114,6 +117,85 @@ def training_rows(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFram
     return rows.mapInArrow(grams, "lang string, mark long, codes array<int>")
 
 
+class Landmarks:
+    """The landmarks' n-grams: which landmarks have each."""
+
+    def __init__(self, rows: list[np.ndarray]) -> None:
+        """rows: each landmark's different codes, sorted."""
+        every = np.concatenate([np.zeros(0, np.int64), *rows]).astype(np.int64)
+        self.codes, feature = np.unique(every, return_inverse=True)
+        owner = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r) for r in rows])
+        order = np.argsort(feature, kind="stable")
+        self.owner = owner[order]
+        self.begin = np.concatenate([[0], np.cumsum(np.bincount(feature, minlength=len(self.codes)))])
+        self.norm = 1 / np.sqrt(np.maximum([len(r) for r in rows], 1))
+
+    def kernel(self, rows: list[np.ndarray]) -> np.ndarray:
+        """rows x landmarks: the kernel's values."""
+        out = np.zeros((len(rows), len(self.norm)))
+        for i, own in enumerate(rows):
+            if len(self.codes) and len(own):
+                at = np.minimum(np.searchsorted(self.codes, own), len(self.codes) - 1)
+                at = at[self.codes[at] == own]
+                n = self.begin[at + 1] - self.begin[at]
+                place = np.arange(n.sum()) + np.repeat(self.begin[at] - np.cumsum(n) + n, n)
+                out[i] = np.bincount(self.owner[place], minlength=len(self.norm)) * self.norm / np.sqrt(len(own))
+        return out
+
+    def weights(self, a: np.ndarray) -> np.ndarray:
+        """n-grams x languages, of a: landmarks x languages. A part of the n-grams at a time."""
+        out = np.zeros((len(self.codes), a.shape[1]), np.float32)
+        scaled = a * self.norm[:, None]
+        for u in range(0, len(self.codes), 4096):
+            e = min(u + 4096, len(self.codes))
+            first = self.begin[u:e]
+            out[u:e] = np.add.reduceat(scaled[self.owner[first[0] : self.begin[e]]], first - first[0])
+        return out
+
+
+_PART = 1 << 14
+
+
+def _normal_equations(rows: DataFrame, known: Landmarks, root: np.ndarray, counts: dict[str, int]) -> np.ndarray:
+    """dimensions x (dimensions + languages): the weighted sums of phi phi' and phi y' over rows (lang, codes), phi being a row's kernel values
+    times root. Each task sends its sums in parts, which are added in the order of the tasks."""
+    spark = rows.sparkSession
+    d, languages = root.shape[1], sorted(counts)
+    place = {x: i for i, x in enumerate(languages)}
+    shared = spark.sparkContext.broadcast((known, root))  # the landmarks' n-grams, landmarks squared
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, root = shared.value
+        total = np.zeros((d, d + len(languages)))
+        for b in batches:
+            for s in range(0, b.num_rows, 256):
+                part = b.slice(s, 256)
+                phi = known.kernel([x.values.to_numpy() for x in part.column(1)]) @ root
+                mine = part.column(0).to_pylist()
+                light = phi / np.array([counts[x] for x in mine])[:, None]  # languages weigh alike
+                total[:, :d] += light.T @ phi
+                np.add.at(total.T, [d + place[x] for x in mine], light)
+        flat = total.ravel()
+        begins = range(0, len(flat), _PART)
+        cols = [pa.array(begins, pa.int64()), pa.array([TaskContext.get().partitionId()] * len(begins), pa.int64()), pa.array([flat[i : i + _PART] for i in begins], pa.list_(pa.float64()))]
+        yield pa.RecordBatch.from_arrays(cols, names=["begin", "task", "v"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list] = {}
+        for b in batches:
+            for begin, task, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+                held.setdefault(begin, []).append((task, v.values.to_numpy()))
+        for begin, parts in held.items():
+            total = np.sum([v for _, v in sorted(parts, key=lambda p: p[0])], axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array([begin], pa.int64()), pa.array([0], pa.int64()), pa.array([total], pa.list_(pa.float64()))], names=["begin", "task", "v"])
+
+    schema = "begin long, task long, v array<double>"
+    out = np.zeros(d * (d + len(languages)))
+    for r in rows.select("lang", "codes").mapInArrow(sums, schema).repartition("begin").mapInArrow(add, schema).toLocalIterator():
+        out[r.begin : r.begin + len(r.v)] = r.v
+    return out.reshape(d, d + len(languages))
+
+
 def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, landmarks: int = LANDMARKS, ridge: float = 0.001) -> Model | None:
     """docs: doc_id, text, lang. None if no row has both text and lang. Raises if there are more languages than ALL_LANDMARKS."""
     named = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col("lang").cast("string").alias("lang"), "doc_id", "text")
@@ -123,27 +205,20 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, landmarks: int = LAND
     if n_languages > ALL_LANDMARKS:
         raise ValueError(f"more than {ALL_LANDMARKS} languages")
     per_language, landmarks = max(1, min(per_language, SAMPLE // n_languages)), max(1, min(landmarks, ALL_LANDMARKS // n_languages))
-    rows = training_rows(named, per_language).toPandas()  # bounded by SAMPLE
-    rows = rows.sort_values(["mark", "lang"], ignore_index=True)
-    languages = sorted(rows["lang"].unique())
-    chosen = rows.groupby("lang").cumcount().to_numpy() < landmarks
-    codes = np.unique(np.concatenate([np.zeros(0, np.int64), *rows["codes"][chosen]])).astype(np.int64)
-    if not len(codes):
-        codes = np.array([32])
-    x = np.zeros((len(rows), len(codes)), np.float32)
-    for i, own in enumerate(rows["codes"]):
-        at = np.minimum(np.searchsorted(codes, own), len(codes) - 1)
-        x[i, at[codes[at] == own]] = 1 / np.sqrt(max(len(own), 1))
-    z = x[chosen]
-    values, vectors = np.linalg.eigh((z @ z.T).astype(np.float64))
-    keep = values > 1e-6 * max(values.max(), 1e-12)
-    root = vectors[:, keep] / np.sqrt(values[keep])  # inverse root of the landmarks' kernel matrix
-    phi = (x @ z.T).astype(np.float64) @ root
-    y = (rows["lang"].to_numpy()[:, None] == np.array(languages)[None, :]).astype(np.float64)
-    balance = 1 / y.sum(0)[y.argmax(1)]  # languages weigh alike
-    gram = (phi * balance[:, None]).T @ phi + ridge * np.eye(phi.shape[1])
-    w = np.linalg.solve(gram, (phi * balance[:, None]).T @ y)
-    return Model(codes, (z.T @ (root @ w)).astype(np.float32), languages)
+    with scratch.scope(docs.sparkSession):
+        rows = scratch.written(training_rows(named, per_language), "sample")  # bounded by SAMPLE rows of different n-grams
+        counts = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}
+        first = rows.withColumn("_n", F.row_number().over(Window.partitionBy("lang").orderBy("mark"))).where(F.col("_n") <= landmarks)
+        chosen = first.select("mark", "lang", "codes").toPandas().sort_values(["mark", "lang"])  # ALL_LANDMARKS at most
+        known = Landmarks([np.asarray(c, np.int64) for c in chosen["codes"]])
+        values, vectors = np.linalg.eigh(known.kernel([np.asarray(c, np.int64) for c in chosen["codes"]]))
+        keep = values > 1e-6 * max(values.max(), 1e-12)
+        root = vectors[:, keep] / np.sqrt(values[keep])  # inverse root of the landmarks' kernel matrix
+        d = root.shape[1]
+        sums = _normal_equations(rows, known, root, counts)
+    w = np.linalg.solve(sums[:, :d] + ridge * np.eye(d), sums[:, d:])
+    codes, weights = known.codes, known.weights(root @ w)
+    return Model(codes if len(codes) else np.array([32]), weights if len(codes) else np.zeros((1, len(counts)), np.float32), sorted(counts))
 
 
 def predicted(docs: DataFrame, model: Model | None) -> DataFrame:
