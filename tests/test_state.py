@@ -217,3 +217,72 @@ def test_an_update_between_two_facts_is_seen_by_the_second(spark, tmp_path):
     v = timed(stream(spark, tmp_path, "versions", VERSION)).withColumn("seq", order.numbered(F.col("pos")))
     out = joins.as_of(timed(stream(spark, tmp_path, "facts", FACT)), v, "k", "k", {"name": "name"}, snapshot)
     assert {r.n: r.name for r in once(out, tmp_path) if r.n > 0} == {1: "old", 2: "new", 3: None}
+
+
+# Jobs -----------------------------------------------------------------------------------------------------------------------
+
+
+def test_orders_are_enriched_with_dimensions_as_they_are_when_a_batch_begins(spark, tmp_path):
+    from tidemart.operators import cdc
+
+    at = lambda s: time.strftime("%Y-%m-%d %H:%M:%S", time.gmtime(BASE // 1000 + s))
+    for i in range(3):
+        put(tmp_path / "infos", str(i), [{"id": i, "province_id": 1, "user_id": 7, "create_time": at(100 * i)}], i)
+        put(tmp_path / "lines", str(i), [{"id": 10 + i, "order_id": i, "sku_id": 5, "sku_num": 1, "create_time": at(100 * i)}], i)
+    sink = sinks.dim_sink(str(tmp_path / "dims"))
+    config = spark.createDataFrame([("province", k, "hbase", "dim_province", "id,name", None, None) for k in ("insert", "update")], schemas.ROUTING)
+
+    def rename(name, pos):
+        rows = spark.createDataFrame([("shop", "province", "update", {}, {"id": "1", "name": name}, (0, "", pos, 0))], f"{schemas.CHANGE}, seq {order.SEQ}")
+        sink(cdc.dimensions(cdc.routed(rows, config)), pos)
+
+    def dims_now(s):
+        province = sinks.dim_snapshot(s, str(tmp_path / "dims"), "dim_province", "id,name").select(F.col("id").alias("ID"), F.col("name").alias("NAME"))
+        none = lambda *cols: s.createDataFrame([], ", ".join(f"{c} string" for c in cols))
+        return {
+            "user": none("ID", "BIRTHDAY", "GENDER"), "province": province.withColumns({c: F.lit("x") for c in ("AREA_CODE", "ISO_CODE", "ISO_3166_2")}), "sku": none("ID", "SKU_NAME", "CATEGORY3_ID", "SPU_ID", "TM_ID"),
+            "spu": none("ID", "SPU_NAME"), "trademark": none("ID", "TM_NAME"), "category3": none("ID", "NAME"),
+        }
+
+    rename("old", 0)
+    seen = []
+
+    def write(df, batch_id):
+        sinks.table_sink(str(tmp_path / "out"))(df, batch_id)
+        seen.append(batch_id)
+        rename(f"after {batch_id}", batch_id + 1)  # between this batch and the next
+
+    read = lambda t: topics.topic_source(spark, t, kind="files", root=str(tmp_path), maxFilesPerTrigger="1")
+    rows, enrich = jobs.order_wide_enriched(read("infos"), read("lines"), dims_now, write, delay="1 hour")
+    assert jobs.Job(rows, enrich, str(tmp_path / "checkpoint")).start(once=True).awaitTermination(120)
+    got = sorted((r.order_id, r.province_name) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    assert [o for o, _ in got] == [0, 1, 2] and got[0][1] == "old" and got[1][1] == "after 0" and got[2][1] == "after 1"
+
+
+def test_late_routing_job_reaches_facts_dimensions_and_audit(spark, tmp_path):
+    put(tmp_path / "changes", "0", [change("users", "insert", 1, id="1", name="n"), change("lost", "insert", 2, id="2"), change("users", "delete", 3, id="1")])
+    put(tmp_path / "config", "0", [route("users", "insert", "id,name", 1)])
+    read = lambda t: topics.change_source(topics.topic_source(spark, t, kind="files", root=str(tmp_path)))
+    facts, dims_, audit = sinks.routed_sink(root=str(tmp_path / "facts")), sinks.dim_sink(str(tmp_path / "dims")), sinks.table_sink(str(tmp_path / "audit"))
+    rows, to = jobs.base_db_late(read("changes"), read("config"), facts, dims_, audit, patience_ms=2000)
+    q = jobs.Job(rows, to, str(tmp_path / "checkpoint")).start(every="1 seconds")
+    try:
+        for _ in range(60):
+            time.sleep(1)
+            try:
+                lost = spark.read.parquet(str(tmp_path / "audit")).collect()
+            except Exception:  # noqa: BLE001 nothing is written yet
+                lost = []
+            if lost:
+                break
+    finally:
+        q.stop()
+    assert [(r.tableName, r.after) for r in lost] == [("lost", {"id": "2"})]
+    assert [tuple(r) for r in sinks.dim_snapshot(spark, str(tmp_path / "dims"), "dim_users", "id,name").collect()] == [("1", "n")]
+
+
+def test_routing_key(spark):
+    from tidemart.functions.scalars import routing_key
+
+    rows = spark.createDataFrame([("t", "insert"), (None, "x")], "a string, b string").select(routing_key(F.col("a"), F.col("b")).alias("k")).collect()
+    assert [r.k for r in rows] == ["t:insert", "x"]
