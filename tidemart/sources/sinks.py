@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemart.functions import order
-from tidemart.operators.dims import as_table, folded
+from tidemart.operators.dims import as_table, folded, fresh
 
 Batch = Callable[[DataFrame, int], None]
 
@@ -80,21 +80,28 @@ def fan_out(*sinks: tuple[Callable[[DataFrame], DataFrame], Batch]) -> Batch:
     return write
 
 
+_SEEN = "last timestamp, on_time bigint, late bigint, batch string"
+
+
 def late_split(root: str, delay: str, on_time: Batch, late: Batch) -> Batch:
     """Rows (et) by whether they come before the watermark of the batches before, as a stateful step after it would see them: those not later than it
-    are late. Rows without et are late. What each batch has seen is kept below root, also its counts of both, so a replayed batch is split alike."""
+    are late. Rows without et are late. What was seen up to each batch is kept below root, with its counts of both, so a replayed batch is split alike."""
 
     def write(df: DataFrame, batch_id: int) -> None:
         spark = df.sparkSession
-        seen = _read(spark, f"{root}/seen", "last timestamp, on_time bigint, late bigint, batch string")
-        before = seen.where(F.col("batch") < f"{batch_id:012d}").agg(F.max("last").alias("last"))
-        mark = before.select((F.col("last") - F.expr(f"INTERVAL {delay}")).alias("mark")).first()["mark"]
+        seen = _read(spark, f"{root}/seen", _SEEN)
+        before = seen.where(F.col("batch") == f"{batch_id - 1:012d}")  # one folder is read: it knows all before it
+        if before.isEmpty():
+            before = seen.where(F.col("batch") < f"{batch_id:012d}")
+        last, mark = before.agg(F.max("last").alias("last")).select("last", (F.col("last") - F.expr(f"INTERVAL {delay}")).alias("mark")).first()
         fits = F.col("et").isNotNull() if mark is None else F.coalesce(F.col("et").cast("timestamp") > F.lit(mark), F.lit(False))
-        kept = df.withColumn("_fits", fits).persist()
+        flag = fresh("_fits", set(df.columns))
+        kept = df.withColumn(flag, fits).persist()
         try:
-            on_time(kept.where("_fits").drop("_fits"), batch_id)
-            late(kept.where("NOT _fits").drop("_fits"), batch_id)
-            counts = kept.agg(F.max(F.col("et").cast("timestamp")).alias("last"), F.count(F.when(F.col("_fits"), 1)).alias("on_time"), F.count(F.when(~F.col("_fits"), 1)).alias("late"))
+            on_time(kept.where(F.col(flag)).drop(flag), batch_id)
+            late(kept.where(~F.col(flag)).drop(flag), batch_id)
+            newest = F.greatest(F.max(F.col("et").cast("timestamp")), F.lit(last).cast("timestamp"))
+            counts = kept.agg(newest.alias("last"), F.count(F.when(F.col(flag), 1)).alias("on_time"), F.count(F.when(~F.col(flag), 1)).alias("late"))
             counts.write.mode("overwrite").parquet(_place(f"{root}/seen", batch_id))
         finally:
             kept.unpersist()
@@ -104,7 +111,7 @@ def late_split(root: str, delay: str, on_time: Batch, late: Batch) -> Batch:
 
 def late_counts(spark: SparkSession, root: str) -> DataFrame:
     """batch, on_time, late of a late_split()."""
-    return _read(spark, f"{root}/seen", "last timestamp, on_time bigint, late bigint, batch string").select(F.col("batch").cast("bigint").alias("batch"), "on_time", "late")
+    return _read(spark, f"{root}/seen", _SEEN).select(F.col("batch").cast("bigint").alias("batch"), "on_time", "late")
 
 
 # Dimension tables -----------------------------------------------------------------------------------------------------
