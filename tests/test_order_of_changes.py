@@ -166,3 +166,47 @@ def test_the_log_is_a_stream_after_the_load(spark, tmp_path):
     rows = handover.since(stream, handover.marks(spark, place), chunks, "id", (0, "", 2, 0)).select("id", F.col("seq.pos").alias("n"))
     assert jobs.Job(rows, sinks.table_sink(str(tmp_path / "out")), str(tmp_path / "checkpoint")).start(once=True).awaitTermination(100)
     assert sorted((r.id, r.n) for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [("2", 15), ("3", 21), ("4", 31), ("5", 3), ("x", 40)]
+
+
+def test_load_of_a_database_table(spark, tmp_path):
+    """The table and its log are in a database, which changes between any two looks at it; chunks are read by JDBC."""
+    from tidemart.sources import jdbc
+
+    spark.sparkContext._jvm.java.lang.System.setProperty("derby.stream.error.file", "/dev/null")
+    url, rng, held, n = "jdbc:derby:memory:handover;create=true", random.Random(3), {}, [0]
+
+    def change(times):
+        with jdbc.transaction(spark, url) as c:
+            for _ in range(times):
+                k, name = rng.randrange(60), f"n{n[0]}"
+                kind = "delete" if k in held and rng.random() < 0.3 else "update" if k in held else "insert"
+                sql = {"delete": "DELETE FROM users WHERE id = ?", "update": "UPDATE users SET name = ? WHERE id = ?", "insert": "INSERT INTO users (name, id) VALUES (?, ?)"}[kind]
+                jdbc.execute(c, sql, *([k] if kind == "delete" else [name, k]))
+                n[0] += 1
+                jdbc.execute(c, "INSERT INTO changes VALUES (?, ?, ?, ?)", n[0], k, kind, held[k] if kind == "delete" else name)
+                if kind == "delete":
+                    del held[k]
+                else:
+                    held[k] = name
+
+    with jdbc.transaction(spark, url) as c:
+        jdbc.execute(c, "CREATE TABLE users (id BIGINT PRIMARY KEY, name VARCHAR(20))")
+        jdbc.execute(c, "CREATE TABLE changes (n BIGINT PRIMARY KEY, id BIGINT, kind VARCHAR(10), name VARCHAR(20))")
+    change(80)
+
+    def position():
+        change(4)
+        now = (0, "", n[0], 0)
+        change(3)  # what comes after this position, while the chunk is read
+        return now
+
+    begun, place = (0, "", n[0], 0), str(tmp_path / "load")
+    chunks = handover.Chunks(0, 59, 25)
+    read = handover.jdbc_reader(spark, url, "users", "id", tasks=3)
+    assert read(0, 24).rdd.getNumPartitions() == 3
+    handover.load(spark, place, chunks, read, position)
+    change(10)
+    log = spark.read.format("jdbc").options(url=url, dbtable="changes").load().toDF("n", "id", "type", "name").withColumn("seq", order.numbered(F.col("n")))
+    rows = handover.loaded(spark, place).select(F.col("ID").alias("id"), F.col("NAME").alias("name"), "chunk")
+    out = handover.state(handover.handed_over(rows, handover.marks(spark, place), log, chunks, "id", begun), "id")
+    assert {r.id: r.name for r in out.collect()} == held

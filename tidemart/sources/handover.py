@@ -65,6 +65,17 @@ def load(spark: SparkSession, place: str, chunks: Chunks, read: Callable[[int, i
             both.coalesce(1).write.mode("overwrite").parquet(f"{place}/marks/chunk={chunk}")
 
 
+def jdbc_reader(spark: SparkSession, url: str, table: str, key: str, tasks: int = 8, **options: str) -> Callable[[int, int], DataFrame]:
+    """read() of load() for a database table: a chunk's keys are shared by so many tasks."""
+
+    def read(first: int, last: int) -> DataFrame:
+        chunk = f"(SELECT * FROM {table} WHERE {key} BETWEEN {first} AND {last}) chunk"
+        parts = {"partitionColumn": key, "lowerBound": str(first), "upperBound": str(last + 1), "numPartitions": str(tasks)}
+        return spark.read.format("jdbc").options(url=url, dbtable=chunk, **parts, **options).load()
+
+    return read
+
+
 def loaded(spark: SparkSession, place: str) -> DataFrame:
     """Rows of the chunks that are whole, with chunk."""
     rows = spark.read.option("basePath", f"{place}/rows").parquet(f"{place}/rows/*")
