@@ -286,3 +286,30 @@ def test_routing_key(spark):
 
     rows = spark.createDataFrame([("t", "insert"), (None, "x")], "a string, b string").select(routing_key(F.col("a"), F.col("b")).alias("k")).collect()
     assert [r.k for r in rows] == ["t:insert", "x"]
+
+
+def test_distinct_ids_of_a_window_are_state_rows_of_their_own(spark, tmp_path):
+    """One busy product: its orders' ids are counted exactly, and no state row holds more than one."""
+    from tidemart.operators import stats
+
+    rng = random.Random(6)
+    facts = [{"sku_id": 1, "order_id": rng.randrange(300), "ts": BASE + rng.randrange(9000), "n": 1, "amount": "2.50"} for _ in range(900)]
+    for i in range(3):
+        put(tmp_path / "in", str(i), facts[i::3], i)
+    for i in (3, 4):
+        put(tmp_path / "in", str(i), [{"sku_id": 9, "order_id": 1, "ts": BASE + 10**7 * i, "n": 1, "amount": "1"}], i)
+    schema = "sku_id long, order_id long, ts long, n long, amount decimal(16,2)"
+    none = {name: spark.createDataFrame([], cols) for name, cols in (("sku", "ID string, SKU_NAME string, PRICE string, SPU_ID string, TM_ID string, CATEGORY3_ID string"), ("spu", "ID string, SPU_NAME string"), ("trademark", "ID string, TM_NAME string"), ("category3", "ID string, NAME string"))}
+
+    def as_facts(df):
+        return stats.order_facts(df.withColumnsRenamed({"n": "sku_num", "amount": "split_total_amount"}).withColumn("et", F.timestamp_millis("ts")))
+
+    rows = jobs.product_stats([as_facts(stream(spark, tmp_path, "in", schema).drop("seq"))], none, "10 seconds")
+    q = jobs.Job(rows, sinks.table_sink(str(tmp_path / "out")), str(tmp_path / "checkpoint")).start(once=True)
+    assert q.awaitTermination(120)
+    want = stats.product_stats(stats.product_facts(as_facts(spark.createDataFrame([tuple(f[c] for c in ("sku_id", "order_id", "ts", "n")) for f in facts], "sku_id long, order_id long, ts long, n long").withColumn("amount", F.lit("2.50").cast("decimal(16,2)")))), none)
+    got = spark.read.parquet(str(tmp_path / "out")).where("sku_id = 1")
+    assert [tuple(r) for r in got.select(*want.columns).collect()] == [tuple(r) for r in want.collect()]
+    assert want.first().order_ct == len({f["order_id"] for f in facts})
+    rows_of = [[s.numRowsTotal for s in p.stateOperators] for p in q.recentProgress if p.stateOperators]
+    assert max(max(r) for r in rows_of) >= want.first().order_ct
