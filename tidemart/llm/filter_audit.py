@@ -21,6 +21,8 @@ FILTERS = "ABCDE"
 BIT = {f: 1 << i for i, f in enumerate(FILTERS)}
 ORDERS = ["".join(p) for p in permutations(FILTERS)]
 COUNTS = ("kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost")
+#: Labelled documents that are broadcast at most, about 150 bytes each in memory; more are shuffled.
+FEW = 1 << 19
 _GAP = r"[\x20\x09-\x0D]+"
 
 
@@ -61,7 +63,7 @@ def cells(rows: DataFrame, labels: DataFrame) -> DataFrame:
     flags = labels.where("doc_id IS NOT NULL").groupBy("doc_id").agg(*[F.max(F.coalesce(F.col(c) == 1, F.lit(False))).alias(f"is_{c}") for c in ("quality", "toxic")])
     flags = scratch.written(flags.where("is_quality OR is_toxic").withColumn("deal", F.lit(0)), "flags")
     dealt = rows.withColumn("deal", F.when(F.col("doc_id").isNull(), F.xxhash64("digest")).otherwise(0))
-    met = dealt.join(scratch.small(flags), ["doc_id", "deal"], "left")
+    met = dealt.join(scratch.small(flags, FEW), ["doc_id", "deal"], "left")
     keys = ["part", "mask", *[F.coalesce(f"is_{c}", F.lit(False)).alias(n) for c, n in (("quality", "good"), ("toxic", "toxic"))]]
     return met.groupBy(*keys).agg(F.sum("n").alias("n"))
 
