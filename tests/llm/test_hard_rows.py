@@ -38,7 +38,7 @@ def encode():
 @pytest.fixture(scope="module")
 def hard(spark):
     """Two long near copies, an exact copy, repeated ids with equal and with different texts, null ids, nothing, one long run without a space."""
-    a = long_text(1, 60_000)
+    a = long_text(1, 30_000)
     rows = [(1, a), (2, a + " end"), (3, a), (4, long_text(2, 50)), (4, long_text(3, 50)), (4, long_text(2, 50)), (None, long_text(2, 50)), (None, None), (5, ""), (6, "x" * 200_000)]
     return rows, spark.createDataFrame([(i, t, "a", 1) for i, t in rows], "doc_id long, text string, _key string, ids_crc32 int")
 
@@ -88,7 +88,7 @@ def test_packing(hard, encode):
 def test_decontamination_of_long_texts(spark, hard):
     rows, df = hard
     words = rows[0][1].split()
-    items = [("long", " ".join(words[30_000:30_040])), ("short", "w1"), ("none", None), (None, " ".join(words[59_990:]))]
+    items = [("long", " ".join(words[15_000:15_040])), ("short", "w1"), ("none", None), (None, " ".join(words[29_990:]))]
     got = decontaminate.hits(df, spark.createDataFrame(items, "item_id string, text string")).collect()
     assert len(got) == len(rows)
     by_text = {}
@@ -117,7 +117,7 @@ def test_fingerprints_of_long_texts(hard):
 
 
 def test_chats_with_ties_and_repeated_turns(spark):
-    rows = [(1, 0, "user", "a"), (1, 0, "user", "a"), (1, 0, "user", "b"), (2, 0, "user", "a"), (2, 0, "user", "a"), (3, None, "user", long_text(7, 40_000)), (3, 0, None, None)]
+    rows = [(1, 0, "user", "a"), (1, 0, "user", "a"), (1, 0, "user", "b"), (2, 0, "user", "a"), (2, 0, "user", "a"), (3, None, "user", long_text(7, 20_000)), (3, 0, None, None)]
     got = chat.maximal_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
     assert {r.conv_id for r in got} == {1, 3} and len([r for r in got if r.conv_id == 1]) == 3
 

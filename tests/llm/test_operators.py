@@ -484,7 +484,7 @@ def test_gradients():
 @pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
 def test_matches_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "benchmark", "conversations"):
+    for t in ("documents", "benchmark", "conversations", "labels"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     df, want = registry.queries()[name](spark, SF), con.sql(registry.oracle_sql()[name])
     order = sorted(want.columns)

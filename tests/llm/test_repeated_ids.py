@@ -125,9 +125,9 @@ def test_many_languages(spark):
     rows = []
     for k in range(200):
         own = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyzäöüéèñ", k=rng.randrange(2, 5))) for _ in range(30)]
-        rows += [(1000 * k + i, " ".join(rng.choices(own, k=25)), f"l{k}") for i in range(12)]
+        rows += [(1000 * k + i, " ".join(rng.choices(own, k=25)), f"l{k}") for i in range(8)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
-    model = langid.fit(df.where("doc_id % 1000 < 9"))
+    model = langid.fit(df.where("doc_id % 1000 < 6"))
     assert len(model.languages) == 200 and model.weights.shape == (len(model.codes), 200)
-    got = langid.predicted(df.where("doc_id % 1000 >= 9"), model).collect()
-    assert sum(r.lang == r.lang_pred for r in got) >= 0.98 * len(got) == 588
+    got = langid.predicted(df.where("doc_id % 1000 >= 6"), model).collect()
+    assert sum(r.lang == r.lang_pred for r in got) >= 0.95 * len(got) == 380
