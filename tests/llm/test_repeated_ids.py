@@ -75,6 +75,25 @@ def test_a_shingle_that_many_unlike_groups_share_is_compared_in_blocks(spark, mo
     assert got == want and len({c for _, c in want.values()}) < 60
 
 
+def test_a_large_family_of_near_copies_takes_pairs_in_proportion(spark, monkeypatch):
+    """Each text has a run of words of its own in the place of ten others. Texts whose runs lie within seven words of each other are similar enough."""
+    rng, base = random.Random(6), [f"w{i}" for i in range(200)]
+    starts = [rng.randrange(5, 45) for _ in range(240)]
+    rows = [(i, " ".join([*base[:s], *(f"x{i}_{k}" for k in range(10)), *base[s + 10 :]])) for i, s in enumerate(starts)]
+    written, made = scratch.written, []
+
+    def counted(df, name):
+        out = written(df, name)
+        if name == "pairs":
+            made.append(out.count())
+        return out
+
+    monkeypatch.setattr(scratch, "written", counted)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.linked(spark.createDataFrame(rows, "doc_id long, text string"), 80, 5).collect()}
+    assert got == brute.components(dict(rows), 80, 5) and {c for _, c in got.values()} == {0}
+    assert sum(made) < 10 * len(rows)
+
+
 def test_repeats_of_rows_with_equal_and_null_ids(spark):
     shared = "".join(random.Random(9).choices("abcdefgh ", k=500))
     own = ["".join(random.Random(20 + i).choices("ijklmnop ", k=450)) for i in range(4)]

@@ -11,9 +11,9 @@ is counted, over all documents, in a table of counters addressed by the shingle'
 3. group pairs are expanded to classes, whose whole sets are compared.
 
 What is asked for are the components of the links, so a pair whose members are known to be connected is not compared. For
-each prefix shingle, a pivot first takes all its groups (a row per group and shingle, not per pair); only shingles
-whose groups are still in different components are joined with themselves. Nothing is left out: every pair that could be a
-link is compared or already connected.
+each prefix shingle, a pivot takes all its groups (a row per group and shingle, not per pair), in a few rounds with other pivots;
+where a shingle's groups are still in different components, those outside the largest of them then meet all. Nothing is left out:
+every pair that could be a link is compared or already connected.
 """
 
 from __future__ import annotations
@@ -41,7 +41,8 @@ COUNTER_BITS, MOST_BITS = 22, 26
 STEPS = 4
 #: Shingles whose counter has this many documents and four times the mean are taken to be met without being gathered.
 CROWD = 1024
-PIVOT_ROUNDS = 1
+#: Rounds of pivots, at most (a round that links nothing is the last), and different pivots of a group's shingles from the second round on.
+PIVOT_ROUNDS, PIVOTS = 3, 8
 #: Bits of a set's parities.
 BITS = 512
 #: A SPARE-th of a set's shingles are listed beyond the prefix.
@@ -271,39 +272,48 @@ def _linked(docs: DataFrame, percent: int, k: int) -> tuple[DataFrame, DataFrame
 
     label = scratch.written(members.select("c", F.col("c").alias("component")), "components")
     whole = members.select("g", F.col("c").alias("a"))
-    tried = None
-    for turn in range(PIVOT_ROUNDS + 1):
+    tried, turn, last = None, 0, PIVOT_ROUNDS == 0
+    while True:
         state = members.join(label, "c").groupBy("g").agg(F.min("component").alias("low"), F.max("component").alias("high"))
         state = scratch.written(state, "state")
         labelled = postings.join(scratch.small(state), "g")
         ends = [F.min("low").alias("l"), F.max("high").alias("h")]  # a shingle whose groups are all of one component is settled
         mixed = state.where("low <> high").select("g")
-        if turn < PIVOT_ROUNDS:
-            pivot = F.min_by(F.struct(F.col("g").alias("h"), F.col("n").alias("m"), F.col("i").alias("j")), F.xxhash64(F.lit(turn), "g"))
+        settled = (F.col("low") == F.col("high")) & (F.col("low2") == F.col("high2")) & (F.col("low") == F.col("low2"))
+        if not last:
+            # First one pivot for all shingles that a group of it shares, later several, so that each group meets as many.
+            order = F.xxhash64(F.lit(turn), "g", F.pmod("token", F.lit(PIVOTS if turn else 1)))
+            pivot = F.min_by(F.struct(F.col("g").alias("h"), F.col("n").alias("m"), F.col("i").alias("j"), F.col("low").alias("low2"), F.col("high").alias("high2")), order)
             pivots = labelled.where("first").groupBy("token").agg(*ends, pivot.alias("p")).where("l <> h").select("token", "p.*")
-            near = postings.where("first").select("g", "n", "i", "token").join(pivots, "token")
-            near = near.where((F.col("g") != F.col("h")) & _may_overlap(percent)).select("g", "h", "n", "m").distinct()
+            near = labelled.where("first").select("g", "n", "i", "token", "low", "high").join(pivots, "token")
+            near = near.where((F.col("g") != F.col("h")) & ~settled & _may_overlap(percent)).select("g", "h", "n", "m").distinct()
             near = near.join(parity, "g", "left").join(theirs, "h", "left").where(_near_enough(percent)).select("g", "h")
             # Expand: every class of the one group against a pivot class of the other, and every class against its own group's.
             one = members.groupBy("g").agg(F.min_by("c", F.xxhash64(F.lit(turn), "c")).alias("b"))
             pairs = near.join(whole, "g").join(one.select(F.col("g").alias("h"), "b"), "h").select("a", "b")
             pairs = pairs.union(whole.join(mixed, "g").join(one, "g").select("a", "b"))
         else:
-            blocks = F.ceil(F.count(F.when(F.col("first"), 1)) / CROSS).cast("int")
-            unsettled = labelled.groupBy("token").agg(*ends, F.greatest(blocks, F.lit(1)).alias("blocks")).where("l <> h").select("token", "blocks")
-            spread = scratch.written(postings.join(unsettled, "token").select("g", "n", "i", "token", "enough", "first", "blocks"), "unsettled")
+            # A shingle's largest component (null: groups that are in several are in none) needn't meet itself: the others' groups meet all.
+            own = F.when(F.col("low") == F.col("high"), F.col("low"))
+            parts = labelled.withColumn("own", own).groupBy("token", "own").agg(*ends, F.count(F.when(F.col("first"), 1)).alias("k"))
+            inside = F.when(F.col("own").isNotNull(), F.col("k"))
+            of_token = parts.groupBy("token").agg(F.min("l").alias("l"), F.max("h").alias("h"), F.max_by("own", inside).alias("main"), F.sum("k").alias("k"), F.coalesce(F.max(inside), F.lit(0)).alias("most"))
+            blocks = [F.ceil(c / CROSS).cast("int").alias(name) for c, name in ((F.col("k") - F.col("most"), "rows"), (F.col("k"), "cols"))]
+            unsettled = of_token.where("l <> h").select("token", "main", *blocks)
+            spread = scratch.written(postings.join(unsettled, "token").select("g", "n", "i", "token", "enough", "first", "main", "rows", "cols"), "unsettled")
             # The filter by count again: a group with a link to be found meets other components in as many shingles.
             going = spread.groupBy("g").agg(F.count(F.lit(1)).alias("c"), F.max("enough").alias("e")).where("c >= e").select("g")
             going = scratch.written(going.join(state, "g").join(parity, "g", "left"), "going")
-            spread = spread.where("first").select("g", "n", "i", "token", "blocks").join(scratch.small(going, 1 << 18), "g")
-            # A shingle's groups are dealt to blocks, and each two blocks (and each with itself) meet under a key of their own.
-            block = F.pmod(F.xxhash64("g"), F.col("blocks")).cast("int")
-            one = spread.withColumn("p", block).withColumn("q", F.explode(F.sequence("p", F.col("blocks") - 1)))
-            other = spread.withColumn("q", block).withColumn("p", F.explode(F.sequence(F.lit(0), "q")))
-            other = other.select("token", "p", "q", F.col("g").alias("h"), F.col("n").alias("m"), F.col("i").alias("j"), F.col("low").alias("low2"), F.col("high").alias("high2"), *[F.col(f"x{b}").alias(f"y{b}") for b in bits])
-            settled = (F.col("low") == F.col("high")) & (F.col("low2") == F.col("high2")) & (F.col("low") == F.col("low2"))
-            apart = (F.col("p") < F.col("q")) | (F.col("g") < F.col("h"))
-            near = one.join(other, ["token", "p", "q"]).where(apart & ~settled & _may_overlap(percent) & _near_enough(percent))
+            spread = spread.where("first AND rows > 0").select("g", "n", "i", "token", "main", "rows", "cols").join(scratch.small(going, 1 << 18), "g")
+            spread = spread.withColumn("other", ~own.eqNullSafe(F.col("main")) | own.isNull())
+            # Both sides are dealt to blocks, and each two blocks meet under a key of their own.
+            block = lambda n: F.pmod(F.xxhash64("g"), F.col(n)).cast("int")
+            every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+            one = spread.where("other").withColumn("p", block("rows")).withColumn("q", every("cols")).drop("main", "rows", "cols", "other")
+            two = spread.withColumn("q", block("cols")).withColumn("p", every("rows"))
+            two = two.select("token", "p", "q", F.col("g").alias("h"), F.col("n").alias("m"), F.col("i").alias("j"), F.col("low").alias("low2"), F.col("high").alias("high2"), "other", *[F.col(f"x{b}").alias(f"y{b}") for b in bits])
+            once = ~F.col("other") | (F.col("g") < F.col("h"))
+            near = one.join(two, ["token", "p", "q"]).where(once & ~settled & _may_overlap(percent) & _near_enough(percent))
             near = near.select(F.least("g", "h").alias("g"), F.greatest("g", "h").alias("h")).distinct()
             near = near.union(mixed.select("g", F.col("g").alias("h")))
             pairs = near.join(whole, "g").join(whole.select(F.col("g").alias("h"), F.col("a").alias("b")), "h").select("a", "b")
@@ -316,10 +326,15 @@ def _linked(docs: DataFrame, percent: int, k: int) -> tuple[DataFrame, DataFrame
         tried = pairs.select("a", "b") if tried is None else tried.union(pairs.select("a", "b"))
         # The links join components as they were; what that connects is found on those alone.
         new = scratch.written(_verified(scratch.small(pairs, 1 << 21), sets, percent).select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct(), "verified")
-        if not new.isEmpty():
+        none = new.isEmpty()
+        if not none:
             found = components(new).select("node", F.col("component").alias("joined"))
             label = label.join(found, F.col("component") == F.col("node"), "left").select("c", F.coalesce("joined", "component").alias("component"))
             label = scratch.written(label, "components")
+        if last:
+            break
+        turn += 1
+        last = none or turn == PIVOT_ROUNDS
     return signed, classes, label
 
 
