@@ -99,10 +99,13 @@ def levels(docs: DataFrame, bits: int = COUNTER_BITS, k: int = WORDS) -> tuple[n
     schema = "chunk long, n binary, total long"
     parts = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(count, schema)
     reducers = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # Written first: reading an iterator takes a job for each partition, one after the other, and a written table has few.
+    added = scratch.written(parts.repartition(reducers, "chunk").mapInArrow(add, schema), "levels")
     out, total = np.zeros(1 << bits, np.uint8), 0
-    for c, n, t in parts.repartition(reducers, "chunk").mapInArrow(add, schema).toLocalIterator():  # 2**bits bytes, 64 MB at most
+    for c, n, t in added.toLocalIterator():  # 2**bits bytes, 64 MB at most
         out[c : c + _CHUNK] = np.frombuffer(zlib.decompress(bytes(n)), np.uint8)
         total += t
+    scratch.drop(added)
     return out, total >> bits
 
 
@@ -207,7 +210,7 @@ def linked(docs: DataFrame, percent: int = PERCENT, k: int = WORDS) -> DataFrame
             numbered = scratch.written(docs.withColumn("row", row), "numbered")
             docs, names = numbered.select(F.col("row").alias("doc_id"), "text"), numbered.where("row IS NOT NULL").select("row", F.col("doc_id").alias("own"))
         signed, classes, label = map(own.keep, _linked(docs, percent, k))
-        of_class = classes.join(label, F.col("class_id") == F.col("c"), "left").select(*_NAME, "class_id", F.coalesce("component", "class_id").alias("component_id"))
+        of_class = classes.join(label.select("c", "component"), F.col("class_id") == F.col("c"), "left").select(*_NAME, "class_id", F.coalesce("component", "class_id").alias("component_id"))
         if names is not None:
             signed = own.keep(scratch.written(signed.join(names, F.col("doc_id") == F.col("row"), "left").select("own", *_NAME), "named"))
             least = signed.where("own IS NOT NULL").groupBy(*_NAME).agg(F.min("own").alias("least"))
@@ -228,7 +231,7 @@ _NAME = ["n", "set1", "set2"]
 
 
 def _linked(docs: DataFrame, percent: int, k: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Written tables: the signed rows of docs (doc_id unique where not null); their classes (n, set1, set2, class_id); c, component of the classes that may have links."""
+    """Written tables: the signed rows of docs (doc_id unique where not null); their classes (n, set1, set2, class_id); c, component (and more) of the classes that may have links."""
     rarity, mean = levels(docs, min(MOST_BITS, max(COUNTER_BITS, (16 * docs.count()).bit_length())), k)
     crowd = int(level(np.array([max(CROWD, 4 * mean)]))[0])
     signed = scratch.written(signatures(docs, rarity, percent, k), "signatures")
@@ -256,7 +259,8 @@ def _linked(docs: DataFrame, percent: int, k: int) -> tuple[DataFrame, DataFrame
     active = members.where("g = c").join(met, "about").where(F.col("count") >= enough)
     active = scratch.written(active.select("g", "n", enough.alias("enough"), prefix.alias("prefix")), "active")
     worked = active.select("g").union(members.where("classes > 1").select("g")).distinct()
-    members = scratch.written(members.join(worked, "g").select("g", "c", "n", "classes"), "near")
+    members = members.join(worked, "g").select("g", "c", "n", "classes", F.col("c").alias("component"))  # component: as far as it is known
+    members = scratch.written(members, "near")
     leaders = scratch.small(active.select(F.col("g").alias("doc_id"), "enough", "prefix"))  # a group's list is that of its first document
     lists = usable.select("doc_id", "n", "list").join(leaders, "doc_id")
     postings = lists.select(F.col("doc_id").alias("g"), "n", "enough", "prefix", F.posexplode("list").alias("i", "token"))
@@ -270,16 +274,17 @@ def _linked(docs: DataFrame, percent: int, k: int) -> tuple[DataFrame, DataFrame
     parity = scratch.written(alone.join(sets, "id").select("g", *[F.col("parity")[b].alias(f"x{b}") for b in bits]), "parity")
     theirs = parity.select(F.col("g").alias("h"), *[F.col(f"x{b}").alias(f"y{b}") for b in bits])
 
-    label = scratch.written(members.select("c", F.col("c").alias("component")), "components")
-    whole = members.select("g", F.col("c").alias("a"))
     tried, turn, last = None, 0, PIVOT_ROUNDS == 0
     while True:
-        state = members.join(label, "c").groupBy("g").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-        state = scratch.written(state, "state")
-        labelled = postings.join(scratch.small(state), "g")
+        # A group's components and its class that the others meet in this turn, with that one's component.
+        some = F.min_by(F.struct("c", "component"), F.xxhash64(F.lit(turn), "c"))
+        state = members.groupBy("g").agg(F.min("component").alias("low"), F.max("component").alias("high"), some.alias("one"))
+        state = scratch.written(state.select("g", "low", "high", F.col("one.c").alias("b"), F.col("one.component").alias("cb")), "state")
+        labelled = postings.join(scratch.small(state.select("g", "low", "high")), "g")
         ends = [F.min("low").alias("l"), F.max("high").alias("h")]  # a shingle whose groups are all of one component is settled
-        mixed = state.where("low <> high").select("g")
+        mixed = state.where("low <> high").select("g", F.col("g").alias("h"))
         settled = (F.col("low") == F.col("high")) & (F.col("low2") == F.col("high2")) & (F.col("low") == F.col("low2"))
+        whole = members.select("g", F.col("c").alias("a"), F.col("component").alias("ca"))
         if not last:
             # First one pivot for all shingles that a group of it shares, later several, so that each group meets as many.
             order = F.xxhash64(F.lit(turn), "g", F.pmod("token", F.lit(PIVOTS if turn else 1)))
@@ -288,10 +293,8 @@ def _linked(docs: DataFrame, percent: int, k: int) -> tuple[DataFrame, DataFrame
             near = labelled.where("first").select("g", "n", "i", "token", "low", "high").join(pivots, "token")
             near = near.where((F.col("g") != F.col("h")) & ~settled & _may_overlap(percent)).select("g", "h", "n", "m").distinct()
             near = near.join(parity, "g", "left").join(theirs, "h", "left").where(_near_enough(percent)).select("g", "h")
-            # Expand: every class of the one group against a pivot class of the other, and every class against its own group's.
-            one = members.groupBy("g").agg(F.min_by("c", F.xxhash64(F.lit(turn), "c")).alias("b"))
-            pairs = near.join(whole, "g").join(one.select(F.col("g").alias("h"), "b"), "h").select("a", "b")
-            pairs = pairs.union(whole.join(mixed, "g").join(one, "g").select("a", "b"))
+            # Every class of the one group is to meet one class of the other, and every class one of its own group.
+            theirs_of = state.select(F.col("g").alias("h"), "b", "cb")
         else:
             # A shingle's largest component (null: groups that are in several are in none) needn't meet itself: the others' groups meet all.
             own = F.when(F.col("low") == F.col("high"), F.col("low"))
@@ -303,7 +306,7 @@ def _linked(docs: DataFrame, percent: int, k: int) -> tuple[DataFrame, DataFrame
             spread = scratch.written(postings.join(unsettled, "token").select("g", "n", "i", "token", "enough", "first", "main", "rows", "cols"), "unsettled")
             # The filter by count again: a group with a link to be found meets other components in as many shingles.
             going = spread.groupBy("g").agg(F.count(F.lit(1)).alias("c"), F.max("enough").alias("e")).where("c >= e").select("g")
-            going = scratch.written(going.join(state, "g").join(parity, "g", "left"), "going")
+            going = scratch.written(going.join(state.select("g", "low", "high"), "g").join(parity, "g", "left"), "going")
             spread = spread.where("first AND rows > 0").select("g", "n", "i", "token", "main", "rows", "cols").join(scratch.small(going, 1 << 18), "g")
             spread = spread.withColumn("other", ~own.eqNullSafe(F.col("main")) | own.isNull())
             # Both sides are dealt to blocks, and each two blocks meet under a key of their own.
@@ -315,11 +318,12 @@ def _linked(docs: DataFrame, percent: int, k: int) -> tuple[DataFrame, DataFrame
             once = ~F.col("other") | (F.col("g") < F.col("h"))
             near = one.join(two, ["token", "p", "q"]).where(once & ~settled & _may_overlap(percent) & _near_enough(percent))
             near = near.select(F.least("g", "h").alias("g"), F.greatest("g", "h").alias("h")).distinct()
-            near = near.union(mixed.select("g", F.col("g").alias("h")))
-            pairs = near.join(whole, "g").join(whole.select(F.col("g").alias("h"), F.col("a").alias("b")), "h").select("a", "b")
-        x, y = label.select(F.col("c").alias("a"), F.col("component").alias("ca")), label.select(F.col("c").alias("b"), F.col("component").alias("cb"))
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
-        pairs = pairs.join(x, "a").join(y, "b").where("ca <> cb")
+            theirs_of = whole.select(F.col("g").alias("h"), F.col("a").alias("b"), F.col("ca").alias("cb"))
+        # The components come with the classes, so pairs of one are gone before they are told apart.
+        pairs = near.union(mixed).join(whole, "g").join(theirs_of, "h").where("ca <> cb")
+        one, two = F.struct("a", "ca"), F.struct(F.col("b").alias("a"), F.col("cb").alias("ca"))
+        pairs = pairs.select(F.least(one, two).alias("p"), F.greatest(one, two).alias("q")).distinct()
+        pairs = pairs.select("p.a", F.col("q.a").alias("b"), "p.ca", F.col("q.ca").alias("cb"))
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = scratch.written(pairs, "pairs")
@@ -329,13 +333,13 @@ def _linked(docs: DataFrame, percent: int, k: int) -> tuple[DataFrame, DataFrame
         none = new.isEmpty()
         if not none:
             found = components(new).select("node", F.col("component").alias("joined"))
-            label = label.join(found, F.col("component") == F.col("node"), "left").select("c", F.coalesce("joined", "component").alias("component"))
-            label = scratch.written(label, "components")
+            members = members.join(found, F.col("component") == F.col("node"), "left").select("g", "c", "n", "classes", F.coalesce("joined", "component").alias("component"))
+            members = scratch.written(members, "near")
         if last:
             break
         turn += 1
         last = none or turn == PIVOT_ROUNDS
-    return signed, classes, label
+    return signed, classes, members
 
 
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
