@@ -24,10 +24,12 @@ def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def sliced(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
-    """The rows of batches, fewer at a time; they share the batches' memory, but what is made of them doesn't add up."""
+    """The rows of batches, fewer at a time; they share the batches' memory, but what is made of them doesn't add up, and what Arrow
+    keeps of former batches goes back to the machine: workers outlive their tasks."""
     for b in batches:
         for i in range(0, b.num_rows, rows):
             yield b.slice(i, rows)
+        pa.default_memory_pool().release_unused()
 
 
 def blocks(offsets: np.ndarray, limit: int = BLOCK_BYTES) -> Iterator[tuple[int, int]]:

@@ -19,8 +19,8 @@ from tidemart.llm.arrow_text import WordHasher, blocks, utf8
 
 #: Words whose ids a worker keeps; when there are more, it begins anew.
 MEMO_WORDS = 250_000
-#: Bytes of text whose distinct words are looked up together.
-BLOCK_BYTES = 1 << 21
+#: Bytes of text whose distinct words are looked up together; numpy's arrays of a block take some forty times as much.
+BLOCK_BYTES = 1 << 19
 # Latin letters, of which each is one composed character, then perhaps other ASCII characters, which are cut off as one piece of their own.
 _plain = re.compile("([a-z\u00df-\u00f6\u00f8-\u00ff]+)([!-&(-/:;=-@[-`{}~]*)")
 # How byte-level vocabularies write bytes: those of printable Latin-1 characters as these, the others as characters from 256 on.
