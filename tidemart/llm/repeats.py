@@ -25,10 +25,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemart.llm import scratch
+from tidemart.llm import passages, scratch
 from tidemart.llm.arrow_text import mix, utf8
 from tidemart.llm.bwt import repeated_windows
 from tidemart.llm.tables import table
+from tidemart.llm.windows import Polynomial, least_places, merged
 
 LENGTH, ANCHOR = 400, 96
 #: Windows in a run, level by level.
@@ -37,32 +38,6 @@ STEPS = (64, 16, 4, 1)
 MOST_RUNS, TRANSFORM_BYTES = 256, 1 << 17
 #: Windows that are looked at together; a longer text is looked at in overlapping parts.
 PART = 1 << 20
-_POSITION = np.uint64((1 << 21) - 1)
-
-
-class Polynomial:
-    """Hashes of substrings modulo 2**64: an odd base, random values of the bytes. other: a second one, with other values."""
-
-    def __init__(self, other: bool = False) -> None:
-        rng = np.random.default_rng(20250607 if other else 20240301)
-        self.value = rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        self.base = 0xAEF17502108EF2D9 if other else 0xD1342543DE82EF95
-        self.power = self.unpower = np.zeros(0, np.uint64)
-
-    def sums(self, b: np.ndarray) -> np.ndarray:
-        if len(self.power) <= len(b):
-            n = max(1 << 16, 2 * len(b))
-            for name, base in (("power", self.base), ("unpower", pow(self.base, -1, 1 << 64))):
-                x = np.full(n, base, np.uint64)
-                x[0] = 1
-                setattr(self, name, np.multiply.accumulate(x))
-        out = np.empty(len(b) + 1, np.uint64)
-        out[0] = 0
-        np.cumsum(self.value[b] * self.power[: len(b)], out=out[1:])
-        return out
-
-    def of(self, sums: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
-        return mix((sums[last] - sums[first]) * self.unpower[first])
 
 
 def contexts(b: np.ndarray, poly: Polynomial, second: Polynomial, length: int, anchor: int) -> Iterator[tuple[np.ndarray, ...]]:
@@ -73,13 +48,7 @@ def contexts(b: np.ndarray, poly: Polynomial, second: Polynomial, length: int, a
         sums = poly.sums(part)
         m = len(part) - anchor + 1
         grams = mix((sums[anchor:] - sums[:-anchor]) * poly.unpower[:m])
-        # Least hash of w consecutive ones (the first of equals), from running minima of blocks of w in both directions.
-        key = np.full(-(-m // w) * w, ~np.uint64(0))
-        key[:m] = (grams & ~_POSITION) | np.arange(m, dtype=np.uint64)
-        rows = key.reshape(-1, w)
-        ahead = np.minimum.accumulate(rows, 1).reshape(-1)
-        back = np.minimum.accumulate(rows[:, ::-1], 1)[:, ::-1].reshape(-1)
-        place = (np.minimum(back[: m - w + 1], ahead[w - 1 : m]) & _POSITION).astype(np.int64)
+        place = least_places(grams, w)
         first = np.flatnonzero(np.diff(place, prepend=-1))
         n = np.diff(first, append=len(place))
         p = place[first]
@@ -254,40 +223,27 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
     return whole.union(part)
 
 
-def merged(spans: DataFrame) -> DataFrame:
-    """key, starts, ends: the maximal runs of spans (key, s, e), in order."""
-
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            starts, ends = [], []
-            for x in b.column(1):
-                s, e = (x.values.field(k).to_numpy() for k in (0, 1))
-                order = np.argsort(s, kind="stable")
-                s, reach = s[order], np.maximum.accumulate(e[order])
-                new = np.flatnonzero(np.concatenate([[True], s[1:] > reach[:-1]]))
-                starts.append(s[new])
-                ends.append(np.append(reach[new[1:] - 1], reach[-1]))
-            lists = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(starts, lists), pa.array(ends, lists)], names=["key", "starts", "ends"])
-
-    gathered = spans.groupBy("key").agg(F.collect_list(F.struct("s", "e")).alias("x"))  # one document's spans
-    return gathered.mapInArrow(merge, "key struct<a: long, b: long>, starts array<bigint>, ends array<bigint>")
-
-
 def _document() -> Column:
     return F.struct(F.xxhash64("doc_id", "text").alias("a"), F.xxhash64(F.lit(2), "doc_id", "text").alias("b"))
 
 
-def without_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, most_runs: int = MOST_RUNS) -> DataFrame:
-    """docs (doc_id, text): doc_id, n_bytes, n_removed, n_spans, starts, ends (byte offsets of what goes), kept (binary: what stays).
+def without_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, most_runs: int = MOST_RUNS, words: int = passages.WORDS) -> DataFrame:
+    """docs (doc_id, text): doc_id, n_bytes, n_removed, n_spans, starts, ends (byte offsets of what goes), kept (binary: what stays), and
+    n_passages, n_passage_words: runs of words, and the words in them, that are part of a string of so many words which another document has
+    too (passages.py); of these nothing goes unless it has length bytes.
 
     Texts are judged as they come in. Null and empty texts, and those shorter than length, lose nothing. Rows with equal id and text are
-    copies of each other; each is returned. Other columns are ignored. An empty table gives no rows.
+    copies of each other, but no other documents to each other; each is returned. Other columns are ignored. An empty table gives no rows.
     """
     d = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).select(_document().alias("key"), "doc_id", "text")
     with scratch.scope(docs.sparkSession) as own:
         spans = merged(repeated_spans(d.where(F.octet_length("text") >= length).select("key", "text"), length, anchor, most_runs))
-        spans = own.keep(scratch.written(spans, "spans"))
+        spans = scratch.written(spans, "spans")
+        shared = passages.passages(d.where(F.octet_length("text") >= 2 * words - 1).select("key.a", "text").toDF("key", "text"), words)
+        shared = shared.select(F.col("key").alias("name"), F.col("starts").alias("first"), F.col("ends").alias("last"))
+        # One table, so that the texts are dealt out once more only; a document that loses bytes is still named by 128 bits.
+        found = spans.join(shared, F.col("key.a") == F.col("name"), "full").select(F.coalesce("name", "key.a").alias("a"), "key.b", "starts", "ends", "first", "last")
+        found = own.keep(scratch.written(found, "found"))
     raw = F.col("text").cast("binary")
 
     def kept(bounds) -> Column:
@@ -297,19 +253,23 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
     none = F.array().cast("array<bigint>")
     starts, ends = F.coalesce("starts", none), F.coalesce("ends", none)
     gaps = F.arrays_zip(F.concat(F.array(F.lit(0).cast("long")), ends).alias("e"), F.concat(starts, F.array(F.octet_length("text").cast("long"))).alias("s"))
-    return d.join(spans, "key", "left").select(
+    size = lambda starts, ends: F.aggregate(F.zip_with(starts, ends, lambda s, e: e - s), F.lit(0).cast("long"), lambda acc, x: acc + x)
+    first, last = F.coalesce("first", none), F.coalesce("last", none)
+    return d.join(found, (F.col("key.a") == F.col("a")) & (F.col("b").isNull() | (F.col("key.b") == F.col("b"))), "left").select(
         "doc_id",
         F.octet_length("text").cast("long").alias("n_bytes"),
-        F.aggregate(F.zip_with(starts, ends, lambda s, e: e - s), F.lit(0).cast("long"), lambda acc, x: acc + x).alias("n_removed"),
+        size(starts, ends).alias("n_removed"),
         F.size(starts).cast("long").alias("n_spans"),
         starts.alias("starts"),
         ends.alias("ends"),
         F.when(F.col("starts").isNull(), raw).otherwise(kept(gaps)).alias("kept"),
+        F.size(first).cast("long").alias("n_passages"),
+        size(first, last).alias("n_passage_words"),
     )
 
 
 def op7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bytes of every document that are part of a 400-byte string found elsewhere."""
+    """Bytes of every document that are part of a 400-byte string found elsewhere; runs of 50 words and more that other documents have too."""
     out = without_repeats(table(spark, sf_dir, "documents"))
     more = [(F.col("n_bytes") - F.col("n_removed")).alias("n_kept"), (F.col("n_removed") > 0).alias("has_repeats")]
-    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), *more)
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), *more, "n_passages", "n_passage_words")
